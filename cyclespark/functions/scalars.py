@@ -128,6 +128,27 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def two_decimals(value: Column) -> Column:
+    """Text with two decimals, rounded from the exact binary value (half to even).
+
+    The product with 100 is split into its rounded part and the exact
+    remainder, which decides the cases that look like a tie.
+    """
+
+    def text(c: Column) -> Column:
+        p = c * 100.0
+        high = c * 134217729.0 - (c * 134217729.0 - c)
+        rest = (high * 100.0 - p) + (c - high) * 100.0
+        tie = (p - F.floor(p)) == 0.5
+        cents = F.when(tie & (rest > 0), F.floor(p) + 1).when(tie & (rest < 0), F.floor(p)).otherwise(F.bround(p)).cast("long")
+        return _let(
+            cents,
+            lambda k: F.concat(F.floor(k / 100).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0")),
+        )
+
+    return _let(value, text)
+
+
 def snap_c_rate(rate: Column) -> Column:
     """Nearest conventional rate when within ten per cent in log space."""
     rates = F.array(*[F.lit(r) for r in CONVENTIONAL_RATES])
@@ -144,7 +165,7 @@ def format_c_rate(rate: Column, snap: bool = True) -> Column:
 
     def text(c: Column) -> Column:
         whole = lambda x: F.abs(x - F.bround(x)) < 0.05
-        plain = F.concat(F.format_string("%.2f", c), F.lit("C"))
+        plain = F.concat(two_decimals(c), F.lit("C"))
         below = F.when(whole(1.0 / c), F.concat(F.lit("C/"), F.bround(1.0 / c).cast("int").cast("string"))).otherwise(plain)
         above = F.when(whole(c), F.concat(F.bround(c).cast("int").cast("string"), F.lit("C"))).otherwise(plain)
         return F.when(c < 1.0, below).otherwise(above)

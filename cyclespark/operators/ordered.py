@@ -44,6 +44,10 @@ def with_slices(records: DataFrame, limit: int = SLICE_RECORDS, by: str = "seq")
     )
 
 
+def sliced(df: DataFrame) -> DataFrame:
+    return df if "slice" in df.columns else with_slices(df)
+
+
 def in_order(by: tuple = ("seq",)):
     """Window over one slice of a half-cycle in record order."""
     return Window.partitionBy(*SLICED).orderBy(*by)
@@ -118,6 +122,22 @@ def with_running(df: DataFrame, fold: str, source: str, name: str, by: tuple = (
     return out.withColumn(name, total).drop("_c")
 
 
+def with_halo(df: DataFrame, rows: int, by: tuple = ("seq",)) -> DataFrame:
+    """Copy the border records of every cut slice into its neighbours, marked ``halo``.
+
+    A rolling frame of up to ``rows`` records then needs only its own slice.
+    """
+    hot = _hot(df).select(
+        "*",
+        F.row_number().over(in_order(by)).alias("_a"),
+        F.row_number().over(Window.partitionBy(*SLICED).orderBy(*[F.desc(c) for c in by])).alias("_z"),
+    )
+    down = hot.filter((F.col("_a") <= rows) & (F.col("slice") > 0)).withColumn("slice", F.col("slice") - 1)
+    up = hot.filter((F.col("_z") <= rows) & (F.col("slice") < F.col("n_slices") - 1)).withColumn("slice", F.col("slice") + 1)
+    copies = down.unionByName(up).drop("_a", "_z").withColumn("halo", F.lit(True))
+    return df.withColumn("halo", F.lit(False)).unionByName(copies)
+
+
 def per_slice(scalars: DataFrame) -> DataFrame:
     """Repeat a one-row-per-half-cycle table once per slice, ready for a join on ``SLICED``."""
     return scalars.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1))).drop("n_slices")

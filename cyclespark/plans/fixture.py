@@ -19,10 +19,11 @@ _KEYS = {
     "cell_no": "CAST(floor(l_suppkey / 1e1) AS BIGINT)",
     "cycle": "CAST(1 + l_partkey % 20 AS INT)",
     "charging": "l_linestatus = 'O'",
-    "seq": "{day} * 1000000000000000 + (l_orderkey % 10000000000) * 10000 + (l_partkey % 100) * 10 + l_linenumber",
+    "position": "{day} * 10000000000000 + (l_orderkey % 1000000000) * 10000 + (l_partkey % 100) * 10 + l_linenumber",
 }
 _POSITION = {
-    "x": "CAST(seq AS DOUBLE) / 25e17",
+    "seq": "(cycle * 2 + CASE WHEN charging THEN 0 ELSE 1 END) * 25000000000000000 + position",
+    "x": "CAST(position AS DOUBLE) / 25e15",
     "rate": "CASE WHEN cell_no % 2 = 0 THEN 1e0 WHEN cycle <= 5 THEN 1e0 WHEN cycle <= 10 THEN 2e0 "
     "WHEN cycle <= 14 THEN 5e0 ELSE 1e0 END",
     "step_type": "CASE WHEN l_tax > 75e-3 THEN 'Rest' WHEN charging AND cell_no % 2 = 0 THEN 'CCCV Chg' "

@@ -53,8 +53,7 @@ def oracle(sql: str, doubles: str, base: str) -> str:
     body = sql.strip()
     if body.startswith("WITH "):
         body = body[5:]
-        head, tail = "WITH RECURSIVE " + ", ".join(ctes + [""]), body
-        text = head.rstrip(", ") + (", " if ctes else "") + tail
+        text = "WITH RECURSIVE " + ", ".join([*ctes, body])
     else:
         text = ("WITH " + ", ".join(ctes) + " " if ctes else "") + body
     names = doubles.split()
