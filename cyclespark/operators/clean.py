@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cyclespark.operators.ordered import attach, sliced, slices, with_previous
+from cyclespark.operators.ordered import sliced, with_previous, with_totals
 from cyclespark.schema import CELL, CYCLE, HALF, STEP_NAMES
 
 CV_CURRENT_FRACTION = 0.99
@@ -90,89 +90,78 @@ def voltage_window(records: DataFrame, trim_mv: float = 50.0) -> DataFrame:
     return agg.select(*CELL, (F.col("lo") + used).alias("window_low_v"), (F.col("hi") - used).alias("window_high_v"))
 
 
-def _trailing_run(marked: DataFrame) -> DataFrame:
-    """Half-cycle table of the last record failing ``_low`` and the run length after it."""
-    live = marked.groupBy(*HALF).agg(slices(), F.max(F.when(~F.col("_low"), F.col("seq"))).alias("live_seq"))
-    after = F.col("live_seq").isNull() | (F.col("seq") > F.col("live_seq"))
-    return (
-        attach(marked, live)
-        .groupBy(*HALF)
-        .agg(slices(), F.first("live_seq").alias("live_seq"), F.sum(after.cast("int")).alias("run"))
-    )
-
+def mark_hold(records: DataFrame) -> DataFrame:
+    """Mark the trailing constant-voltage hold of every half-cycle.
 
-def hold_table(records: DataFrame) -> DataFrame:
-    """Trailing constant-voltage hold per half-cycle: rule, length and last record before it.
-
-    The hold is every record after the last one failing the criterion, which
-    needs no backward scan.  The voltage rule, which needs differences between
-    records, only touches half-cycles without a usable current.
+    Adds ``hold_rule`` and ``in_hold``.  The hold is every record after the
+    last one failing the criterion, which needs no backward scan.
     """
-    rows = sliced(records)
+    rows = with_previous(sliced(records), {"voltage": "_v0"}).withColumn("_dv", F.abs(F.col("voltage") - F.col("_v0")))
     current = F.abs("current_a")
-    base = rows.groupBy(*HALF).agg(
-        slices(),
-        F.count(F.lit(1)).alias("n_records"),
-        F.count("current_a").alias("n_current"),
-        F.percentile(current, 0.5).alias("median_current"),
+    rows = with_totals(
+        rows,
+        _n=F.count(F.lit(1)),
+        _ni=F.count("current_a"),
+        _mi=F.percentile(current, 0.5),
+        _mdv=F.percentile(F.when(F.col("_dv") > 0, F.col("_dv")), 0.5),
     )
-    base = base.withColumn(
-        "hold_rule",
-        F.when(F.col("n_records") < 2 * CV_MIN_RECORDS, "off")
-        .when((F.col("n_current") >= CV_MIN_RECORDS) & (F.col("median_current") > 0), "current decay")
-        .otherwise("voltage stall"),
+    rule = (
+        F.when(F.col("_n") < 2 * CV_MIN_RECORDS, "off")
+        .when((F.col("_ni") >= CV_MIN_RECORDS) & (F.col("_mi") > 0), "current decay")
+        .when(F.col("_mdv").isNull(), "no criterion")
+        .otherwise("voltage stall")
     )
-    limits = base.filter("hold_rule = 'current decay'").select(*HALF, "n_slices", "median_current")
-    by_current = _trailing_run(
-        attach(rows, limits).select(
-            *HALF, "slice", "n_slices", "seq",
-            F.coalesce(current < F.col("median_current") * CV_CURRENT_FRACTION, F.lit(False)).alias("_low"),
-        )
+    rows = rows.withColumn("hold_rule", rule)
+    low = F.when(F.col("hold_rule") == "current decay", current < F.col("_mi") * CV_CURRENT_FRACTION).when(
+        F.col("hold_rule") == "voltage stall", F.col("_dv") < F.col("_mdv") * CV_VOLTAGE_FRACTION
     )
-    rest = attach(rows, base.filter("hold_rule = 'voltage stall'").select(*HALF, "n_slices"))
-    moves = with_previous(rest.select(*HALF, "slice", "n_slices", "seq", "voltage"), {"voltage": "v0"}).withColumn(
-        "dv", F.abs(F.col("voltage") - F.col("v0"))
+    rows = rows.withColumn("_low", F.coalesce(low, F.lit(False)))
+    rows = with_totals(rows, _live=F.max(F.when(~F.col("_low"), F.col("seq"))))
+    rows = rows.withColumn("_tail", F.col("_low") & (F.col("_live").isNull() | (F.col("seq") > F.col("_live"))))
+    rows = with_totals(rows, _run=F.sum(F.col("_tail").cast("int")))
+    return rows.withColumn("in_hold", F.col("_tail") & (F.col("_run") >= CV_MIN_RECORDS)).drop(
+        "_v0", "_dv", "has_previous", "_n", "_ni", "_mi", "_mdv", "_low", "_live", "_tail", "_run"
     )
-    typical = moves.groupBy(*HALF).agg(slices(), F.percentile(F.when(F.col("dv") > 0, F.col("dv")), 0.5).alias("typical"))
-    by_voltage = _trailing_run(
-        attach(moves, typical.filter("typical IS NOT NULL")).withColumn(
-            "_low", F.coalesce(F.col("dv") < F.col("typical") * CV_VOLTAGE_FRACTION, F.lit(False))
-        )
-    )
-    runs = by_current.withColumn("rule", F.lit("current decay")).unionByName(
-        by_voltage.withColumn("rule", F.lit("voltage stall"))
-    )
-    held = F.col("run") >= CV_MIN_RECORDS
-    return (
-        base.join(runs.drop("n_slices"), HALF, "left")
-        .select(
-            *HALF,
-            "n_slices",
-            "n_records",
-            F.when(F.col("hold_rule") == "off", "off").otherwise(F.coalesce("rule", F.lit("no criterion"))).alias("hold_rule"),
-            F.when(held, F.col("run")).otherwise(0).alias("n_hold"),
-            F.when(held, F.coalesce("live_seq", F.lit(-1))).alias("live_seq"),
-        )
+
+
+def hold_table(records: DataFrame) -> DataFrame:
+    """Rule and length of the trailing hold of each half-cycle."""
+    return mark_hold(records).groupBy(*HALF).agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.first("hold_rule").alias("hold_rule"),
+        F.sum(F.col("in_hold").cast("int")).alias("n_hold"),
     )
 
 
-def strip_hold(records: DataFrame, holds: DataFrame | None = None) -> DataFrame:
+def strip_hold(records: DataFrame) -> DataFrame:
     """Records without the trailing hold of their half-cycle."""
-    rows = sliced(records)
-    holds = hold_table(rows) if holds is None else holds
-    limits = holds.filter("n_hold > 0").select(*HALF, "n_slices", "live_seq")
-    joined = attach(rows, limits, "left")
-    return joined.filter(F.col("live_seq").isNull() | (F.col("seq") <= F.col("live_seq"))).drop("live_seq")
+    return mark_hold(records).filter("NOT in_hold").drop("in_hold", "hold_rule")
+
+
+def _direction(swapped: bool) -> Column:
+    implied = F.when(F.lower("step").startswith("c"), 1).otherwise(-1) * (-1 if swapped else 1)
+    measured = (F.col("_nv") >= 2) & (F.abs("_net") > 1e-4)
+    return F.when(measured, F.signum("_net").cast("int")).otherwise(implied)
+
+
+def _net_change() -> dict[str, Column]:
+    known = F.when(F.col("voltage").isNotNull(), F.col("seq"))
+    return {"_nv": F.count("voltage"), "_net": F.max_by("voltage", known) - F.min_by("voltage", known)}
 
 
 def step_direction(records: DataFrame, swapped: bool = False) -> DataFrame:
     """+1 rising, -1 falling: from the net voltage change, else from the label."""
-    ends = records.filter("voltage IS NOT NULL").groupBy(*HALF).agg(
-        F.count(F.lit(1)).alias("n"), (F.max_by("voltage", "seq") - F.min_by("voltage", "seq")).alias("net")
-    )
-    implied = F.when(F.lower("step").startswith("c"), 1).otherwise(-1) * (-1 if swapped else 1)
-    measured = (F.col("n") >= 2) & (F.abs("net") > 1e-4)
-    return ends.select(*HALF, F.when(measured, F.signum("net").cast("int")).otherwise(implied).alias("direction"))
+    ends = records.groupBy(*HALF).agg(*[c.alias(n) for n, c in _net_change().items()]).filter("_nv > 0")
+    return ends.select(*HALF, _direction(swapped).alias("direction"))
+
+
+def with_direction(rows: DataFrame, swapped: bool = False) -> DataFrame:
+    """The direction of its half-cycle on every record."""
+    known = F.when(F.col("voltage").isNotNull(), F.col("seq"))
+    ends = with_totals(
+        rows, _nv=F.count("voltage"), _va=F.min_by("voltage", known), _vz=F.max_by("voltage", known)
+    ).withColumn("_net", F.col("_vz") - F.col("_va"))
+    return ends.withColumn("direction", _direction(swapped)).drop("_nv", "_va", "_vz", "_net")
 
 
 def orient_dqdv(records: DataFrame) -> DataFrame:
@@ -181,20 +170,13 @@ def orient_dqdv(records: DataFrame) -> DataFrame:
     Only where current and counter still go forward, so a true reversal is
     never turned into a peak.  Adds ``oriented``.
     """
-    rows = with_previous(sliced(records), {"voltage": "_v0", "capacity": "_q0"})
-    direction = step_direction(rows)
-    base = rows.groupBy(*HALF).agg(slices(), F.percentile("current_a", 0.5).alias("_mi"), F.count(F.lit(1)).alias("_n"))
-    base = base.join(direction, HALF, "left")
+    rows = with_direction(with_previous(sliced(records), {"voltage": "_v0", "capacity": "_q0"}))
+    rows = with_totals(rows, _mi=F.percentile("current_a", 0.5), _n=F.count(F.lit(1)))
     moved = F.signum(F.coalesce(F.col("voltage") - F.col("_v0"), F.lit(0.0)))
-    rows = attach(rows, base).withColumn("_fwd", moved == F.col("direction"))
-    signs = rows.groupBy(*HALF).agg(
-        slices(),
-        F.count(F.when(F.col("_fwd"), F.col("dqdv"))).alias("_nf"),
-        F.percentile(F.when(F.col("_fwd"), F.col("dqdv")), 0.5).alias("_mf"),
-        F.sum("dqdv").alias("_sum"),
-    )
-    target = F.signum(F.when(F.col("_nf") >= 3, F.col("_mf")).otherwise(F.col("_sum")))
-    signs = signs.select(*HALF, "n_slices", target.alias("_target"))
+    rows = rows.withColumn("_fwd", moved == F.col("direction"))
+    forward = F.when(F.col("_fwd"), F.col("dqdv"))
+    rows = with_totals(rows, _nf=F.count(forward), _mf=F.percentile(forward, 0.5), _sum=F.sum("dqdv"))
+    rows = rows.withColumn("_target", F.signum(F.when(F.col("_nf") >= 3, F.col("_mf")).otherwise(F.col("_sum"))))
     fix = (
         (F.col("_n") >= 3)
         & (F.col("_target") != 0)
@@ -204,10 +186,9 @@ def orient_dqdv(records: DataFrame) -> DataFrame:
         & ~F.coalesce(F.col("capacity") - F.col("_q0") < 0, F.lit(False))
     )
     return (
-        attach(rows, signs)
-        .withColumn("oriented", F.coalesce(fix, F.lit(False)))
+        rows.withColumn("oriented", F.coalesce(fix, F.lit(False)))
         .withColumn("dqdv", F.when(F.col("oriented"), F.abs("dqdv") * F.col("_target")).otherwise(F.col("dqdv")))
-        .drop("_v0", "_q0", "_mi", "_n", "_fwd", "_target", "direction", "has_previous")
+        .drop("_v0", "_q0", "_mi", "_n", "_fwd", "_nf", "_mf", "_sum", "_target", "direction", "has_previous")
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from cyclespark.functions.scalars import step_sign
 from cyclespark.operators.clean import orient_dqdv
-from cyclespark.operators.ordered import attach, sliced, slices, with_halo, with_previous, with_slices
+from cyclespark.operators.ordered import attach, parts, sliced, slices, with_halo, with_previous, with_slices, with_totals
 from cyclespark.schema import CELL, HALF, SLICED
 
 # Settings by profile class (fixed values).
@@ -65,9 +65,9 @@ def binomial_weights(half_width: int) -> tuple[float, ...]:
 def increments(records: DataFrame) -> DataFrame:
     """Charge passed between consecutive records and the voltages it was passed between."""
     rows = sliced(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL"))
-    pairs = with_previous(rows.select(*HALF, "slice", "n_slices", "seq", "voltage", "capacity"), {"voltage": "v0", "capacity": "q0"})
+    pairs = with_previous(rows.select(*parts(rows), "n_slices", "seq", "voltage", "capacity"), {"voltage": "v0", "capacity": "q0"})
     return pairs.filter("has_previous").select(
-        *HALF, "slice", "n_slices", "v0", F.col("voltage").alias("v1"), F.abs(F.col("capacity") - F.col("q0")).alias("dq"),
+        *parts(pairs), "n_slices", "v0", F.col("voltage").alias("v1"), F.abs(F.col("capacity") - F.col("q0")).alias("dq"),
         ((F.col("voltage") + F.col("v0")) * 0.5).alias("v_mid"),
     )
 
@@ -204,17 +204,15 @@ def histogram_curves(steps: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
 
 def rebin(curve: DataFrame, width_mv: Column | float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Uniform grid by the mean of the records in a bin, each weighted by its own voltage span."""
-    w = Window.partitionBy(*HALF, *keys).orderBy("voltage", "seq")
-    group = Window.partitionBy(*HALF, *keys)
+    rows = curve.select(*HALF, *keys, "seq", "voltage", "dqdv") if isinstance(width_mv, (int, float)) else curve
     width = (F.lit(width_mv) if isinstance(width_mv, (int, float)) else width_mv) / 1000.0
-    rows = with_span(curve, w).select(
-        *HALF, *keys, "voltage", "dqdv", "span", F.min("voltage").over(group).alias("lo"), F.max("voltage").over(group).alias("hi"),
-        width.alias("width"),
-    )
-    last = F.greatest(F.lit(0), F.ceil((F.col("hi") - F.col("lo")) / F.col("width")).cast("int") - 1)
-    placed = rows.withColumn("bin", F.least(F.floor((F.col("voltage") - F.col("lo")) / F.col("width")).cast("int"), last))
+    rows = with_halo(with_slices(rows.withColumn("_width", width), by="voltage"), 1, by=("voltage", "seq"))
+    rows = with_span(rows, Window.partitionBy(*parts(rows), *keys).orderBy("voltage", "seq")).filter("NOT halo")
+    rows = with_totals(rows, lo=F.min("voltage"), hi=F.max("voltage"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("hi") - F.col("lo")) / F.col("_width")).cast("int") - 1)
+    placed = rows.withColumn("bin", F.least(F.floor((F.col("voltage") - F.col("lo")) / F.col("_width")).cast("int"), last))
     return placed.groupBy(*HALF, *keys, "bin").agg(
-        F.first(F.col("lo") + F.col("width") * (F.col("bin") + 0.5)).alias("voltage"),
+        F.first(F.col("lo") + F.col("_width") * (F.col("bin") + 0.5)).alias("voltage"),
         F.when(F.sum("span") > 0, F.sum(F.col("dqdv") * F.col("span")) / F.sum("span")).otherwise(F.avg("dqdv")).alias("dqdv"),
     )
 
@@ -256,20 +254,16 @@ def rebin_sensitivity(curve: DataFrame, widths: tuple[float, ...] = (1.0, 2.0, 4
     )
 
 
-def _parts(df: DataFrame) -> list[str]:
-    return SLICED if "slice" in df.columns else HALF
-
-
 def remove_spikes(curve: DataFrame, factor: Column | float = 3.0, by: tuple = ("voltage",), tallest: str | None = None) -> DataFrame:
     """Replace points far from a 5-point rolling median (in rolling-MAD units) by that median.
 
     ``tallest`` names a column with the curve's largest absolute value when the
     rows are slices of a longer curve.
     """
-    w = Window.partitionBy(*_parts(curve)).orderBy(*by)
+    w = Window.partitionBy(*parts(curve)).orderBy(*by)
     near = w.rowsBetween(-(SPIKE_WINDOW // 2), SPIKE_WINDOW // 2)
     factor = F.lit(factor) if isinstance(factor, float) else factor
-    top = F.col(tallest) if tallest else F.max(F.abs("dqdv")).over(Window.partitionBy(*_parts(curve)))
+    top = F.col(tallest) if tallest else F.max(F.abs("dqdv")).over(Window.partitionBy(*parts(curve)))
     a = curve.withColumn("_median", F.percentile("dqdv", 0.5).over(near)).withColumn("_top", top)
     a = a.withColumn("_off", F.abs(F.col("dqdv") - F.col("_median")))
     a = a.withColumn("_mad", F.greatest(F.percentile("_off", 0.5).over(near) * 1.4826, F.col("_top") * 1e-6))
@@ -307,13 +301,12 @@ def savgol(
     """
     widest = max(windows)
     size = F.lit(windows[0]) if window is None else window
-    parts = _parts(curve)
-    w = Window.partitionBy(*parts).orderBy(*by)
+    w = Window.partitionBy(*parts(curve)).orderBy(*by)
     a = curve.select(
         "*",
         size.alias("_w"),
         (F.row_number().over(w) - 1).alias("_i"),
-        F.count(F.lit(1)).over(Window.partitionBy(*parts)).cast("int").alias("_n"),
+        F.count(F.lit(1)).over(Window.partitionBy(*parts(curve))).cast("int").alias("_n"),
         # A full window on either side, so that border points see the border window too.
         F.collect_list(source).over(w.rowsBetween(1 - widest, widest - 1)).alias("_near"),
     )
@@ -345,17 +338,13 @@ def derivative_curves(records: DataFrame, settings: DataFrame) -> DataFrame:
     inside = attach(
         rows, layout.select(*HALF, "n_slices", "window_low_v", "window_high_v", *SETTING_COLUMNS)
     ).filter("voltage >= window_low_v AND voltage <= window_high_v")
-    sizes = inside.groupBy(*HALF).agg(slices(), F.count(F.lit(1)).alias("n_kept")).filter("n_kept >= 5")
-    inside = attach(inside, sizes).drop("n_kept")
-    direct = inside.filter("rebin_mv IS NULL").select(*HALF, "slice", "n_slices", "seq", "voltage", "dqdv", *SETTING_COLUMNS)
-    binned = inside.filter("rebin_mv IS NOT NULL")
-    kept = layout.select(*HALF, *SETTING_COLUMNS)
-    grid = rebin(binned, F.col("rebin_mv")).join(kept, HALF).select(
-        *HALF, F.lit(0).alias("slice"), F.lit(1).alias("n_slices"), F.col("bin").cast("long").alias("seq"), "voltage", "dqdv", *SETTING_COLUMNS
-    )
-    curve = direct.unionByName(grid)
-    top = curve.groupBy(*HALF).agg(slices(), F.max(F.abs("dqdv")).alias("tallest"))
-    curve = with_halo(attach(curve, top), HALO, by=("voltage", "seq")).withColumn("raw", F.col("dqdv"))
+    inside = with_totals(inside, n_kept=F.count(F.lit(1))).filter("n_kept >= 5").drop("n_kept")
+    columns = [*parts(rows), "n_slices", "seq", "voltage", "dqdv", *SETTING_COLUMNS]
+    grid = rebin(inside.filter("rebin_mv IS NOT NULL"), F.col("rebin_mv")).join(layout.select(*HALF, *SETTING_COLUMNS), HALF)
+    grid = grid.withColumns({"slice": F.lit(0), "n_slices": F.lit(1), "seq": F.col("bin").cast("long")})
+    curve = inside.filter("rebin_mv IS NULL").select(*columns).unionByName(grid.select(*columns))
+    curve = with_totals(curve, tallest=F.max(F.abs("dqdv"))).withColumn("raw", F.col("dqdv"))
+    curve = with_halo(curve, HALO, by=("voltage", "seq"))
     order = ("voltage", "seq")
     despiked = remove_spikes(curve, F.when(F.col("spike_removal"), F.col("spike_factor")), by=order, tallest="tallest")
     once = savgol(despiked, (5, 9, 15), F.col("smoothing_window"), by=order)
@@ -418,6 +407,189 @@ def interpolate(knots: DataFrame, queries: DataFrame, x: str, y: str, keys: list
     return merged.filter("_kind = 1").select(*keys, x, *keep, value.alias(y))
 
 
+def cumulative_charge(curve: DataFrame) -> DataFrame:
+    """Running trapezoidal integral of the absolute curve."""
+    w = Window.partitionBy(*HALF).orderBy("voltage")
+    slab = (F.col("voltage") - F.lag("voltage").over(w)) * 0.5 * (F.abs("dqdv") + F.abs(F.lag("dqdv").over(w)))
+    slabs = curve.withColumn("_s", F.coalesce(slab, F.lit(0.0)))
+    return slabs.withColumn("q", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+
+
+def _in_slice(queries: DataFrame, knots: DataFrame, keep: list[str]) -> DataFrame:
+    """Give each query point the slice of the knots that covers its charge (cut data only)."""
+    if "slice" not in knots.columns:
+        return queries
+    ranges = knots.filter("n_slices > 1").groupBy(*SLICED).agg(F.min("q").alias("from_q"), F.max("q").alias("to_q"))
+    return (
+        queries.join(ranges, HALF, "left")
+        .filter("slice IS NULL OR q BETWEEN from_q AND to_q")
+        .groupBy(*HALF, *keep, "q")
+        .agg(F.coalesce(F.min("slice"), F.lit(0)).alias("slice"))
+    )
+
+
+def reconstruct_voltage(curve: DataFrame, records: DataFrame) -> DataFrame:
+    """Integrate the curve back to a charge-voltage trace and compare it with the records.
+
+    Returns the charge error in per cent and the voltage error (RMSE) over the
+    charge range both cover.
+    """
+    q_curve = cumulative_charge(curve).select(*HALF, "voltage", "q")
+    shape = q_curve.groupBy(*HALF).agg(
+        F.count(F.lit(1)).alias("n_curve"), F.min("voltage").alias("c0"), F.max("voltage").alias("c1"), F.max("q").alias("q_total")
+    ).filter("n_curve >= 3")
+    rows = with_slices(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL").select(*HALF, "seq", "voltage", "capacity"), by="capacity")
+    bounds = rows.groupBy(*HALF).agg(slices()).join(shape, HALF) if "slice" in rows.columns else shape
+    rows = attach(rows, bounds.drop("n_curve", "q_total")).withColumn(
+        "near", F.col("voltage").between(F.col("c0") - 1e-9, F.col("c1") + 1e-9)
+    )
+    order = F.struct("capacity", "seq")
+    near = lambda c: F.when(F.col("near"), c)
+    sizes = rows.groupBy(*HALF).agg(
+        slices(), F.count(F.lit(1)).alias("n_all"), F.count(near(F.lit(1))).alias("n_near"),
+        *[
+            f(near(F.col("capacity")) if kept else F.col("capacity")).alias(f"{name}_{kept}")
+            for kept in (0, 1)
+            for name, f in (("lo", F.min), ("hi", F.max))
+        ],
+        *[
+            f(F.col("voltage"), near(order) if kept else order).alias(f"{name}_{kept}")
+            for kept in (0, 1)
+            for name, f in (("first", F.min_by), ("last", F.max_by))
+        ],
+    ).filter("n_all >= 3")
+    some = F.col("n_near") >= 3
+    pick = lambda name: F.when(some, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
+    span = pick("hi") - pick("lo")
+    base = sizes.join(shape, HALF).select(
+        *HALF, "n_slices", "q_total", some.alias("only_near"), pick("lo").alias("q_lo"), pick("hi").alias("q_hi"),
+        span.alias("q_span"), (pick("last") < pick("first")).alias("flip"),
+    )
+    knots = attach(rows.drop("c0", "c1"), base.select(*HALF, "n_slices", "only_near", "q_lo", "q_hi", "flip")).filter("near OR NOT only_near")
+    knots = with_halo(
+        knots.select(
+            *parts(knots), "n_slices", "voltage", F.when(F.col("flip"), F.col("q_hi") - F.col("capacity")).otherwise(F.col("capacity") - F.col("q_lo")).alias("q")
+        ), 1, by=("q", "voltage"),
+    )
+    wanted = q_curve.withColumnRenamed("voltage", "v_curve").join(base.select(*HALF, "q_total", "q_span"), HALF)
+    wanted = wanted.filter(F.col("q") <= F.least("q_span", "q_total")).drop("q_total", "q_span")
+    values = interpolate(knots, _in_slice(wanted, knots, ["v_curve"]), "q", "voltage", parts(knots), ["v_curve"])
+    errors = values.groupBy(*HALF).agg(
+        F.count(F.lit(1)).alias("n_compared"), F.sqrt(F.avg(F.pow(F.col("voltage") - F.col("v_curve"), 2))).alias("rmse")
+    )
+    return base.join(errors, HALF, "left").select(
+        *HALF,
+        F.when(F.col("q_span") > 0, F.abs(F.col("q_total") - F.col("q_span")) / F.col("q_span") * 100.0).alias("ape_pct"),
+        F.when(F.col("n_compared") >= 3, F.col("rmse")).alias("rmse_v"),
+        F.col("q_total").alias("q_reconstructed"),
+        F.col("q_span").alias("q_measured"),
+        F.when(F.col("n_compared") >= 3, F.col("n_compared")).otherwise(0).alias("n_compared"),
+    )
+
+
+def describe_reconstruction(checks: DataFrame, plan: DataFrame, window: DataFrame, empty: DataFrame) -> DataFrame:
+    """Median errors, share of the window, bin widths, widened and empty share per cell."""
+    agg = checks.groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("ape_pct", 0.5).alias("ape_pct"), F.percentile("rmse_v", 0.5).alias("rmse_v")
+    )
+    widths = plan.groupBy(*CELL).agg(
+        (F.percentile("width", 0.5) * 1000.0).alias("bin_median_mv"), (F.min("width") * 1000.0).alias("bin_min_mv"),
+        (F.max("width") * 1000.0).alias("bin_max_mv"), F.count(F.when(F.col("widened"), 1)).alias("n_widened"),
+    )
+    share = F.col("rmse_v") / (F.col("window_high_v") - F.col("window_low_v"))
+    verdict = F.when(F.col("ape_pct") > 5.0, "charge not accounted for").when(share > 0.05, "charge misplaced").otherwise("ok")
+    return agg.join(widths, CELL, "left").join(window, CELL, "left").join(empty, CELL, "left").select(
+        *CELL, "n", "ape_pct", "rmse_v", share.alias("window_share"), "bin_median_mv", "bin_min_mv", "bin_max_mv", "n_widened",
+        "empty_fraction", verdict.alias("verdict"),
+    )
+
+
+def plateau_structure(records: DataFrame, points: int = 40) -> DataFrame:
+    """Flattest and second flattest voltage on an even charge grid, and the number of flat spots.
+
+    The grid has a fixed number of points per half-cycle, so only the
+    interpolation touches the records.
+    """
+    rows = with_slices(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL").select(*HALF, "seq", "voltage", "capacity"), by="capacity")
+    w = Window.partitionBy(*parts(rows)).orderBy("capacity", "seq")
+    back = Window.partitionBy(*parts(rows)).orderBy(F.desc("capacity"), F.desc("seq"))
+    here = F.col("slice") if "slice" in rows.columns else F.lit(0)
+    sixth = rows.select(*HALF, "n_slices", here.alias("part"), "capacity", F.row_number().over(w).alias("a"), F.row_number().over(back).alias("z"))
+    ends = sixth.groupBy(*HALF).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when((F.col("part") == 0) & (F.col("a") == 6), F.col("capacity"))).alias("g0"),
+        F.max(F.when((F.col("part") == F.col("n_slices") - 1) & (F.col("z") == 5), F.col("capacity"))).alias("g1"),
+    ).filter("n >= 20")
+    even = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("g0") + (F.col("g1") - F.col("g0")) * i / (points - 1))
+    grid = ends.select(*HALF, F.posexplode(even).alias("i", "q"))
+    knots = with_halo(rows.select(*parts(rows), "n_slices", "voltage", F.col("capacity").alias("q")), 1, by=("q", "voltage"))
+    line = interpolate(knots, _in_slice(grid, knots, ["i"]), "q", "voltage", parts(knots), ["i"])
+    g = Window.partitionBy(*HALF).orderBy("i")
+    lag, lead = (lambda c: F.lag(c).over(g)), (lambda c: F.lead(c).over(g))
+    slope = (
+        F.when(F.col("i") == 0, (lead("voltage") - F.col("voltage")) / (lead("q") - F.col("q")))
+        .when(F.col("i") == points - 1, (F.col("voltage") - lag("voltage")) / (F.col("q") - lag("q")))
+        .otherwise((lead("voltage") - lag("voltage")) / (lead("q") - lag("q")))
+    )
+    a = line.withColumn("a", F.abs(slope))
+    lower = [F.col("a") < F.lag("a", k).over(g) for k in (1, 2)] + [F.col("a") < F.lead("a", k).over(g) for k in (1, 2)]
+    a = a.withColumn("is_min", F.coalesce(lower[0] & lower[1] & lower[2] & lower[3], F.lit(False)) & F.col("i").between(2, points - 3))
+    inner = F.col("i").between(3, points - 4)
+    best = a.groupBy(*HALF).agg(
+        F.min_by(F.struct("voltage", "q"), F.when(inner, F.struct("a", "i"))).alias("f"), F.sum(F.col("is_min").cast("int")).alias("n_minima")
+    )
+    second = a.join(best, HALF).filter(inner & (F.abs(F.col("q") - F.col("f.q")) > 15)).groupBy(*HALF).agg(
+        F.min_by("voltage", F.struct("a", "i")).alias("second_flattest_v")
+    )
+    return best.join(second, HALF, "left").select(
+        *HALF, F.col("f.voltage").alias("flattest_v"), "second_flattest_v",
+        (F.abs(F.col("second_flattest_v") - F.col("f.voltage")) * 1000.0).alias("separation_mv"), "n_minima",
+    )
+
+
+def quantisation_ripple(curve: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Local RMS of what binning equal charge parcels alone would add to a curve.
+
+    Needs ``width``, ``dq_per_record`` and ``half_width`` per bin (see
+    ``histogram_curves``).  Parcels are placed by the inverse of the running
+    charge: the charge of bin edges by interpolation gives the number of
+    parcels of each bin without listing them.
+    """
+    rows = cumulative_charge(curve.withColumn("dqdv", F.abs("dqdv")))
+    whole = Window.partitionBy(*HALF)
+    g = whole.orderBy("bin")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(whole), "q_total": F.max("q").over(whole)})
+    n_rec = F.bround(F.col("q_total") / F.col("dq_per_record"))
+    # Charge at the upper edge of a bin: half-way to the next centre along the chord.
+    upper = F.coalesce((F.col("q") + F.lead("q").over(g)) / 2, F.col("q"))
+    lower = F.coalesce((F.col("q") + F.lag("q").over(g)) / 2, F.col("q"))
+    below = lambda q: F.greatest(F.lit(0), F.least(n_rec, F.ceil(q / F.col("dq_per_record") - 0.5)))
+    upto = lambda q: F.greatest(F.lit(0), F.least(n_rec, F.floor(q / F.col("dq_per_record") + 0.5)))
+    last = F.lead("bin").over(g).isNull()
+    first = F.lag("bin").over(g).isNull()
+    count = F.when(last, upto(upper)).otherwise(below(upper)) - F.when(first, F.lit(0)).otherwise(below(lower))
+    rows = rows.withColumn("raw", count * F.col("dq_per_record") / F.col("width")).withColumn("n_rec", n_rec)
+    null = smooth_binomial(rows.select(*HALF, "bin", "voltage", "raw", "half_width", "n", "n_rec", F.col("dqdv").alias("y")))
+    null = null.withColumnRenamed("dqdv", "null_y").withColumn("raw", F.col("y")).drop("y")
+    both = smooth_binomial(null)
+    residual = both.withColumn("sq", F.pow(F.col("null_y") - F.col("dqdv"), 2))
+    half = F.greatest(F.lit(4), F.col("half_width"))
+    # Edge-padded mean square over the window of each half-cycle: weights repeat the end bins.
+    near = F.collect_list(F.struct("bin", "sq")).over(g.rowsBetween(-MAX_HALF_WIDTH, MAX_HALF_WIDTH))
+    end = F.col("n") - 1
+    inside = F.filter("near", lambda e: F.abs(e["bin"] - F.col("bin")) <= F.col("half"))
+    total = F.aggregate(inside, F.lit(0.0), lambda s, e: s + e["sq"])
+    over_left = F.greatest(F.lit(0), F.col("half") - F.col("bin"))
+    over_right = F.greatest(F.lit(0), F.col("bin") + F.col("half") - end)
+    padded = total + over_left * F.col("sq_first") + over_right * F.col("sq_last")
+    out = residual.withColumns(
+        {"near": near, "half": half, "sq_first": F.first("sq").over(g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+         "sq_last": F.last("sq").over(g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
+    )
+    enough = (F.col("n") >= 8) & (F.col("n_rec") >= 4)
+    return out.select(*HALF, "bin", "voltage", F.when(enough, F.sqrt(padded / (2 * F.col("half") + 1))).otherwise(0.0).alias("ripple"))
+
+
 def heat_map(curves: DataFrame, v_bins: int = 200) -> DataFrame:
     """Curves of one cell and step on common voltages; NULL outside a curve's own range."""
     bounds = curves.groupBy("cell_id", "step").agg(F.min("voltage").alias("g0"), F.max("voltage").alias("g1"))
@@ -439,7 +611,7 @@ def heat_limit(grid: DataFrame) -> DataFrame:
 
 def waterfall(curves: DataFrame, every_n: int = 1, overlap: float = 0.5) -> DataFrame:
     """Every n-th cycle with a vertical offset: rank times the pitch."""
-    tall = curves.groupBy(*HALF).agg(F.max(F.abs("dqdv")).alias("amplitude"))
+    tall = curves.groupBy(*HALF).agg((F.max("dqdv") - F.min("dqdv")).alias("amplitude"))
     side = Window.partitionBy("cell_id", "step")
     kept = (
         tall.withColumn("r", F.row_number().over(side.orderBy("cycle")) - 1)

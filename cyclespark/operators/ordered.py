@@ -1,12 +1,12 @@
 """Ordered-sequence building blocks that survive a hot half-cycle.
 
-Record order matters inside a half-cycle, and a plain
-``Window.partitionBy(half-cycle)`` would put a whole half-cycle into one task.
-Here a half-cycle with more than ``SLICE_RECORDS`` records is cut into
-``slice`` ranges of ``seq``; windows run inside a slice, and what crosses a
-slice border (previous record, running total, last flagged record) is carried
-by a table with one row per slice.  Ordinary half-cycles keep ``slice = 0``
-and have no row in the carry tables, so they cost one shuffle as usual.
+Record order matters inside a half-cycle, and a window over a half-cycle puts
+it into one task.  ``with_slices`` first checks sizes.  When every half-cycle
+is ordinary the operators use plain windows: one shuffle, one sort.  When some
+half-cycle is above ``SLICE_RECORDS`` the records get a ``slice`` column (a
+range of the order), windows run inside a slice, and what crosses a slice
+border (previous record, running total, last flagged record) is carried by a
+table with one row per slice.
 """
 
 from __future__ import annotations
@@ -20,12 +20,17 @@ from cyclespark.schema import HALF, SLICED
 SLICE_RECORDS = 4_000_000
 
 
+_CHECKED: dict[tuple, bool] = {}
+
+
 def with_slices(records: DataFrame, limit: int = SLICE_RECORDS, by: str = "seq") -> DataFrame:
-    """Add ``slice`` and ``n_slices``; only half-cycles above ``limit`` are cut.
+    """Add ``n_slices``, and ``slice`` when some half-cycle has more than ``limit`` records.
 
-    The broadcast side has one short row per half-cycle above the limit, so
-    never more than (all records / limit) rows.
+    The size check is one aggregation over the key columns, done once per
+    input.  The broadcast side of the cut has one short row per half-cycle
+    above the limit, so never more than (all records / limit) rows.
     """
+    records = records.drop("slice", "n_slices")
     parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
     hot = (
         records.groupBy(*HALF)
@@ -33,11 +38,15 @@ def with_slices(records: DataFrame, limit: int = SLICE_RECORDS, by: str = "seq")
         .filter((F.col("n") > limit) & (F.col("slice_hi") > F.col("slice_lo")))
         .select(*HALF, "slice_lo", "slice_hi", parts.alias("parts"))
     )
+    key = (id(records.sparkSession), limit, records.select(*HALF).semanticHash())
+    if key not in _CHECKED:
+        _CHECKED[key] = hot.isEmpty()
+    if _CHECKED[key]:
+        return records.withColumn("n_slices", F.lit(1))
     position = (F.col(by) - F.col("slice_lo")) / (F.col("slice_hi") - F.col("slice_lo"))
     cut = F.least(F.floor(position * F.col("parts")), F.col("parts") - 1)
     return (
-        records.drop("slice", "n_slices")
-        .join(F.broadcast(hot), HALF, "left")
+        records.join(F.broadcast(hot), HALF, "left")
         .withColumn("slice", F.coalesce(cut, F.lit(0)).cast("int"))
         .withColumn("n_slices", F.coalesce(F.col("parts"), F.lit(1)).cast("int"))
         .drop("slice_lo", "slice_hi", "parts")
@@ -45,16 +54,16 @@ def with_slices(records: DataFrame, limit: int = SLICE_RECORDS, by: str = "seq")
 
 
 def sliced(df: DataFrame) -> DataFrame:
-    return df if "slice" in df.columns else with_slices(df)
+    return df if "n_slices" in df.columns else with_slices(df)
 
 
-def in_order(by: tuple = ("seq",)):
-    """Window over one slice of a half-cycle in record order."""
-    return Window.partitionBy(*SLICED).orderBy(*by)
+def is_cut(df: DataFrame) -> bool:
+    return "slice" in df.columns
 
 
-def _running(by: tuple):
-    return in_order(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def parts(df: DataFrame) -> list[str]:
+    """Partition keys of the ordered windows over ``df``."""
+    return SLICED if is_cut(df) else HALF
 
 
 def _over_slices():
@@ -70,16 +79,17 @@ def with_previous(df: DataFrame, columns: dict[str, str], by: tuple = ("seq",))
 
     ``has_previous`` tells a first record from a NULL value.
     """
+    w = Window.partitionBy(*parts(df)).orderBy(*by)
+    lags = [F.lag(s).over(w).alias(n) for s, n in columns.items()]
+    if not is_cut(df):
+        return df.select("*", *lags, (F.row_number().over(w) > 1).alias("has_previous"))
     last = (
         _hot(df)
         .groupBy(*SLICED)
         .agg(F.max_by(F.struct(*columns), F.struct(*by)).alias("edge"))
         .select(*SLICED, F.lag("edge").over(_over_slices()).alias("edge"))
     )
-    w = in_order(by)
-    out = df.select(
-        "*", *[F.lag(s).over(w).alias(n) for s, n in columns.items()], F.row_number().over(w).alias("_rn")
-    ).join(last, SLICED, "left")
+    out = df.select("*", *lags, F.row_number().over(w).alias("_rn")).join(last, SLICED, "left")
     first = F.col("_rn") == 1
     return out.withColumns(
         {n: F.when(first, F.col("edge")[s]).otherwise(F.col(n)) for s, n in columns.items()}
@@ -87,34 +97,20 @@ def with_previous(df: DataFrame, columns: dict[str, str], by: tuple = ("seq",))
     ).drop("_rn", "edge")
 
 
-def with_next(df: DataFrame, columns: dict[str, str], by: tuple = ("seq",)) -> DataFrame:
-    """Add the next record's value of each column (``{source: new name}``)."""
-    first = (
-        _hot(df)
-        .groupBy(*SLICED)
-        .agg(F.min_by(F.struct(*columns), F.struct(*by)).alias("edge"))
-        .select(*SLICED, F.lead("edge").over(_over_slices()).alias("edge"))
-    )
-    w = in_order(by)
-    out = df.select(
-        "*", *[F.lead(s).over(w).alias(n) for s, n in columns.items()], F.lead(F.lit(1)).over(w).alias("_more")
-    ).join(first, SLICED, "left")
-    last = F.col("_more").isNull()
-    return out.withColumns(
-        {n: F.when(last, F.col("edge")[s]).otherwise(F.col(n)) for s, n in columns.items()}
-    ).drop("_more", "edge")
-
-
 def with_running(df: DataFrame, fold: str, source: str, name: str, by: tuple = ("seq",)) -> DataFrame:
     """Add the inclusive running ``sum``, ``max`` or ``min`` of ``source`` in record order."""
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[fold]
+    w = Window.partitionBy(*parts(df)).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumn(name, agg(source).over(w))
+    if not is_cut(df):
+        return out
     carry = (
         _hot(df)
         .groupBy(*SLICED)
         .agg(agg(source).alias("_t"))
         .select(*SLICED, agg("_t").over(_over_slices().rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
     )
-    out = df.withColumn(name, agg(source).over(_running(by))).join(carry, SLICED, "left")
+    out = out.join(carry, SLICED, "left")
     if fold == "sum":
         total = F.when(F.col("_c").isNull(), F.col(name)).otherwise(F.coalesce(F.col(name), F.lit(0)) + F.col("_c"))
     else:
@@ -122,14 +118,28 @@ def with_running(df: DataFrame, fold: str, source: str, name: str, by: tuple = (
     return out.withColumn(name, total).drop("_c")
 
 
+def with_totals(df: DataFrame, **aggs: Column) -> DataFrame:
+    """Add half-cycle aggregates to every record.
+
+    Ordinary data: a window over the half-cycle, sharing the shuffle of the
+    ordered windows.  Cut data: a partial aggregation joined back per slice.
+    """
+    if not is_cut(df):
+        w = Window.partitionBy(*HALF)
+        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    return attach(df, df.groupBy(*HALF).agg(slices(), *[a.alias(n) for n, a in aggs.items()]))
+
+
 def with_halo(df: DataFrame, rows: int, by: tuple = ("seq",)) -> DataFrame:
     """Copy the border records of every cut slice into its neighbours, marked ``halo``.
 
     A rolling frame of up to ``rows`` records then needs only its own slice.
     """
+    if not is_cut(df):
+        return df.withColumn("halo", F.lit(False))
     hot = _hot(df).select(
         "*",
-        F.row_number().over(in_order(by)).alias("_a"),
+        F.row_number().over(Window.partitionBy(*SLICED).orderBy(*by)).alias("_a"),
         F.row_number().over(Window.partitionBy(*SLICED).orderBy(*[F.desc(c) for c in by])).alias("_z"),
     )
     down = hot.filter((F.col("_a") <= rows) & (F.col("slice") > 0)).withColumn("slice", F.col("slice") - 1)
@@ -138,18 +148,16 @@ def with_halo(df: DataFrame, rows: int, by: tuple = ("seq",)) -> DataFrame:
     return df.withColumn("halo", F.lit(False)).unionByName(copies)
 
 
-def per_slice(scalars: DataFrame) -> DataFrame:
-    """Repeat a one-row-per-half-cycle table once per slice, ready for a join on ``SLICED``."""
-    return scalars.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1))).drop("n_slices")
-
-
 def attach(df: DataFrame, scalars: DataFrame, how: str = "inner") -> DataFrame:
-    """Join half-cycle scalars (holding ``n_slices``) back to the records.
+    """Join a one-row-per-half-cycle table (holding ``n_slices``) back to the records.
 
-    The join key includes ``slice``, so a hot half-cycle stays spread out and
-    the shuffle of the record windows is reused.
+    On cut data the table is repeated once per slice and joined on the slice,
+    so a hot half-cycle stays spread out and the window shuffle is reused.
     """
-    return df.join(per_slice(scalars), SLICED, how)
+    if not is_cut(df):
+        return df.join(scalars.drop("n_slices"), HALF, how)
+    repeated = scalars.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1))).drop("n_slices")
+    return df.join(repeated, SLICED, how)
 
 
 def slices() -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cyclespark.operators.clean import step_direction
-from cyclespark.operators.ordered import attach, sliced, slices, with_previous, with_running
-from cyclespark.schema import CELL, CYCLE, HALF, SLICED
+from cyclespark.operators.clean import step_direction, with_direction
+from cyclespark.operators.ordered import sliced, with_previous, with_running, with_totals
+from cyclespark.schema import CELL, CYCLE, HALF
 
 PLATEAU_FRACTION = 0.05
 LIMIT_TOLERANCE_V = 0.050
@@ -32,8 +32,8 @@ def record_spacing(records: DataFrame, min_records: int = 50) -> DataFrame:
     """Median and smallest non-zero voltage step in mV, and share of repeated voltages, per cell."""
     rows = with_previous(sliced(records.filter("voltage IS NOT NULL")), {"voltage": "v0"})
     dv = F.abs(F.col("voltage") - F.col("v0"))
-    per_half = rows.groupBy(*HALF).agg(slices(), F.count(F.lit(1)).alias("n"))
-    steps = attach(rows, per_half.filter(F.col("n") >= min_records)).filter("has_previous").withColumn("mv", dv * 1000.0)
+    rows = with_totals(rows, n=F.count(F.lit(1)))
+    steps = rows.filter(F.col("n") >= min_records).filter("has_previous").withColumn("mv", dv * 1000.0)
     moved = F.when(F.col("mv") > 0, F.col("mv"))
     # Voltages have a fixed resolution, so a cell has few distinct steps: the count per step is small.
     return steps.groupBy(*CELL).agg(
@@ -116,11 +116,8 @@ def reversals(records: DataFrame, min_records: int = 1) -> DataFrame:
     a running maximum, so runs that cross a slice border stay whole.
     """
     rows = with_previous(sliced(records.filter("voltage IS NOT NULL")), {"voltage": "v0", "capacity": "q0"})
-    base = rows.groupBy(*HALF).agg(slices(), F.count(F.lit(1)).alias("n"), F.percentile(F.abs("current_a"), 0.5).alias("mi"))
-    base = base.join(step_direction(rows), HALF, "left").filter("n >= 3")
-    rows = attach(rows, base).withColumn(
-        "back", F.coalesce((F.col("voltage") - F.col("v0")) * F.col("direction") < 0, F.lit(False))
-    )
+    rows = with_totals(with_direction(rows), n=F.count(F.lit(1)), mi=F.percentile(F.abs("current_a"), 0.5)).filter("n >= 3")
+    rows = rows.withColumn("back", F.coalesce((F.col("voltage") - F.col("v0")) * F.col("direction") < 0, F.lit(False)))
     rows = with_running(rows.withColumn("_f", F.when(~F.col("back"), F.col("seq"))), "max", "_f", "anchor_seq")
     back = F.col("back")
     time_s = F.col("time_s") if "time_s" in records.columns else F.lit(None).cast("double")

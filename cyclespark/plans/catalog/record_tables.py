@@ -117,8 +117,10 @@ stripped AS (SELECT * FROM run WHERE NOT (in_tail AND run >= 3 AND n >= 6))
 max(seq) FILTER (NOT (in_tail AND run >= 3 AND n >= 6)) AS last_kept FROM run GROUP BY ALL""")
 def _(spark, sf):
     r = records(spark, sf)
-    kept = B.strip_hold(r).groupBy("cell_id", "cycle", "step").agg(F.max("seq").alias("last_kept"))
-    return B.hold_table(r).select("cell_id", "cycle", "step", "n_records", "n_hold").join(kept, ["cell_id", "cycle", "step"], "left")
+    return B.mark_hold(r).groupBy("cell_id", "cycle", "step").agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum(F.col("in_hold").cast("int")).alias("n_hold"),
+        F.max(F.when(~F.col("in_hold"), F.col("seq"))).alias("last_kept"),
+    )
 
 
 @query("b10_strip_hold_by_voltage", """WITH d AS (SELECT *, abs(voltage - lag(voltage) OVER (PARTITION BY cell_id, cycle, step ORDER BY seq)) AS dv,
