@@ -38,7 +38,7 @@ def with_slices(records: DataFrame, limit: int = SLICE_RECORDS, by: str = "seq")
         .filter((F.col("n") > limit) & (F.col("slice_hi") > F.col("slice_lo")))
         .select(*HALF, "slice_lo", "slice_hi", parts.alias("parts"))
     )
-    key = (id(records.sparkSession), limit, records.select(*HALF).semanticHash())
+    key = (records.sparkSession.sparkContext.applicationId, limit, by, records.select(*HALF, by).semanticHash())
     if key not in _CHECKED:
         _CHECKED[key] = hot.isEmpty()
     if _CHECKED[key]:

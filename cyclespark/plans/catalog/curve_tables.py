@@ -8,7 +8,8 @@ from cyclespark.operators import curves as V
 from cyclespark.operators import cycles as C
 from cyclespark.operators import sequences as E
 from cyclespark.plans.catalog.record_tables import HOLD, PROFILE, REVERSALS, WINDOW
-from cyclespark.plans.fixture import cells, records
+from cyclespark.plans.fixture import cells, records, shared
+from cyclespark.operators.lineage import cut
 from cyclespark.plans.registry import query
 from cyclespark.schema import HALF
 
@@ -54,25 +55,29 @@ curve AS (SELECT a.cell_id, a.cycle, a.step, a.bin, any_value(a.voltage) AS volt
 """
 
 
+@shared
 def settings(spark, sf):
     """Settings per cell, kept: one row per cell."""
     r = records(spark, sf)
-    return V.with_profile_settings(E.classify_profile(r)).join(B.voltage_window(r), "cell_id").persist()
+    return cut(V.with_profile_settings(E.classify_profile(r)).join(B.voltage_window(r), "cell_id"))
 
 
+@shared
 def steps(spark, sf):
     """Charge increments, kept (to disk when large): planning and filling the bins both read them."""
     return V.increments(B.strip_hold(records(spark, sf))).persist()
 
 
+@shared
 def plan(spark, sf):
     """Bin layouts, one row per half-cycle, kept because several branches read them."""
-    return V.bin_plan(steps(spark, sf), settings(spark, sf)).persist()
+    return cut(V.bin_plan(steps(spark, sf), settings(spark, sf)))
 
 
+@shared
 def curves(spark, sf):
     """Curves, kept: a few hundred rows per half-cycle, read by several branches."""
-    return V.histogram_curves(steps(spark, sf), plan(spark, sf)).persist()
+    return cut(V.histogram_curves(steps(spark, sf), plan(spark, sf)))
 
 
 @query("f1_charge_in_bins", f"WITH {STEPS} SELECT {K}, bin, voltage, width, charge, occupancy FROM bins", "voltage width charge")
@@ -225,6 +230,7 @@ def _(spark, sf):
     return half_report(spark, sf)
 
 
+@shared
 def half_report(spark, sf):
     """One row per half-cycle: records, hold, capacity, direction, reversals, bins."""
     r = records(spark, sf)
@@ -249,6 +255,7 @@ fid AS (SELECT ar.cell_id, ar.cycle, ar.step, CASE WHEN c > 0 THEN area / c END
 """
 
 
+@shared
 def fidelity(spark, sf):
     return V.integral_fidelity(curves(spark, sf), C.half_capacity(records(spark, sf)))
 
@@ -286,8 +293,9 @@ rec AS (SELECT mb.cell_id, mb.cycle, mb.step, CASE WHEN hi > lo THEN abs(qt - (h
 """
 
 
+@shared
 def reconstruction(spark, sf):
-    return V.reconstruct_voltage(curves(spark, sf), records(spark, sf))
+    return cut(V.reconstruct_voltage(curves(spark, sf), records(spark, sf)))
 
 
 @query("f11_voltage_reconstruction", f"WITH {CURVES}, {RECONSTRUCTION} SELECT * FROM rec", "ape_pct rmse_v q_reconstructed q_measured")
@@ -384,9 +392,10 @@ ev AS (SELECT {K}, anchor_seq, n_records, charge, v_start, v_end, span_mv, secon
 """
 
 
+@shared
 def events(spark, sf):
     r = records(spark, sf)
-    return E.classify_reversals(E.reversals(r), curves(spark, sf), B.voltage_window(r))
+    return cut(E.classify_reversals(E.reversals(r), curves(spark, sf), B.voltage_window(r)))
 
 
 @query("e3_reversal_mechanisms", f"WITH {CURVES}, {REVERSALS}, {EVENTS} SELECT * FROM ev", "charge v_start v_end span_mv seconds voltage dqdv_share")
@@ -411,13 +420,14 @@ integ AS (SELECT {K}, capacity, theoretical_mAh_g, capacity_ratio, over_theoreti
 INTEGRITY_COLUMNS = "capacity theoretical_mAh_g capacity_ratio plateau_charge cv_charge parasitic_charge parasitic_fraction"
 
 
+@shared
 def integrity(spark, sf):
     """Integrity table, one row per half-cycle, kept for the verdicts that read it."""
     r = records(spark, sf)
     n = B.half_cycles(r).select(*HALF, "n_records")
     shaped = curves(spark, sf).select(*HALF).distinct().withColumn("has_curve", F.lit(True))
     halves = n.join(C.half_capacity(r), HALF).join(shaped, HALF, "left").withColumn("has_curve", F.coalesce("has_curve", F.lit(False)))
-    return E.integrity(halves, events(spark, sf), cells(spark, sf)).persist()
+    return cut(E.integrity(halves, events(spark, sf), cells(spark, sf)))
 
 
 ALL = f"{CURVES}, {REVERSALS}, {EVENTS}, {INTEGRITY}"

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cyclespark.operators import cycles as C
 from cyclespark.operators import rates as R
-from cyclespark.plans.fixture import cells, records
+from cyclespark.plans.fixture import cells, records, shared
+from cyclespark.operators.lineage import cut
 from cyclespark.plans.registry import query
 
 DELIVERED = """
@@ -31,6 +32,7 @@ tbl AS (
 USABLE = "NOT (incomplete OR partial_final)"
 
 
+@shared
 def in_progress(spark, sf):
     """Half-cycles known to have been running at export."""
     return (
@@ -41,19 +43,23 @@ def in_progress(spark, sf):
     )
 
 
+@shared
 def table(spark, sf):
     """The cycle table: one row per cycle, read several times by most queries, hence kept."""
-    return C.cycling_summary(records(spark, sf), in_progress(spark, sf)).persist()
+    return cut(C.cycling_summary(records(spark, sf), in_progress(spark, sf)))
 
 
+@shared
 def current(spark, sf):
-    return R.discharge_current(records(spark, sf)).persist()
+    return cut(R.discharge_current(records(spark, sf)))
 
 
+@shared
 def grouped(spark, sf):
     return R.group_by_rate(current(spark, sf))
 
 
+@shared
 def groups(spark, sf):
     return R.rate_groups(grouped(spark, sf), cells_with_theory(spark, sf))
 
@@ -63,6 +69,7 @@ def cells_with_theory(spark, sf):
     return cells(spark, sf).withColumn("theoretical_mAh_g", F.coalesce("theoretical_mAh_g", F.lit(125.0)))
 
 
+@shared
 def labels(spark, sf):
     return R.rate_block_labels(table(spark, sf), groups(spark, sf))
 

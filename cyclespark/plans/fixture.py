@@ -9,6 +9,8 @@ half-cycles grows with the tables.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,22 @@ _DAY_SPARK = "datediff(l_shipdate, DATE '1995-01-01')"
 _DAY_SQL = "date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))"
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(build):
+    """Build a table once per (application, input), so that branches reading it share one plan."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__module__, build.__name__)
+        if key not in _SHARED:
+            _SHARED[key] = build(spark, sf_dir)
+        return _SHARED[key]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,6 +118,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidied records, ready for every record-level operator."""
     tidy = tidy_steps(raw_records(spark, sf_dir), "step_type").withColumnRenamed("step_type", "step")
@@ -145,6 +164,7 @@ _CELLS_BASE = (
 )
 
 
+@shared
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell dimension: one row per cell with its stated parameters."""
     base = (
