@@ -6,6 +6,7 @@ six decimals on both sides, because a distributed sum has no fixed order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,8 @@ def oracle(sql: str, doubles: str, base: str) -> str:
         text = "WITH RECURSIVE " + ", ".join([*ctes, body])
     else:
         text = ("WITH " + ", ".join(ctes) + " " if ctes else "") + body
+    # Tables read by several branches are computed once.
+    text = re.sub(r"(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", text)
     names = doubles.split()
     if not names:
         return text
