@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
+from .lang_id import held_out, identify, train
+from .license_scan import scan_licences
 from .quality import judge_quality
+from .syncmers import fingerprint_documents
 from .url_filter import judge_urls
 
 RULES = [
@@ -17,6 +20,10 @@ RULES = [
 ]
 
 
+def op2_license_scan(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
+
+
 def op4_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -27,9 +34,21 @@ def op5_quality_rules(spark, sf_dir):
     return judge_quality(docs).drop("lang", "source")
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 5, 0))
+    return identify(docs.drop("lang"), train(docs.filter("not held_out")))
+
+
+def op10_syncmers(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op10_syncmers": op10_syncmers,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
