@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .lang_id import held_out, identify, train
 from .license_scan import scan_licences
+from .packing import pack_documents
 from .quality import judge_quality
 from .syncmers import fingerprint_documents
+from .toxicity import score_toxicity
 from .url_filter import judge_urls
 
 RULES = [
@@ -34,6 +36,16 @@ def op5_quality_rules(spark, sf_dir):
     return judge_quality(docs).drop("lang", "source")
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out("doc_id", 4, 2))
+    return scored.withColumn("held_out", held_out("doc_id", 4, 2))
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 5, 0))
     return identify(docs.drop("lang"), train(docs.filter("not held_out")))
@@ -47,6 +59,8 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op10_syncmers": op10_syncmers,
 }
