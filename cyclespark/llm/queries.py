@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .lang_id import held_out, identify, train
 from .license_scan import scan_licences
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
 from .syncmers import fingerprint_documents
@@ -51,6 +52,10 @@ def op8_language_id(spark, sf_dir):
     return identify(docs.drop("lang"), train(docs.filter("not held_out")))
 
 
+def op9_order_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_syncmers(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_order_minhash": op9_order_minhash,
     "op10_syncmers": op10_syncmers,
 }
 
