@@ -10,6 +10,7 @@ from .license_scan import scan_licences
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
+from .substring_dedup import drop_repeats
 from .syncmers import fingerprint_documents
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
@@ -27,6 +28,10 @@ def op2_license_scan(spark, sf_dir):
     return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -62,6 +67,7 @@ def op10_syncmers(spark, sf_dir):
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
