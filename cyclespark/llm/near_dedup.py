@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, mixed, span_hashes, stored, utf8, word_spans
 from .components import components
@@ -184,6 +185,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     table gives no rows. Only key and text are read; other columns don't matter.
     """
     plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    drawn, named = _classes(plain, like, k)
+    return drawn.select("_key", "node").join(named, "node").select(F.col("_key").alias(key), "copy_of", "class_id", "n_links")
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", like: float = LIKE, k: int = WORDS) -> DataFrame:
+    """The rows of docs that stand for their group: one row each, with the smallest key (null last), see near_duplicates."""
+    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    _, named = _classes(plain, like, k)
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "node")).alias("b"))
+    rows = docs.withColumns({"_key": F.col(key), "_text": F.col(text)})
+    return _rows_of(rows, best.select("b.node", "b.copy_of")).drop("_key", "_text", "node")
+
+
+def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches (_key, node, ..), and for each node root, copy_of, class_id and n_links."""
     drawn = stored(sketch(plain, "_key", "text", k), "sketch")
     nodes = stored(drawn.groupBy("node").agg(F.min("_key").alias("copy_of"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "nodes")
     buckets = nodes.filter("n > 0").select("node", "n", F.posexplode("signatures").alias("draw", "sig"))
@@ -219,18 +235,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "copy_of").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    named = named.join(smallest, "root").select("node", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return drawn.select("_key", "node").join(named, "node").select(F.col("_key").alias(key), "copy_of", "class_id", "n_links")
+    return drawn, stored(named.join(smallest, "root").select("node", "root", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
 
-def _texts_of(plain: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) for nodes (node, copy_of), each text once."""
+def _rows_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of rows (_key, _text, ..) one for each of nodes (node, copy_of)."""
 
     def run(inputs):
-        for batch in batches(inputs):
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(_names(*utf8(batch.column("text")))), batch.column("text")], names=["_key", "node", "text"])
+        for batch in batches(inputs, column="_text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_names(*utf8(batch.column("_text"))), pa.string())], names=[*batch.schema.names, "node"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.StringType())])
+    wanted = nodes.select(F.col("node").alias("_n"), "copy_of")
+    found = rows.mapInArrow(run, schema).join(wanted, (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("copy_of")))
+    return found.drop("_n", "copy_of").dropDuplicates(["node"])
 
-    kind = plain.schema["_key"].dataType.simpleString()
-    named = plain.mapInArrow(run, f"_key {kind}, node string, text string")
-    found = named.join(nodes.select(F.col("node").alias("_n"), "copy_of"), (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("copy_of")))
-    return found.select("node", "text").dropDuplicates(["node"])
+
+def _texts_of(plain: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) for nodes (node, copy_of), each text once."""
+    return _rows_of(plain.select("_key", F.col("text").alias("_text")), nodes).select("node", F.col("_text").alias("text"))

@@ -76,8 +76,8 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("total"), *at)
 
 
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", reach: int = 4, slack: int = 250, enough: int = 200) -> DataFrame:
-    """docs (without the text) with counts, base_failed and kept.
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", reach: int = 4, slack: int = 250, enough: int = 200, with_text: bool = False) -> DataFrame:
+    """docs (without the text, unless with_text) with counts, base_failed and kept.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. Every text that passes is judged by
     thresholds of its language and source: each measure may differ from the median by `reach` times the spread of the
@@ -91,8 +91,9 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     own = [c for c in docs.columns if c not in (*counts, "base_failed", "kept", text)]
     named = {"_lang": F.coalesce(F.concat(F.lit("="), lang), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), source), F.lit(""))}
-    counted = with_counts(docs.select(*own, text), text).drop(text).withColumns(named)
-    counted = stored(counted.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")), "quality")
+    full = with_counts(docs.select(*own, text), text).withColumns(named)
+    full = full.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    counted = stored(full.drop(text), "quality")
     fine = sketches(counted.filter("not base_failed"), ["_lang", "_source"])
     coarse = fine.groupBy("_lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     wide = quartiles(coarse, ["_lang"]).select("_lang", "measure", *[F.col(f"q{k}").alias(f"w{k}") for k in (1, 2, 3)])
@@ -104,4 +105,6 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     )
     inside = " and ".join(f"{e} between _{m}_low and _{m}_high" for m, e in MEASURES.items())
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.expr(inside), F.lit(True)))
+    if with_text:  # counted again rather than joined or stored with the texts
+        own, counted = [*own, text], full
     return counted.join(limits, ["_lang", "_source"], "left").select(*own, *counts, "base_failed", kept.alias("kept"))

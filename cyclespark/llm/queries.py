@@ -9,6 +9,7 @@ from .lang_id import held_out, identify, train
 from .license_scan import scan_licences
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pieces import decode_ids, encode_texts
 from .quality import judge_quality
 from .substring_dedup import drop_repeats
 from .syncmers import fingerprint_documents
@@ -24,6 +25,17 @@ RULES = [
 ]
 
 
+def op1_sentencepiece(spark, sf_dir):
+    """ids of every text, and whether they decode to it again."""
+    import public_tokenizers as P
+
+    model = P.path("piece_bpe_32k.model")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = decode_ids(encoded, model)
+    same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 def op2_license_scan(spark, sf_dir):
     return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
 
@@ -66,6 +78,7 @@ def op10_syncmers(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,

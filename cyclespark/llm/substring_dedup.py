@@ -183,16 +183,19 @@ def _marks(parsed: Parsed):
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 20, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: key, n_words, n_removed and kept_sha256, and with_text the kept words joined by one space.
+    """One row per row of docs: its columns but the text, n_words, n_removed and kept_sha256.
+
+    with_text adds the text: as it was where nothing is removed, else the kept words joined by one space.
 
     A word goes if a window of `size` words covers it whose word sequence also starts earlier: at a smaller key, or earlier in
     the same text. Windows are judged on the input. Words are what stands between blanks.
 
     Null texts have no words. Rows with the same key count as one place in the order: of equal windows in them the one with
     the smaller start is earlier, and at the same start none is. Null keys come last, as one such place. Texts shorter than
-    the window stay whole. An empty table gives no rows. Columns other than key and text are not read.
+    the window stay whole. An empty table gives no rows. Columns called like the new ones are replaced.
     """
-    plain = docs.select(F.col(key).alias("_own"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_key"), F.col(text).alias("text"))
+    own = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_sha256")]
+    plain = docs.select(F.struct(*own).alias("_own"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_key"), F.col(text).alias("text"))
 
     def mark(inputs):
         for batch in batches(inputs):
@@ -261,24 +264,24 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 names=["_own", "_key", "tag", "n_words", "sha", "text", "sure", "w", "k1", "k2"],
             )
 
-    own = plain.schema["_own"].dataType.simpleString()
     joined = plain.join(told, F.col("_key") == F.col("_k"), "left").select("_own", "_key", "text", "marks")
-    kinds = f"_own {own}, _key long, tag long, n_words long, sha string, text string, sure array<int>, w array<int>, k1 array<long>, k2 array<long>"
+    kinds = "_key long, tag long, n_words long, sha string, text string, sure array<int>, w array<int>, k1 array<long>, k2 array<long>"
+    kinds = T.StructType([plain.schema["_own"], *T._parse_datatype_string(kinds).fields])
     compared = stored(joined.mapInArrow(compare, kinds), "windows")
 
     asked = compared.filter(F.size("w") > 0).select("_key", "tag", F.inline(F.arrays_zip("w", "k1", "k2")))
     at = F.struct("_key", "w")
     later = asked.withColumn("first", F.min(at).over(alike)).filter(at > F.col("first"))
     later = later.groupBy(F.col("_key").alias("_k"), F.col("tag").alias("_t")).agg(F.collect_list("w").alias("later"))
-    fields = [docs.schema[key], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string").fields]
-    schema = T.StructType(fields + ([T.StructField(text, T.StringType())] if with_text else []))
+    fields = [plain.schema["_own"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string").fields]
+    schema = T.StructType(fields + ([T.StructField("_text", T.StringType())] if with_text else []))
 
     def cut(inputs):
         for batch in batches(inputs, rows=1000):
             rows = []
             for t, n, sha, sure, more in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "sha", "sure", "later"))):
                 starts = np.array([*sure, *(more or ())], np.int64)
-                words = t.encode().split() if t is not None else []
+                words = t.encode().split() if len(starts) else []
                 gone = np.zeros(n + 1, np.int64)
                 if len(starts):
                     np.add.at(gone, starts, 1)
@@ -286,10 +289,8 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 stay = np.cumsum(gone)[:-1] == 0
                 if len(starts):
                     kept = b" ".join([words[i] for i in np.flatnonzero(stay)])
-                    sha = hashlib.sha256(kept).hexdigest()
-                else:
-                    kept = b" ".join(words)
-                rows.append((n, int(n - stay.sum()), sha, kept.decode() if with_text else None))
+                    sha, t = hashlib.sha256(kept).hexdigest(), kept.decode()
+                rows.append((n, int(n - stay.sum()), sha, t))
             cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
             cells += [pa.array([r[3] for r in rows], pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([batch.column("_own"), *cells], names=schema.names)
@@ -298,4 +299,4 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     touched = compared.filter((F.size("w") > 0) | (F.size("sure") > 0)).drop("w", "k1", "k2")
     touched = touched.join(later, (F.col("_key") == F.col("_k")) & (F.col("tag") == F.col("_t")), "left").select(*shown)
     whole = compared.filter((F.size("w") == 0) & (F.size("sure") == 0)).withColumn("later", F.lit(None).cast("array<int>")).select(*shown)
-    return touched.union(whole).mapInArrow(cut, schema)
+    return touched.union(whole).mapInArrow(cut, schema).select("_own.*", "n_words", "n_removed", "kept_sha256", *([F.col("_text").alias(text)] if with_text else []))

@@ -85,9 +85,9 @@ def induce(sample: DataFrame, text: str, voters: int, features: int) -> list[tup
     return [(r[0], r[1], r[2]) for r in best.select("stem", "pos", "neg").collect()]
 
 
-def with_features(docs: DataFrame, text: str, stems: list[str]) -> DataFrame:
+def with_features(docs: DataFrame, text: str, stems: list[str], with_text: bool = False) -> DataFrame:
     """docs (without the text) with hits: the numbers of the lexicons, patterns and stems found in the whole text, in order."""
-    own = [c for c in docs.columns if c not in (text, "hits")]
+    own = [c for c in docs.columns if c != "hits" and (with_text or c != text)]
     schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("hits", T.ArrayType(T.IntegerType()))])
     of_word: dict[str, list[int]] = {}
     for k, words in enumerate(LEXICONS.values()):
@@ -121,7 +121,7 @@ def with_features(docs: DataFrame, text: str, stems: list[str]) -> DataFrame:
                 quiet = set()
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(out, pa.list_(pa.int32()))], names=schema.names)
 
-    return docs.select(*own, text).mapInArrow(find, schema)
+    return docs.select(*dict.fromkeys([*own, text])).mapInArrow(find, schema)
 
 
 def label_model(votes: DataFrame, voters: int, rounds: int = 6) -> dict:
@@ -208,9 +208,9 @@ def fit_linear(hits: list, target: np.ndarray, features: int, steps: int = 300,
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", sample: int = 20_000, voters: int = 64, features: int = 600, threshold: float = 0.3
+    docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", sample: int = 20_000, voters: int = 64, features: int = 600, threshold: float = 0.3, with_text: bool = False
 ) -> DataFrame:
-    """docs (without the text) with score (0 to 1) and predicted (1 from `threshold` on).
+    """docs (without the text, unless with_text) with score (0 to 1) and predicted (1 from `threshold` on).
 
     labels (key, toxic) are learnt from only for rows that `learn` (a condition on the key) allows. At most `sample` labelled
     rows, those with the smallest hash of their key, serve to induce stems and to fit the classifier; the label model sees the
@@ -230,8 +230,7 @@ def score_toxicity(
     stems = [s for s, _, _ in induced]
     base = len(LEXICONS) + len(PATTERNS)
     n_voters, n_features = base + min(voters, len(stems)), base + len(stems)
-    plain = docs.select(*own, text)
-    found = stored(with_features(plain, text, stems), "votes")
+    found = stored(with_features(docs.select(*own, text), text, stems), "votes")
     lean = found.select(F.col(key).alias("_k"), "hits", F.filter("hits", lambda h: h < n_voters).alias("_v"))
     labelled = lean.join(known, F.col("_k") == F.col("_key"), "left")
     patterns = stored(labelled.groupBy(F.col("_v").alias("hits"), "toxic").agg(F.count("*").alias("n")), "patterns")
@@ -244,4 +243,7 @@ def score_toxicity(
     array = F.array(*[F.lit(float(w)) for w in weights[:-1]])
     z = F.aggregate("hits", F.lit(float(weights[-1])), lambda a, h: a + F.get(array, h))
     score = 1 / (1 + F.exp(-z))
+    if with_text:  # found again rather than joined or stored with the texts
+        own = [c for c in docs.columns if c not in (*new, "hits")]
+        found = with_features(docs.select(*own), text, stems, with_text=True)
     return found.select(*own, score.alias("score")).select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
