@@ -194,8 +194,9 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     _, named = _classes(plain, like, k)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "node")).alias("b"))
-    rows = docs.withColumns({"_key": F.col(key), "_text": F.col(text)})
-    return _rows_of(rows, best.select("b.node", "b.copy_of")).drop("_key", "_text", "node")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*[c for c in docs.columns if c != text]).alias("_row"))
+    kept = _rows_of(rows, best.select("b.node", "b.copy_of"))
+    return kept.select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.{c}") for c in docs.columns])
 
 
 def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFrame]:

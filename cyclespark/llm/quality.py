@@ -90,10 +90,10 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     own = [c for c in docs.columns if c not in (*counts, "base_failed", "kept", text)]
-    named = {"_lang": F.coalesce(F.concat(F.lit("="), lang), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), source), F.lit(""))}
-    full = with_counts(docs.select(*own, text), text).withColumns(named)
+    group = [F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in (lang, source)]
+    full = with_counts(docs.select(F.struct(*own).alias("_own"), F.col(text).alias("_text"), group[0].alias("_lang"), group[1].alias("_source")), "_text")
     full = full.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
-    counted = stored(full.drop(text), "quality")
+    counted = stored(full.drop("_text"), "quality")
     fine = sketches(counted.filter("not base_failed"), ["_lang", "_source"])
     coarse = fine.groupBy("_lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     wide = quartiles(coarse, ["_lang"]).select("_lang", "measure", *[F.col(f"q{k}").alias(f"w{k}") for k in (1, 2, 3)])
@@ -105,6 +105,7 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     )
     inside = " and ".join(f"{e} between _{m}_low and _{m}_high" for m, e in MEASURES.items())
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.expr(inside), F.lit(True)))
+    shown = ["_own.*"]
     if with_text:  # counted again rather than joined or stored with the texts
-        own, counted = [*own, text], full
-    return counted.join(limits, ["_lang", "_source"], "left").select(*own, *counts, "base_failed", kept.alias("kept"))
+        shown, counted = ["_own.*", F.col("_text").alias(text)], full
+    return counted.join(limits, ["_lang", "_source"], "left").select(*shown, *counts, "base_failed", kept.alias("kept"))
