@@ -80,7 +80,9 @@ def induce(sample: DataFrame, text: str, voters: int, features: int) -> list[tup
     if not all(size):
         return []
     odds = F.log((F.col("pos") + 0.5) / (size[0] + 1)) - F.log((F.col("neg") + 0.5) / (size[1] + 1))
-    told = per.filter("stem <> '' and pos >= 4").withColumn("odds", odds).filter("odds > 1.5")
+    # three standard errors below the log odds: stems that a few toxic texts share by chance stay out
+    sure = F.col("odds") - 3 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    told = per.filter("stem <> '' and pos >= 4").withColumn("odds", odds).filter(sure > 0.5)
     best = told.orderBy((F.col("odds") * F.sqrt("pos")).desc(), "stem").limit(features)
     return [(r[0], r[1], r[2]) for r in best.select("stem", "pos", "neg").collect()]
 
