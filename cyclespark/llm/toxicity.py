@@ -36,15 +36,17 @@ PATTERNS = {
     "second_person_fr": r"\b(?:espèce|bande)\s+d[e']\s*\w+",
     "second_person_es": r"\b(?:eres|sois)\s+(?:un[ao]?\s+)?(?:idiota|basura|payaso|estúpid)\w*",
 }
-STEMS = (4, 5, 6)
+STEMS, OFTEN = (4, 5, 6, 7), (2, 3)
 
 
-def _stems(words) -> set[str]:
-    """Whole words, and beginnings of longer ones (marked by *)."""
-    out = set(words)
-    for w in words:
-        out.update([w[:k] + "*" for k in STEMS if len(w) > k])
-    return out
+def _beginnings(word: str) -> list[str]:
+    return [word[:k] + "*" for k in STEMS if len(word) > k]
+
+
+def _stems(words: set[str]) -> list[str]:
+    """Whole words, beginnings of longer ones (marked by *), and beginnings of several words (by their number, too)."""
+    n = Counter(b for w in words for b in _beginnings(w))
+    return [*words, *n, *(f"{b}{k}" for b, m in n.items() for k in OFTEN if m >= k)]
 
 
 @dataclass
@@ -96,7 +98,10 @@ def with_features(docs: DataFrame, text: str, stems: list[str], with_text: bool
         for w in words.split():
             of_word.setdefault(w, []).append(k)
     base = len(LEXICONS) + len(PATTERNS)
-    of_stem = {s: base + k for k, s in enumerate(stems)}
+    of_stem: dict[str, list[tuple[int, int]]] = {}
+    for k, s in enumerate(stems):
+        name, _, least = s.partition("*")
+        of_stem.setdefault(name + "*" * ("*" in s), []).append((int(least or 1), base + k))
     sent = docs.sparkSession.sparkContext.broadcast((of_word, of_stem))
 
     def find(inputs):
@@ -108,13 +113,16 @@ def with_features(docs: DataFrame, text: str, stems: list[str], with_text: bool
             out = []
             for t in batch.column(text).to_pylist():
                 hits: set[int] = set()
+                n: Counter = Counter()
                 low = (t or "").lower()
                 for w in set(_LETTERS.findall(low)) - quiet:
                     own_hits = words_of.get(w, [])
-                    more = [stems_of[s] for s in (w, *[w[:k] + "*" for k in STEMS if len(w) > k]) if s in stems_of]
-                    hits.update(own_hits, more)
+                    more = [s for s in (w, *_beginnings(w)) if s in stems_of]
+                    hits.update(own_hits)
+                    n.update(more)
                     if not own_hits and not more:
                         quiet.add(w)
+                hits.update(feature for s, m in n.items() for least, feature in stems_of[s] if m >= least)
                 for k, (pattern, gate) in enumerate(zip(patterns, gates)):
                     if any(g in low for g in gate) and pattern.search(low):
                         hits.add(len(LEXICONS) + k)
