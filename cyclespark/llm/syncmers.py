@@ -45,30 +45,28 @@ def likeness(a: Column, b: Column, keep: int) -> Column:
     return F.when(F.size(both) == 0, 1.0).otherwise(common / F.size(both))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", ranges: int = 16384) -> DataFrame:
-    """docs with next_<column> of the document that follows by descending key; the first follows the last.
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", prepare=lambda df: df, ranges: int = 16384) -> DataFrame:
+    """prepare(docs) with next_<column> of the document that follows by descending key; the first follows the last.
 
     Keys are cut into `ranges` ranges of equal width, each sorted on its own; the first row of a range also stands at the end
-    of the range before it. Only the ranges' first keys (as many as ranges, at most) are ordered in one task. Null keys come
-    last; rows with the same key follow each other in order of a hash of their columns.
+    of the range before it. The ranges' first keys (at most one for each range) are ordered in one task and sent to all. Null
+    keys come last; rows with the same key follow each other in order of a hash of all their columns.
     """
     low, high = docs.agg(F.min(key), F.max(key)).first()
     low, high = (low, high) if low is not None else (0, 0)
     width = float(high - low) / ranges + 1
-    tie = F.xxhash64(*columns)
-    rows = docs.withColumn("_range", F.coalesce(F.floor((F.col(key).cast("double") - low) / width), F.lit(-1))).withColumn("_tie", tie)
-    order = [F.col(key).desc_nulls_last(), F.col("_tie")]
+    rows = docs.withColumn("_range", F.coalesce(F.floor((F.col(key).cast("double") - low) / width), F.lit(-1))).withColumn("_tie", F.xxhash64(*docs.columns))
     tops = rows.groupBy("_range").agg(F.max(key).alias("_top"))
-    firsts = rows.join(tops.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_top")))
-    firsts = firsts.groupBy("_range").agg(F.min(F.struct("_tie", *[F.col(c).alias(f"_{c}") for c in columns])).alias("_f"))
     by_range = Window.orderBy(F.col("_range").desc())
     everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(everything))
-    ends = tops.select("_range", before.alias("_to")).join(firsts, "_range").select(
-        F.col("_to").alias("_range"), F.lit(True).alias("_end"), *[F.col(f"_f._{c}").alias(c) for c in columns]
-    )
-    both = rows.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
-    within = Window.partitionBy("_range").orderBy("_end", *order)
+    tops = F.broadcast(tops.select(F.col("_range").alias("_r"), "_top", before.alias("_to")))  # `ranges` + 1 rows at most
+    firsts = rows.join(tops, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_top")))
+    others = [c for c in docs.columns if c != key]
+    firsts = firsts.groupBy("_to").agg(F.min(F.struct("_tie", *[F.col(c).alias(f"_{c}") for c in others])).alias("_f"))
+    ends = firsts.select(F.col("_to").alias("_range"), *[F.col(f"_f._{c}").alias(c) for c in others]).withColumn("_end", F.lit(True))
+    both = prepare(rows).withColumn("_end", F.lit(False)).unionByName(prepare(ends), allowMissingColumns=True)
+    within = Window.partitionBy("_range").orderBy("_end", F.col(key).desc_nulls_last(), "_tie")
     return both.select("*", *[F.lead(c).over(within).alias(f"next_{c}") for c in columns]).filter("not _end").drop("_end", "_range", "_tie")
 
 
@@ -84,8 +82,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     new = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     own = [c for c in docs.columns if c not in new and c != text]
     df = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = with_anchors(df, "_text", "_a", k, s).withColumn("_fp", sketch(F.col("_a"), keep)).drop("_a")
-    df = with_next(df, ["_text", "_fp"], key)
+    df = with_next(df, ["_text", "_fp"], key, lambda x: with_anchors(x, "_text", "_a", k, s).withColumn("_fp", sketch(F.col("_a"), keep)).drop("_a"))
     df = df.withColumn("_n", F.length("_text")).withColumn("_half", F.floor(F.col("_n") / 2).cast("int"))
     df = df.withColumn("_edited", F.concat(F.expr("substring(_text, 1, _n - _half)"), F.expr("substring(next__text, 1, _half)")))
     df = with_anchors(df, "_edited", "_a", k, s).withColumn("_efp", sketch(F.col("_a"), keep))
