@@ -174,8 +174,8 @@ def format_c_rate(rate: Column, snap: bool = True) -> Column:
 
 
 def mv_to_samples(mv: Column, mean_step_v: Column) -> Column:
-    """Number of samples spanning ``mv`` at a mean voltage step (at least one)."""
-    return F.greatest(F.lit(1), F.floor(mv / 1000.0 / mean_step_v).cast("int"))
+    """Number of samples spanning ``mv`` at a mean voltage step, to the nearest (half to even), at least one."""
+    return F.greatest(F.lit(1), F.bround(mv / 1000.0 / mean_step_v).cast("int"))
 
 
 @F.pandas_udf(T.DoubleType())

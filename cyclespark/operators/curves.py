@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 
 from cyclespark.functions.scalars import step_sign
 from cyclespark.operators.clean import orient_dqdv
-from cyclespark.operators.ordered import attach, parts, sliced, slices, with_halo, with_previous, with_slices, with_totals
-from cyclespark.schema import CELL, HALF, SLICED
+from cyclespark.operators.ordered import attach, parts, sliced, slices, uncut, with_previous, with_totals
+from cyclespark.operators.peaks import settle
+from cyclespark.schema import CELL, HALF
 
 # Settings by profile class (fixed values).
 PROFILE_SETTINGS = (
@@ -29,7 +30,6 @@ PROFILE_SETTINGS = (
 SETTING_COLUMNS = ["smoothing_window", "spike_removal", "spike_factor", "second_window", "rebin_mv"]
 POLYNOMIAL_ORDER = 3
 SPIKE_WINDOW = 5
-MAX_HALF_WIDTH = 16
 
 
 def profile_settings(spark: SparkSession) -> DataFrame:
@@ -53,13 +53,23 @@ def with_profile_settings(profiles: DataFrame, overrides: DataFrame | None = Non
     )
 
 
-@lru_cache
-def binomial_weights(half_width: int) -> tuple[float, ...]:
-    """Weights of the repeated [1/2, 1/2] kernel with ``half_width`` bins on each side."""
-    kernel = np.ones(1)
-    for _ in range(2 * half_width):
-        kernel = np.convolve(kernel, [0.5, 0.5])
-    return tuple(kernel)
+def along_bins(curve: DataFrame, name: str, value: str, prepare: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Add a column whose value for bin ``i`` is an expression over the whole curve.
+
+    A curve is bounded by its bins, so it travels as one row with the sorted
+    array ``_p`` of its points; ``prepare`` names expressions over ``_p`` that
+    are computed once per curve.
+    """
+    others = [c for c in curve.columns if c not in (*HALF, *keys, "bin", name)]
+    rows = curve.groupBy(*HALF, *keys).agg(F.array_sort(F.collect_list(F.struct("bin", *others))).alias("_p"))
+    for column, expression in prepare.items():
+        rows = settle(rows.withColumn(column, F.expr(expression)))
+    fields = ", ".join(f"x.{c} AS {c}" for c in ("bin", *others))
+    return rows.select(*HALF, *keys, F.inline(F.expr(f"transform(_p, (x, i) -> struct({fields}, {value} AS {name}))")))
+
+
+#: Weights of the repeated [1/2, 1/2] kernel with _h bins on each side.
+BINOMIAL = "aggregate(if(_h > 0, sequence(1, 2 * _h), cast(array() AS array<int>)), array(pow(0.5D, 2 * _h)), (a, k) -> concat(a, array(element_at(a, -1) * (2 * _h - k + 1) / k)))"
 
 
 def increments(records: DataFrame) -> DataFrame:
@@ -176,17 +186,12 @@ def counted_charge(steps: DataFrame, plan: DataFrame) -> DataFrame:
 
 def smooth_binomial(curve: DataFrame, half_width: str = "half_width", source: str = "raw", keys: tuple[str, ...] = ()) -> DataFrame:
     """Zero-padded binomial smoothing with a half-width per half-cycle (no renormalisation at the ends)."""
-    w = Window.partitionBy(*HALF, *keys).orderBy("bin")
-    values = F.collect_list(source).over(w.rowsBetween(-MAX_HALF_WIDTH, MAX_HALF_WIDTH))
-    before = F.least(F.col("bin"), F.lit(MAX_HALF_WIDTH))
-    kernels = F.array(*[F.array(*[F.lit(x) for x in binomial_weights(h)]) for h in range(MAX_HALF_WIDTH + 1)])
-    framed = curve.withColumn("_near", values).withColumn("_before", before).withColumn("_k", F.get(kernels, F.col(half_width)))
-    # Element j of the frame sits (j - before) bins away; its weight is kernel[h + j - before].
-    weighted = F.transform(
-        "_near", lambda y, j: y * F.coalesce(F.get(F.col("_k"), F.col(half_width) + j - F.col("_before")), F.lit(0.0))
-    )
-    inner = F.aggregate(weighted, F.lit(0.0), lambda a, y: a + y)
-    return framed.withColumn("dqdv", inner).drop("_near", "_before", "_k")
+    prepare = {
+        "_h": f"coalesce(_p[0].{half_width}, 0)", "_n": "size(_p)", "_y": f"transform(_p, x -> cast(x.{source} AS double))",
+        "_k": BINOMIAL,
+    }
+    value = "aggregate(sequence(greatest(0, i - _h), least(_n - 1, i + _h)), 0D, (s, j) -> s + _y[j] * _k[j - i + _h])"
+    return along_bins(curve, "dqdv", value, prepare, keys)
 
 
 def histogram_curves(steps: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -206,8 +211,8 @@ def rebin(curve: DataFrame, width_mv: Column | float, keys: tuple[str, ...] = ()
     """Uniform grid by the mean of the records in a bin, each weighted by its own voltage span."""
     rows = curve.select(*HALF, *keys, "seq", "voltage", "dqdv") if isinstance(width_mv, (int, float)) else curve
     width = (F.lit(width_mv) if isinstance(width_mv, (int, float)) else width_mv) / 1000.0
-    rows = with_halo(with_slices(rows.withColumn("_width", width), by="voltage"), 1, by=("voltage", "seq"))
-    rows = with_span(rows, Window.partitionBy(*parts(rows), *keys).orderBy("voltage", "seq")).filter("NOT halo")
+    rows = uncut(rows.withColumn("_width", width))
+    rows = with_span(rows, Window.partitionBy(*HALF, *keys).orderBy("voltage", "seq"))
     rows = with_totals(rows, lo=F.min("voltage"), hi=F.max("voltage"))
     last = F.greatest(F.lit(0), F.ceil((F.col("hi") - F.col("lo")) / F.col("_width")).cast("int") - 1)
     placed = rows.withColumn("bin", F.least(F.floor((F.col("voltage") - F.col("lo")) / F.col("_width")).cast("int"), last))
@@ -294,13 +299,19 @@ def savgol(
     curve: DataFrame, windows: tuple[int, ...], window: Column | None = None, order: int = POLYNOMIAL_ORDER,
     source: str = "dqdv", by: tuple = ("voltage",),
 ) -> DataFrame:
-    """Savitzky-Golay smoothing with one of ``windows`` (odd) per curve.
+    """Savitzky-Golay smoothing with one of ``windows`` per curve.
 
+    Even windows count as the next odd one, and one of 1 or less as none.
     Points near an end use the polynomial of the first or last full window.
-    A NULL window, or a curve not longer than it, is left unsmoothed.
+    A NULL window, or a curve not longer than it, is left unsmoothed; a window
+    that is not among ``windows`` is an error.
     """
+    windows = tuple(sorted({n | 1 for n in windows if n > 1})) or (3,)
     widest = max(windows)
-    size = F.lit(windows[0]) if window is None else window
+    stated = F.lit(windows[0]) if window is None else window
+    odd = stated + F.when(stated % 2 == 0, 1).otherwise(0)
+    known = F.when(odd.isin(*windows), odd).otherwise(F.raise_error(F.concat(F.lit("smoothing window not listed: "), odd.cast("string"))).cast("int"))
+    size = F.when(stated > 1, known)
     w = Window.partitionBy(*parts(curve)).orderBy(*by)
     a = curve.select(
         "*",
@@ -326,14 +337,20 @@ def savgol(
     return a.withColumn(source, F.when(long_enough, smooth).otherwise(F.col(source))).drop("_i", "_n", "_near", "_w", "_start")
 
 
-HALO = 64
+def smoothing_windows(overrides: DataFrame, column: str, defaults: tuple[int, ...]) -> tuple[int, ...]:
+    """The windows a job needs: the defaults and those stated in ``overrides`` (one row per cell)."""
+    if column not in overrides.columns:
+        return defaults
+    return tuple({*defaults, *(r[0] for r in overrides.select(column).distinct().collect() if r[0] is not None)})
 
 
-def derivative_curves(records: DataFrame, settings: DataFrame) -> DataFrame:
-    """Curves from the cycler's own dQ/dV: oriented, windowed, rebinned where asked, despiked, smoothed."""
-    rows = with_slices(
-        orient_dqdv(records).filter("dqdv IS NOT NULL AND voltage IS NOT NULL").select(*HALF, "seq", "voltage", "dqdv"), by="voltage"
-    )
+def derivative_curves(records: DataFrame, settings: DataFrame, windows: tuple[int, ...] = (5, 9, 15), second: tuple[int, ...] = (11,)) -> DataFrame:
+    """Curves from the cycler's own dQ/dV: oriented, windowed, rebinned where asked, despiked, smoothed.
+
+    ``windows`` and ``second`` are the smoothing windows that the settings may
+    hold (see ``smoothing_windows``); a setting outside them is an error.
+    """
+    rows = uncut(orient_dqdv(records).filter("dqdv IS NOT NULL AND voltage IS NOT NULL").select(*HALF, "seq", "voltage", "dqdv"))
     layout = rows.groupBy(*HALF).agg(slices()).join(settings, CELL)
     inside = attach(
         rows, layout.select(*HALF, "n_slices", "window_low_v", "window_high_v", *SETTING_COLUMNS)
@@ -341,15 +358,14 @@ def derivative_curves(records: DataFrame, settings: DataFrame) -> DataFrame:
     inside = with_totals(inside, n_kept=F.count(F.lit(1))).filter("n_kept >= 5").drop("n_kept")
     columns = [*parts(rows), "n_slices", "seq", "voltage", "dqdv", *SETTING_COLUMNS]
     grid = rebin(inside.filter("rebin_mv IS NOT NULL"), F.col("rebin_mv")).join(layout.select(*HALF, *SETTING_COLUMNS), HALF)
-    grid = grid.withColumns({"slice": F.lit(0), "n_slices": F.lit(1), "seq": F.col("bin").cast("long")})
+    grid = grid.withColumns({"n_slices": F.lit(1), "seq": F.col("bin").cast("long")})
     curve = inside.filter("rebin_mv IS NULL").select(*columns).unionByName(grid.select(*columns))
     curve = with_totals(curve, tallest=F.max(F.abs("dqdv"))).withColumn("raw", F.col("dqdv"))
-    curve = with_halo(curve, HALO, by=("voltage", "seq"))
     order = ("voltage", "seq")
     despiked = remove_spikes(curve, F.when(F.col("spike_removal"), F.col("spike_factor")), by=order, tallest="tallest")
-    once = savgol(despiked, (5, 9, 15), F.col("smoothing_window"), by=order)
-    twice = savgol(once, (11,), F.col("second_window"), by=order)
-    return twice.filter("NOT halo").select(*HALF, "seq", "voltage", "raw", "dqdv", "is_spike")
+    once = savgol(despiked, windows, F.col("smoothing_window"), by=order)
+    twice = savgol(once, second, F.col("second_window"), by=order)
+    return twice.select(*HALF, "seq", "voltage", "raw", "dqdv", "is_spike")
 
 
 def trapezoid_area(curve: DataFrame, value: Column) -> DataFrame:
@@ -389,14 +405,16 @@ def interpolate(knots: DataFrame, queries: DataFrame, x: str, y: str, keys: list
     Knots and queries are merged and each query looks back and ahead to its
     neighbouring knots; there is no range join.
     """
-    w = Window.partitionBy(*keys).orderBy(x, "_kind")
+    # Two running looks, one down and one up the order: linear in the rows of a key.
+    w = Window.partitionBy(*keys).orderBy(x, "_kind", "_y").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys).orderBy(F.desc(x), F.desc("_kind"), F.desc("_y")).rowsBetween(Window.unboundedPreceding, 0)
     a = knots.select(*keys, x, F.col(y).alias("_y"), F.lit(0).alias("_kind"), *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in keep])
     b = queries.select(*keys, x, F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_kind"), *keep)
     knot = F.when(F.col("_kind") == 0, F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
     merged = a.unionByName(b).select(
         "*",
-        F.last(knot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"),
-        F.first(knot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_b"),
+        F.last(knot, ignorenulls=True).over(w).alias("_a"),
+        F.last(knot, ignorenulls=True).over(up).alias("_b"),
     )
     line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col(x) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
     value = (
@@ -415,19 +433,6 @@ def cumulative_charge(curve: DataFrame) -> DataFrame:
     return slabs.withColumn("q", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def _in_slice(queries: DataFrame, knots: DataFrame, keep: list[str]) -> DataFrame:
-    """Give each query point the slice of the knots that covers its charge (cut data only)."""
-    if "slice" not in knots.columns:
-        return queries
-    ranges = knots.filter("n_slices > 1").groupBy(*SLICED).agg(F.min("q").alias("from_q"), F.max("q").alias("to_q"))
-    return (
-        queries.join(ranges, HALF, "left")
-        .filter("slice IS NULL OR q BETWEEN from_q AND to_q")
-        .groupBy(*HALF, *keep, "q")
-        .agg(F.coalesce(F.min("slice"), F.lit(0)).alias("slice"))
-    )
-
-
 def reconstruct_voltage(curve: DataFrame, records: DataFrame) -> DataFrame:
     """Integrate the curve back to a charge-voltage trace and compare it with the records.
 
@@ -438,9 +443,8 @@ def reconstruct_voltage(curve: DataFrame, records: DataFrame) -> DataFrame:
     shape = q_curve.groupBy(*HALF).agg(
         F.count(F.lit(1)).alias("n_curve"), F.min("voltage").alias("c0"), F.max("voltage").alias("c1"), F.max("q").alias("q_total")
     ).filter("n_curve >= 3")
-    rows = with_slices(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL").select(*HALF, "seq", "voltage", "capacity"), by="capacity")
-    bounds = rows.groupBy(*HALF).agg(slices()).join(shape, HALF) if "slice" in rows.columns else shape
-    rows = attach(rows, bounds.drop("n_curve", "q_total")).withColumn(
+    rows = uncut(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL").select(*HALF, "seq", "voltage", "capacity"))
+    rows = attach(rows, shape.drop("n_curve", "q_total")).withColumn(
         "near", F.col("voltage").between(F.col("c0") - 1e-9, F.col("c1") + 1e-9)
     )
     order = F.struct("capacity", "seq")
@@ -466,14 +470,10 @@ def reconstruct_voltage(curve: DataFrame, records: DataFrame) -> DataFrame:
         span.alias("q_span"), (pick("last") < pick("first")).alias("flip"),
     )
     knots = attach(rows.drop("c0", "c1"), base.select(*HALF, "n_slices", "only_near", "q_lo", "q_hi", "flip")).filter("near OR NOT only_near")
-    knots = with_halo(
-        knots.select(
-            *parts(knots), "n_slices", "voltage", F.when(F.col("flip"), F.col("q_hi") - F.col("capacity")).otherwise(F.col("capacity") - F.col("q_lo")).alias("q")
-        ), 1, by=("q", "voltage"),
-    )
+    knots = knots.select(*HALF, "voltage", F.when(F.col("flip"), F.col("q_hi") - F.col("capacity")).otherwise(F.col("capacity") - F.col("q_lo")).alias("q"))
     wanted = q_curve.withColumnRenamed("voltage", "v_curve").join(base.select(*HALF, "q_total", "q_span"), HALF)
     wanted = wanted.filter(F.col("q") <= F.least("q_span", "q_total")).drop("q_total", "q_span")
-    values = interpolate(knots, _in_slice(wanted, knots, ["v_curve"]), "q", "voltage", parts(knots), ["v_curve"])
+    values = interpolate(knots, wanted, "q", "voltage", HALF, ["v_curve"])
     errors = values.groupBy(*HALF).agg(
         F.count(F.lit(1)).alias("n_compared"), F.sqrt(F.avg(F.pow(F.col("voltage") - F.col("v_curve"), 2))).alias("rmse")
     )
@@ -510,20 +510,16 @@ def plateau_structure(records: DataFrame, points: int = 40) -> DataFrame:
     The grid has a fixed number of points per half-cycle, so only the
     interpolation touches the records.
     """
-    rows = with_slices(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL").select(*HALF, "seq", "voltage", "capacity"), by="capacity")
-    w = Window.partitionBy(*parts(rows)).orderBy("capacity", "seq")
-    back = Window.partitionBy(*parts(rows)).orderBy(F.desc("capacity"), F.desc("seq"))
-    here = F.col("slice") if "slice" in rows.columns else F.lit(0)
-    sixth = rows.select(*HALF, "n_slices", here.alias("part"), "capacity", F.row_number().over(w).alias("a"), F.row_number().over(back).alias("z"))
+    rows = records.filter("voltage IS NOT NULL AND capacity IS NOT NULL").select(*HALF, "seq", "voltage", "capacity")
+    w = Window.partitionBy(*HALF).orderBy("capacity", "seq")
+    back = Window.partitionBy(*HALF).orderBy(F.desc("capacity"), F.desc("seq"))
+    sixth = rows.select(*HALF, "capacity", F.row_number().over(w).alias("a"), F.row_number().over(back).alias("z"))
     ends = sixth.groupBy(*HALF).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when((F.col("part") == 0) & (F.col("a") == 6), F.col("capacity"))).alias("g0"),
-        F.max(F.when((F.col("part") == F.col("n_slices") - 1) & (F.col("z") == 5), F.col("capacity"))).alias("g1"),
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("a") == 6, F.col("capacity"))).alias("g0"), F.max(F.when(F.col("z") == 5, F.col("capacity"))).alias("g1")
     ).filter("n >= 20")
     even = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("g0") + (F.col("g1") - F.col("g0")) * i / (points - 1))
     grid = ends.select(*HALF, F.posexplode(even).alias("i", "q"))
-    knots = with_halo(rows.select(*parts(rows), "n_slices", "voltage", F.col("capacity").alias("q")), 1, by=("q", "voltage"))
-    line = interpolate(knots, _in_slice(grid, knots, ["i"]), "q", "voltage", parts(knots), ["i"])
+    line = interpolate(rows.select(*HALF, "voltage", F.col("capacity").alias("q")), grid, "q", "voltage", HALF, ["i"])
     g = Window.partitionBy(*HALF).orderBy("i")
     lag, lead = (lambda c: F.lag(c).over(g)), (lambda c: F.lead(c).over(g))
     slope = (
@@ -572,22 +568,16 @@ def quantisation_ripple(curve: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     null = smooth_binomial(rows.select(*HALF, "bin", "voltage", "raw", "half_width", "n", "n_rec", F.col("dqdv").alias("y")))
     null = null.withColumnRenamed("dqdv", "null_y").withColumn("raw", F.col("y")).drop("y")
     both = smooth_binomial(null)
-    residual = both.withColumn("sq", F.pow(F.col("null_y") - F.col("dqdv"), 2))
-    half = F.greatest(F.lit(4), F.col("half_width"))
+    residual = both.withColumn("sq", F.pow(F.col("null_y") - F.col("dqdv"), 2)).select(*HALF, "bin", "voltage", "n", "n_rec", "half_width", "sq")
     # Edge-padded mean square over the window of each half-cycle: weights repeat the end bins.
-    near = F.collect_list(F.struct("bin", "sq")).over(g.rowsBetween(-MAX_HALF_WIDTH, MAX_HALF_WIDTH))
-    end = F.col("n") - 1
-    inside = F.filter("near", lambda e: F.abs(e["bin"] - F.col("bin")) <= F.col("half"))
-    total = F.aggregate(inside, F.lit(0.0), lambda s, e: s + e["sq"])
-    over_left = F.greatest(F.lit(0), F.col("half") - F.col("bin"))
-    over_right = F.greatest(F.lit(0), F.col("bin") + F.col("half") - end)
-    padded = total + over_left * F.col("sq_first") + over_right * F.col("sq_last")
-    out = residual.withColumns(
-        {"near": near, "half": half, "sq_first": F.first("sq").over(g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-         "sq_last": F.last("sq").over(g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
+    prepare = {"_h": "greatest(4, _p[0].half_width)", "_n": "size(_p)", "_y": "transform(_p, x -> x.sq)"}
+    padded = (
+        "aggregate(sequence(greatest(0, i - _h), least(_n - 1, i + _h)), 0D, (s, j) -> s + _y[j])"
+        " + greatest(0, _h - i) * _y[0] + greatest(0, i + _h - _n + 1) * _y[_n - 1]"
     )
+    out = along_bins(residual, "mean_square", f"({padded}) / (2 * _h + 1)", prepare)
     enough = (F.col("n") >= 8) & (F.col("n_rec") >= 4)
-    return out.select(*HALF, "bin", "voltage", F.when(enough, F.sqrt(padded / (2 * F.col("half") + 1))).otherwise(0.0).alias("ripple"))
+    return out.select(*HALF, "bin", "voltage", F.when(enough, F.sqrt("mean_square")).otherwise(0.0).alias("ripple"))
 
 
 def heat_map(curves: DataFrame, v_bins: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cyclespark.operators.ordered import scan_in_order, with_previous, with_slices
+from cyclespark.operators.ordered import scan_in_order, uncut, with_previous
 from cyclespark.schema import CELL, CYCLE, HALF
 
 RETENTION_REFERENCE_CYCLE = 2
@@ -101,7 +101,7 @@ def cycling_summary(records: DataFrame, in_progress: DataFrame | None = None) ->
 
 def energy_by_half(records: DataFrame) -> DataFrame:
     """Trapezoidal energy (integral of V dQ, ordered by charge) per half-cycle."""
-    points = with_slices(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL"), by="capacity")
+    points = uncut(records.filter("voltage IS NOT NULL AND capacity IS NOT NULL"))
     pairs = with_previous(points, {"voltage": "v0", "capacity": "q0"}, by=("capacity", "seq"))
     area = (F.col("voltage") + F.col("v0")) / 2 * (F.col("capacity") - F.col("q0"))
     return pairs.groupBy(*HALF).agg(

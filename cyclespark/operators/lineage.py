@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
-    Survives the loss of executors.  Only where no folder is configured (tests,
-    one machine) a temporary one is used.
+    Survives the loss of executors.  A temporary folder is used only where none
+    is configured and all runs in one process; a cluster must name one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

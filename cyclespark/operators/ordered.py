@@ -23,14 +23,26 @@ SLICE_RECORDS = 4_000_000
 _CHECKED: dict[tuple, bool] = {}
 
 
-def with_slices(records: DataFrame, limit: int = SLICE_RECORDS, by: str = "seq") -> DataFrame:
+def uncut(records: DataFrame) -> DataFrame:
+    """Records as one piece per half-cycle.
+
+    For orders other than the record order (voltage, charge): a plateau puts
+    nearly all records at a few values, so ranges of such an order don't split
+    it; these operators sort a half-cycle in one task, which spills.
+    """
+    return records.drop("slice").withColumn("n_slices", F.lit(1))
+
+
+def with_slices(records: DataFrame, limit: int = SLICE_RECORDS) -> DataFrame:
     """Add ``n_slices``, and ``slice`` when some half-cycle has more than ``limit`` records.
 
     The size check is one aggregation over the key columns, done once per
     input.  The broadcast side of the cut has one short row per half-cycle
-    above the limit, so never more than (all records / limit) rows.
+    above the limit, so never more than (all records / limit) rows.  Slices are
+    ranges of the record number, which runs on without gaps in a half-cycle.
     """
-    records = records.drop("slice", "n_slices")
+    by = "seq"
+    records = uncut(records).drop("n_slices")
     parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
     hot = (
         records.groupBy(*HALF)
@@ -130,24 +142,6 @@ def with_totals(df: DataFrame, **aggs: Column) -> DataFrame:
     return attach(df, df.groupBy(*HALF).agg(slices(), *[a.alias(n) for n, a in aggs.items()]))
 
 
-def with_halo(df: DataFrame, rows: int, by: tuple = ("seq",)) -> DataFrame:
-    """Copy the border records of every cut slice into its neighbours, marked ``halo``.
-
-    A rolling frame of up to ``rows`` records then needs only its own slice.
-    """
-    if not is_cut(df):
-        return df.withColumn("halo", F.lit(False))
-    hot = _hot(df).select(
-        "*",
-        F.row_number().over(Window.partitionBy(*SLICED).orderBy(*by)).alias("_a"),
-        F.row_number().over(Window.partitionBy(*SLICED).orderBy(*[F.desc(c) for c in by])).alias("_z"),
-    )
-    down = hot.filter((F.col("_a") <= rows) & (F.col("slice") > 0)).withColumn("slice", F.col("slice") - 1)
-    up = hot.filter((F.col("_z") <= rows) & (F.col("slice") < F.col("n_slices") - 1)).withColumn("slice", F.col("slice") + 1)
-    copies = down.unionByName(up).drop("_a", "_z").withColumn("halo", F.lit(True))
-    return df.withColumn("halo", F.lit(False)).unionByName(copies)
-
-
 def attach(df: DataFrame, scalars: DataFrame, how: str = "inner") -> DataFrame:
     """Join a one-row-per-half-cycle table (holding ``n_slices``) back to the records.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cyclespark.functions.scalars import mv_to_samples
 from cyclespark.schema import CELL, CYCLE, HALF
 
 PROMINENCE_FRACTION = 0.05
@@ -54,7 +55,7 @@ def curve_arrays(curves: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _samples(mv: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(mv / 1000.0 / F.col("bin_v")).cast("int"))
+    return mv_to_samples(mv, F.col("bin_v"))
 
 
 def local_maxima(arrays: DataFrame) -> DataFrame:
@@ -234,12 +235,13 @@ def infer_missing_seeds(peaks: DataFrame, reference: DataFrame, halves: DataFram
     nearest = near.groupBy(*HALF, "peak_id").agg(F.min_by(F.struct("ref_id", "far", "voltage"), F.struct("far", "ref_id")).alias("m"))
     found = nearest.groupBy(*HALF, F.col("m.ref_id").alias("ref_id")).agg(F.min_by("m.voltage", "m.far").alias("voltage"))
     grid = halves.select(*HALF).distinct().join(reference, side).join(found, [*HALF, "ref_id"], "left")
-    order = Window.partitionBy(*side, "ref_id").orderBy("cycle")
+    order = Window.partitionBy(*side, "ref_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*side, "ref_id").orderBy(F.desc("cycle")).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("voltage").isNotNull(), F.struct("cycle", "voltage"))
     filled = grid.select(
         "*",
-        F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last(known, ignorenulls=True).over(order).alias("before"),
+        F.last(known, ignorenulls=True).over(back).alias("after"),
     ).filter("voltage IS NULL")
     use_before = F.col("after").isNull() | (F.col("cycle") - F.col("before.cycle") <= F.col("after.cycle") - F.col("cycle"))
     seed = F.when(F.col("before").isNotNull() & use_before, F.col("before.voltage")).otherwise(F.col("after.voltage"))

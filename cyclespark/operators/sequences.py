@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cyclespark.operators.clean import step_direction, with_direction
-from cyclespark.operators.ordered import sliced, with_previous, with_running, with_totals
+from cyclespark.operators.ordered import parts, sliced, with_previous, with_running, with_totals
 from cyclespark.schema import CELL, CYCLE, HALF
 
 PLATEAU_FRACTION = 0.05
@@ -119,6 +119,9 @@ def reversals(records: DataFrame, min_records: int = 1) -> DataFrame:
     rows = with_totals(with_direction(rows), n=F.count(F.lit(1)), mi=F.percentile(F.abs("current_a"), 0.5)).filter("n >= 3")
     rows = rows.withColumn("back", F.coalesce((F.col("voltage") - F.col("v0")) * F.col("direction") < 0, F.lit(False)))
     rows = with_running(rows.withColumn("_f", F.when(~F.col("back"), F.col("seq"))), "max", "_f", "anchor_seq")
+    # Only reversed records and the anchor before them go on: the group count follows the reversals.
+    ahead = F.lead("back").over(Window.partitionBy(*parts(rows)).orderBy("seq"))
+    rows = rows.withColumn("_ahead", ahead).filter("back OR _ahead IS NULL OR _ahead").drop("_ahead")
     back = F.col("back")
     time_s = F.col("time_s") if "time_s" in records.columns else F.lit(None).cast("double")
     runs = rows.groupBy(*HALF, "anchor_seq").agg(

@@ -64,8 +64,8 @@ def settings(spark, sf):
 
 @shared
 def steps(spark, sf):
-    """Charge increments, kept (to disk when large): planning and filling the bins both read them."""
-    return V.increments(B.strip_hold(records(spark, sf))).persist()
+    """Charge increments: one shuffle of pruned columns, computed again wherever they are read."""
+    return V.increments(B.strip_hold(records(spark, sf)))
 
 
 @shared
@@ -121,11 +121,8 @@ sw AS (SELECT *, abs(CASE WHEN a IS NULL THEN b - voltage WHEN b IS NULL THEN vo
 def _(spark, sf):
     from pyspark.sql.window import Window
 
-    from cyclespark.operators.ordered import parts, with_halo, with_slices
-
-    # One record of halo gives the neighbours across a slice border.
-    rows = with_halo(with_slices(records(spark, sf).select(*HALF, "seq", "voltage"), by="voltage"), 1, ("voltage", "seq"))
-    return V.with_span(rows, Window.partitionBy(*parts(rows)).orderBy("voltage", "seq")).filter("NOT halo").select(*HALF, "seq", "span")
+    rows = records(spark, sf).select(*HALF, "seq", "voltage")
+    return V.with_span(rows, Window.partitionBy(*HALF).orderBy("voltage", "seq")).select(*HALF, "seq", "span")
 
 
 def rebin_sql(width, source="sw"):
@@ -477,7 +474,7 @@ def _(spark, sf):
     return out.select("cell_id", "profile", "smoothing_window", "spike_removal")
 
 
-@query("c24_mv_to_samples", f"""WITH {CURVES} SELECT {K}, CAST(greatest(1, floor(30 / 1e3 / ((max(voltage) - min(voltage)) / (count(*) - 1)))) AS INT) AS samples FROM curve GROUP BY {K}""")
+@query("c24_mv_to_samples", f"""WITH {CURVES} SELECT {K}, CAST(greatest(1, round_even(30 / 1e3 / ((max(voltage) - min(voltage)) / (count(*) - 1)), 0)) AS INT) AS samples FROM curve GROUP BY {K}""")
 def _(spark, sf):
     step = (F.max("voltage") - F.min("voltage")) / (F.count(F.lit(1)) - 1)
     return curves(spark, sf).groupBy(*HALF).agg(S.mv_to_samples(F.lit(30.0), step).alias("samples"))

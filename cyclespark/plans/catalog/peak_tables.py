@@ -22,7 +22,7 @@ rr AS (SELECT {K}, run, min(i) AS a, max(i) AS z, any_value(y) AS y FROM ru GROU
 mx AS (SELECT {K}, CAST((a + z) // 2 AS INT) AS i, y FROM (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS nx FROM rr WINDOW w AS (PARTITION BY {K} ORDER BY run)) WHERE p < y AND nx < y)
 """
 KEEP = PEAKS + f""",
-mo AS (SELECT m.*, greatest(1, CAST(floor(3e1 / 1e3 / bin_v) AS INT)) AS dist, row_number() OVER (PARTITION BY m.cell_id, m.cycle, m.step ORDER BY y DESC, i DESC) AS k FROM mx m JOIN sc ON {on('m', 'sc')}),
+mo AS (SELECT m.*, greatest(1, CAST(round_even(3e1 / 1e3 / bin_v, 0) AS INT)) AS dist, row_number() OVER (PARTITION BY m.cell_id, m.cycle, m.step ORDER BY y DESC, i DESC) AS k FROM mx m JOIN sc ON {on('m', 'sc')}),
 kd AS (
   SELECT {K}, k, [i] AS kept FROM mo WHERE k = 1
   UNION ALL
@@ -44,7 +44,7 @@ nz AS (SELECT w.cell_id, w.cycle, w.step, w.i, avg(abs(c.d2)) * 12533141e-7 / sq
   ON {on('w', 'c')} AND c.i BETWEEN w.i - 29 AND w.i + 29 AND c.d2 IS NOT NULL GROUP BY w.cell_id, w.cycle, w.step, w.i),
 prim AS (SELECT w.cell_id, w.cycle, w.step, w.i AS peak_bin, v_lo + w.i * bin_v AS voltage, h AS height, prom AS prominence, (rip - lip) * bin_v AS width_v, v_lo + lip * bin_v AS left_v, v_lo + rip * bin_v AS right_v,
   v_lo + rip * bin_v >= v_hi - 2e-3 OR v_lo + lip * bin_v <= v_lo + 2e-3 AS is_truncated, noise, y_max FROM wd w JOIN sc ON {on('w', 'sc')} JOIN nz ON {on('w', 'nz')} AND nz.i = w.i
-  WHERE (rip - lip >= greatest(1, floor(5 / 1e3 / bin_v)) AND (prom >= 5e-2 * y_range OR (h > 0 AND prom >= 25e-2 * h AND h >= 2e-2 * y_max))) OR h = y_max),
+  WHERE (rip - lip >= greatest(1, round_even(5 / 1e3 / bin_v, 0)) AND (prom >= 5e-2 * y_range OR (h > 0 AND prom >= 25e-2 * h AND h >= 2e-2 * y_max))) OR h = y_max),
 nf AS (SELECT * FROM (SELECT *, height / max(height) OVER (PARTITION BY {K}) AS share FROM prim) WHERE NOT (coalesce(noise > 0 AND prominence / noise < 12, false) AND share < 1e-1)),
 pks AS (SELECT * EXCLUDE (r, share), CAST(row_number() OVER (PARTITION BY {K} ORDER BY voltage) AS INT) AS peak_id FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY prominence DESC, voltage) AS r, count(*) OVER (PARTITION BY {K}) > 12 AS peaks_capped FROM nf) WHERE r <= 12)
 """
