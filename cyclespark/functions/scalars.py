@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Conventional C-rates (fixed values): C/100 .. 20C.
 CONVENTIONAL_RATES = (1 / 100, 1 / 50, 1 / 20, 1 / 10, 1 / 5, 1 / 4, 1 / 3, 1 / 2, 1.0, 2.0, 3.0, 5.0, 10.0, 20.0)
@@ -178,9 +176,17 @@ def mv_to_samples(mv: Column, mean_step_v: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(mv / 1000.0 / mean_step_v).cast("int"))
 
 
-@F.pandas_udf(T.DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf, na_action="ignore")
+def erf(x: Column) -> Column:
+    """Error function, from the series whose terms all have one sign; 1 beyond 6."""
+    near = F.least(F.abs(x), F.lit(6.0))
+    start = F.struct(near.alias("term"), near.alias("total"))
+
+    def add(a: Column, k: Column) -> Column:
+        term = a["term"] * 2.0 * near * near / (2 * k + 1)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, add, lambda a: a["total"])
+    return F.signum(x) * F.least(F.lit(1.0), series * F.exp(-near * near) * 2.0 / math.sqrt(math.pi))
 
 
 def pseudo_voigt(x: Column, area: Column, centre: Column, sigma: Column, fraction: Column) -> Column:
