@@ -16,7 +16,7 @@ from cyclespark.schema import CELL, CYCLE, HALF
 
 PROMINENCE_FRACTION = 0.05
 MIN_DISTANCE_MV = 30.0
-MIN_WIDTH_MV = {"sharp": 2.0, "moderate": 4.0, "broad": 5.0}
+MIN_WIDTH_MV = {"sharp": 2.0, "moderate": 5.0, "broad": 5.0}
 LOCAL_PROMINENCE_FRACTION = 0.25
 MIN_HEIGHT_FRACTION = 0.02
 TRUNCATION_VISIBLE = 0.6
@@ -111,27 +111,49 @@ def with_shape(arrays: DataFrame) -> DataFrame:
     )
 
 
+def with_min_width(arrays: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    """Add ``width_mv``: the least peak width of the cell's profile (5 mV without one)."""
+    if profiles is None:
+        return arrays.withColumn("width_mv", F.lit(5.0))
+    width = F.lit(5.0)
+    for name, mv in MIN_WIDTH_MV.items():
+        width = F.when(F.col("profile") == name, mv).otherwise(width)
+    return arrays.join(profiles.select(*CELL, width.alias("width_mv")), CELL, "left").na.fill(5.0, ["width_mv"])
+
+
 def primary_peaks(
-    curves: DataFrame, keys: tuple[str, ...] = (), distance_mv: float = MIN_DISTANCE_MV, width_mv: float = 5.0
+    curves: DataFrame, keys: tuple[str, ...] = (), distance_mv: float = MIN_DISTANCE_MV, profiles: DataFrame | None = None
 ) -> DataFrame:
-    """Prominent or locally prominent peaks of every curve, before the noise and count rules.
+    """Prominent or locally prominent peaks of every curve, before the rules on spacing, noise and number.
 
-    The tallest interior sample is always a peak.
+    Peaks of which too little is inside the window go.  The tallest interior
+    sample is added where no peak is near it; its width is not measured.
     """
-    arrays = keep_distance(local_maxima(curve_arrays(curves, keys).filter("y_range > 0")), _samples(F.lit(distance_mv)))
-    shaped = with_shape(arrays)
+    whole = with_min_width(curve_arrays(curves, keys).filter("y_range > 0"), profiles)
+    shaped = with_shape(keep_distance(local_maxima(whole), _samples(F.lit(distance_mv))))
     prominent = F.col("prominence") >= PROMINENCE_FRACTION * F.col("y_range")
     locally = (F.col("prominence") >= LOCAL_PROMINENCE_FRACTION * F.col("h")) & (F.col("h") >= MIN_HEIGHT_FRACTION * F.col("y_max"))
-    wide = F.col("width_samples") >= _samples(F.lit(width_mv))
-    tallest = F.col("h") == F.col("y_max")
-    kept = shaped.filter((wide & (prominent | (locally & (F.col("h") > 0)))) | tallest)
+    wide = F.col("width_samples") >= _samples(F.col("width_mv"))
+    kept = shaped.filter(wide & (prominent | (locally & (F.col("h") > 0))))
     at = lambda c: F.expr(f"vs[CAST(floor({c}) AS INT)] + ({c} - floor({c})) * bin_v")
     v, left, right = F.expr("vs[i]"), at("left_ip"), at("right_ip")
-    return kept.select(
+    seen = visible_fraction(v, left, right, F.expr("vs[0]"), F.expr("vs[n - 1]"))
+    columns = ["peak_bin", "voltage", "height", "prominence", "width_v", "left_v", "right_v", "is_truncated", "noise", "y_max"]
+    found = kept.filter(F.coalesce(seen >= TRUNCATION_VISIBLE, F.lit(True))).select(
         *HALF, *keys, F.col("i").alias("peak_bin"), v.alias("voltage"), F.col("h").alias("height"), "prominence",
         (right - left).alias("width_v"), left.alias("left_v"), right.alias("right_v"),
         _truncated(v, left, right).alias("is_truncated"), local_noise().alias("noise"), "y_max",
     )
+    top = settle(whole.withColumn("i", F.expr("CAST(array_position(ys, y_max) - 1 AS INT)"))).filter("i > 0 AND i < n - 1")
+    side = F.greatest(F.expr("array_min(slice(ys, 1, i + 1))"), F.expr("array_min(slice(ys, i + 1, n - i))"))
+    nothing = F.lit(None).cast("double")
+    top = top.select(
+        *HALF, *keys, F.col("i").alias("peak_bin"), v.alias("voltage"), F.col("y_max").alias("height"), (F.col("y_max") - side).alias("prominence"),
+        nothing.alias("width_v"), nothing.alias("left_v"), nothing.alias("right_v"), F.lit(False).alias("is_truncated"), local_noise().alias("noise"), "y_max",
+    ).filter("prominence > 0")
+    near = found.select(*HALF, *keys, F.col("voltage").alias("_v")).join(top.select(*HALF, *keys, "voltage"), [*HALF, *keys])
+    near = near.filter(F.abs(F.col("_v") - F.col("voltage")) < distance_mv / 1000.0).select(*HALF, *keys).distinct()
+    return found.select(*HALF, *keys, *columns).union(top.join(near, [*HALF, *keys], "left_anti").select(*HALF, *keys, *columns))
 
 
 def _truncated(centre: Column, left: Column, right: Column) -> Column:
@@ -141,13 +163,16 @@ def _truncated(centre: Column, left: Column, right: Column) -> Column:
 
 
 def visible_fraction(centre: Column, left: Column, right: Column, low: Column, high: Column) -> Column:
-    """Share of a peak inside the window, from its intact half-width (1 away from the ends)."""
+    """Share of a peak inside the window, from its intact half-width (1 away from the ends).
+
+    NULL for a peak clipped on both sides, which has no intact one.
+    """
     near_high, near_low = right >= high - EDGE_TOLERANCE_V, left <= low + EDGE_TOLERANCE_V
     a, b = centre - left, right - centre
     return (
         F.when(near_high & ~near_low, F.when(a > 0, (a + b) / (2.0 * a)).otherwise(0.0))
         .when(near_low & ~near_high, F.when(b > 0, (a + b) / (2.0 * b)).otherwise(0.0))
-        .otherwise(1.0)
+        .when(~near_low & ~near_high, 1.0)
     )
 
 
@@ -178,8 +203,10 @@ def strongest(peaks: DataFrame, keys: tuple[str, ...] = (), most: int = MAX_PEAK
     return ranked.filter(F.col("_r") <= most).drop("_r").withColumn("peak_id", F.row_number().over(side.orderBy("voltage")))
 
 
-def detect(curves: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return strongest(noise_floor(primary_peaks(curves, keys), keys), keys)
+def detect(curves: DataFrame, keys: tuple[str, ...] = (), profiles: DataFrame | None = None, most: int = MAX_PEAKS) -> DataFrame:
+    """Peaks of every curve: primaries and the maximum, thinned by spacing, noise and number, in that order."""
+    primary = primary_peaks(curves, keys, profiles=profiles)
+    return strongest(noise_floor(deduplicate(primary, keys=keys), keys), keys, most)
 
 
 def phase_stable(peaks: DataFrame, shifted: DataFrame, widths: DataFrame, phases: int = len(PHASES)) -> DataFrame:
@@ -228,13 +255,16 @@ def infer_missing_seeds(peaks: DataFrame, reference: DataFrame, halves: DataFram
     """Seeds for reference peaks a cycle lacks, from the nearest cycle that found them.
 
     ``reference`` holds (cell_id, step, ref_id, ref_v): at most a dozen per
-    cell and step, so matching a peak to them is a small equi-join.
+    cell and step, so matching a peak to them is a small equi-join.  Only
+    half-cycles with peaks are seeded, inside the voltages of their own curve
+    (``halves``: points of the curves).
     """
     side = ["cell_id", "step"]
     near = peaks.join(reference, side).withColumn("far", F.abs(F.col("voltage") - F.col("ref_v"))).filter(F.col("far") <= tolerance_v)
     nearest = near.groupBy(*HALF, "peak_id").agg(F.min_by(F.struct("ref_id", "far", "voltage"), F.struct("far", "ref_id")).alias("m"))
     found = nearest.groupBy(*HALF, F.col("m.ref_id").alias("ref_id")).agg(F.min_by("m.voltage", "m.far").alias("voltage"))
-    grid = halves.select(*HALF).distinct().join(reference, side).join(found, [*HALF, "ref_id"], "left")
+    ranges = halves.groupBy(*HALF).agg(F.min("voltage").alias("_lo"), F.max("voltage").alias("_hi")).join(peaks.select(*HALF).distinct(), HALF, "left_semi")
+    grid = ranges.join(reference, side).join(found, [*HALF, "ref_id"], "left")
     order = Window.partitionBy(*side, "ref_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(*side, "ref_id").orderBy(F.desc("cycle")).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("voltage").isNotNull(), F.struct("cycle", "voltage"))
@@ -245,7 +275,7 @@ def infer_missing_seeds(peaks: DataFrame, reference: DataFrame, halves: DataFram
     ).filter("voltage IS NULL")
     use_before = F.col("after").isNull() | (F.col("cycle") - F.col("before.cycle") <= F.col("after.cycle") - F.col("cycle"))
     seed = F.when(F.col("before").isNotNull() & use_before, F.col("before.voltage")).otherwise(F.col("after.voltage"))
-    return filled.withColumn("seed_v", seed).filter("seed_v IS NOT NULL").select(*HALF, "ref_id", "seed_v")
+    return filled.withColumn("seed_v", seed).filter("seed_v BETWEEN _lo AND _hi").select(*HALF, "ref_id", "seed_v")
 
 
 def append_seeds(peaks: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -264,23 +294,29 @@ def reference_peaks(peaks: DataFrame, reference: DataFrame) -> DataFrame:
     return hits.select("cell_id", "step", F.row_number().over(w).alias("ref_id"), F.col("voltage").alias("ref_v"), "height", "prominence", "width_v")
 
 
-def deduplicate(peaks: DataFrame, separation_v: float = 0.020, primary_separation_v: float = 0.030) -> DataFrame:
-    """Sweep by voltage keeping the more prominent of two peaks that are too close."""
-    item = F.struct("voltage", "prominence", F.coalesce("is_shoulder", F.lit(False)).alias("s"), F.col("peak_id").alias("id"))
-    rows = peaks.groupBy(*HALF).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # A new peak meets only the last kept one: the sweep is sorted and kept peaks are apart.
+def deduplicate(peaks: DataFrame, separation_v: float = 0.020, primary_separation_v: float = MIN_DISTANCE_MV / 1000, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Of two peaks that are too close keep the more prominent, sweeping upwards in voltage.
+
+    Each peak still kept meets all later ones that are: it drops those not more
+    prominent, up to the first that is, which drops it.  The narrow separation
+    holds for pairs with a shoulder, the other for two primaries.
+    """
+    shoulder = F.coalesce("is_shoulder", F.lit(False)) if "is_shoulder" in peaks.columns else F.lit(False)
+    item = F.struct("voltage", "prominence", shoulder.alias("s"), F.col("peak_bin").alias("id"))
+    rows = settle(peaks.groupBy(*HALF, *keys).agg(F.array_sort(F.collect_list(item)).alias("p")))
+    close = lambda i, x: f"(p[{x}].voltage - p[{i}].voltage < if(p[{i}].s OR p[{x}].s, {separation_v + 1e-9}D, {primary_separation_v + 1e-9}D))"
+    beaten_by = f"array_min(filter(sequence(i, size(p) - 1), x -> x > i AND k[x] AND {close('i', 'x')} AND p[x].prominence > p[i].prominence))"
+    stays = (
+        f"CASE WHEN NOT k[i] THEN y WHEN x = i THEN s.beaten IS NULL"
+        f" WHEN x > i AND y AND {close('i', 'x')} AND p[x].prominence <= p[i].prominence AND (s.beaten IS NULL OR x < s.beaten) THEN false ELSE y END"
+    )
     sweep = F.expr(
-        f"""aggregate(items, CAST(array() AS ARRAY<STRUCT<voltage: DOUBLE, prominence: DOUBLE, s: BOOLEAN, id: INT>>),
-              (acc, p) -> CASE
-                WHEN size(acc) = 0 THEN array(p)
-                WHEN p.voltage - element_at(acc, -1).voltage
-                     >= CASE WHEN p.s OR element_at(acc, -1).s THEN {separation_v + 1e-9}D ELSE {primary_separation_v + 1e-9}D END
-                  THEN concat(acc, array(p))
-                WHEN element_at(acc, -1).prominence >= p.prominence THEN acc
-                ELSE concat(slice(acc, 1, size(acc) - 1), array(p)) END)"""
+        f"""aggregate(sequence(0, size(p) - 1), transform(p, x -> true),
+              (k, i) -> transform(array(struct({beaten_by} AS beaten)), s -> transform(k, (y, x) -> {stays}))[0])"""
     )
-    kept = rows.select(*HALF, F.explode(sweep).alias("k")).select(*HALF, F.col("k.id").alias("peak_id"))
-    return peaks.join(kept, [*HALF, "peak_id"], "left_semi")
+    kept = settle(rows.withColumn("k", sweep))
+    kept = kept.select(*HALF, *keys, F.explode(F.expr("filter(p, (x, i) -> k[i])")).alias("q")).select(*HALF, *keys, F.col("q.id").alias("peak_bin"))
+    return peaks.join(kept, [*HALF, *keys, "peak_bin"], "left_semi").select(*peaks.columns)
 
 
 def peak_marks(peaks: DataFrame, cells: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from cyclespark.operators import curves as V
 from cyclespark.operators import peaks as P
 from cyclespark.operators import sequences as E
 from cyclespark.operators.lineage import cut
-from cyclespark.plans.catalog.curve_tables import ALL, CURVES, K, curves, integrity, on, plan, steps
+from cyclespark.plans.catalog.curve_tables import ALL, CURVES, K, curves, integrity, on, plan, settings, steps
 from cyclespark.plans.catalog.cycle_tables import TABLE, table
 from cyclespark.plans.catalog.record_tables import FORMATION
 from cyclespark.plans.fixture import cells, shared
@@ -21,6 +21,24 @@ ru AS (SELECT *, sum(chg) OVER (PARTITION BY {K} ORDER BY i) AS run FROM (SELECT
 rr AS (SELECT {K}, run, min(i) AS a, max(i) AS z, any_value(y) AS y FROM ru GROUP BY {K}, run),
 mx AS (SELECT {K}, CAST((a + z) // 2 AS INT) AS i, y FROM (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS nx FROM rr WINDOW w AS (PARTITION BY {K} ORDER BY run)) WHERE p < y AND nx < y)
 """
+VISIBLE = """CASE WHEN v_lo + rip * bin_v >= v_hi - 2e-3 AND NOT lip * bin_v <= 2e-3 THEN CASE WHEN w.i - lip > 0 THEN (rip - lip) / (2 * (w.i - lip)) ELSE 0 END
+  WHEN lip * bin_v <= 2e-3 AND NOT v_lo + rip * bin_v >= v_hi - 2e-3 THEN CASE WHEN rip - w.i > 0 THEN (rip - lip) / (2 * (rip - w.i)) ELSE 0 END
+  WHEN NOT lip * bin_v <= 2e-3 AND NOT v_lo + rip * bin_v >= v_hi - 2e-3 THEN 1 END"""
+
+
+def sweep(name, source, shoulder, narrow, wide):
+    """CTEs that thin peaks by spacing: one recursion step for each peak, upwards in voltage."""
+    near = f"l[x].v - l[i].v < CASE WHEN l[i].s OR l[x].s THEN {narrow} ELSE {wide} END"
+    return f"""{name}_l AS (SELECT {K}, list({{'v': voltage, 'p': prominence, 's': {shoulder}, 'b': peak_bin}} ORDER BY voltage, prominence) AS l FROM {source} GROUP BY {K}),
+{name}_k AS (
+  SELECT {K}, l, list_transform(l, lambda x: true) AS k, 1 AS i FROM {name}_l
+  UNION ALL
+  SELECT {K}, l, CASE WHEN NOT k[i] THEN k ELSE list_transform(range(1, len(l) + 1), lambda x: CASE WHEN x = i THEN b IS NULL WHEN x > i AND k[x] AND {near} AND l[x].p <= l[i].p AND (b IS NULL OR x < b) THEN false ELSE k[x] END) END, i + 1
+  FROM (SELECT *, list_min(list_filter(range(i + 1, len(l) + 1), lambda x: k[x] AND {near} AND l[x].p > l[i].p)) AS b FROM {name}_k WHERE i < len(l))),
+{name}_e AS (SELECT {K}, unnest(list_filter(list_transform(range(1, len(l) + 1), lambda x: CASE WHEN k[x] THEN l[x].b END), lambda x: x IS NOT NULL)) AS peak_bin FROM (SELECT {K}, arg_max(l, i) AS l, arg_max(k, i) AS k FROM {name}_k GROUP BY {K})),
+{name} AS (SELECT p.* FROM {source} p JOIN {name}_e e ON {on('p', 'e')} AND e.peak_bin = p.peak_bin)"""
+
+
 KEEP = PEAKS + f""",
 mo AS (SELECT m.*, greatest(1, CAST(round_even(3e1 / 1e3 / bin_v, 0) AS INT)) AS dist, row_number() OVER (PARTITION BY m.cell_id, m.cycle, m.step ORDER BY y DESC, i DESC) AS k FROM mx m JOIN sc ON {on('m', 'sc')}),
 kd AS (
@@ -42,18 +60,31 @@ wd AS (SELECT x.cell_id, x.cycle, x.step, x.i, h, prom, a + CASE WHEN ys[a + 1]
   b - CASE WHEN ys[b + 1] < half THEN (half - ys[b + 1]) / (ys[b] - ys[b + 1]) ELSE 0 END AS rip FROM cr x JOIN yl ON {on('x', 'yl')}),
 nz AS (SELECT w.cell_id, w.cycle, w.step, w.i, avg(abs(c.d2)) * 12533141e-7 / sqrt(15e-1) AS noise FROM wd w JOIN (SELECT *, y - 5e-1 * (lag(y) OVER q + lead(y) OVER q) AS d2 FROM cy WINDOW q AS (PARTITION BY {K} ORDER BY i)) c
   ON {on('w', 'c')} AND c.i BETWEEN w.i - 29 AND w.i + 29 AND c.d2 IS NOT NULL GROUP BY w.cell_id, w.cycle, w.step, w.i),
-prim AS (SELECT w.cell_id, w.cycle, w.step, w.i AS peak_bin, v_lo + w.i * bin_v AS voltage, h AS height, prom AS prominence, (rip - lip) * bin_v AS width_v, v_lo + lip * bin_v AS left_v, v_lo + rip * bin_v AS right_v,
-  v_lo + rip * bin_v >= v_hi - 2e-3 OR v_lo + lip * bin_v <= v_lo + 2e-3 AS is_truncated, noise, y_max FROM wd w JOIN sc ON {on('w', 'sc')} JOIN nz ON {on('w', 'nz')} AND nz.i = w.i
-  WHERE (rip - lip >= greatest(1, round_even(5 / 1e3 / bin_v, 0)) AND (prom >= 5e-2 * y_range OR (h > 0 AND prom >= 25e-2 * h AND h >= 2e-2 * y_max))) OR h = y_max),
-nf AS (SELECT * FROM (SELECT *, height / max(height) OVER (PARTITION BY {K}) AS share FROM prim) WHERE NOT (coalesce(noise > 0 AND prominence / noise < 12, false) AND share < 1e-1)),
+pr0 AS (SELECT w.cell_id, w.cycle, w.step, w.i AS peak_bin, v_lo + w.i * bin_v AS voltage, h AS height, prom AS prominence, (rip - lip) * bin_v AS width_v, v_lo + lip * bin_v AS left_v, v_lo + rip * bin_v AS right_v,
+  v_lo + rip * bin_v >= v_hi - 2e-3 OR v_lo + lip * bin_v <= v_lo + 2e-3 AS is_truncated, noise, y_max, {VISIBLE} AS visible FROM wd w JOIN sc ON {on('w', 'sc')} JOIN nz ON {on('w', 'nz')} AND nz.i = w.i JOIN sett s ON s.cell_id = w.cell_id
+  WHERE rip - lip >= greatest(1, round_even(CASE profile WHEN 'sharp' THEN 2 ELSE 5 END / 1e3 / bin_v, 0)) AND (prom >= 5e-2 * y_range OR (h > 0 AND prom >= 25e-2 * h AND h >= 2e-2 * y_max))),
+pr1 AS (SELECT * EXCLUDE (visible) FROM pr0 WHERE coalesce(visible >= 6e-1, true)),
+t0 AS (SELECT {K}, arg_max(i, {{'y': y, 'i': -i}}) AS i, max(y) AS y, any_value(n) AS n FROM cy GROUP BY {K}),
+t1 AS (SELECT t.cell_id, t.cycle, t.step, t.i, any_value(t.y) - greatest(min(c.y) FILTER (c.i <= t.i), min(c.y) FILTER (c.i >= t.i)) AS prom FROM t0 t JOIN cy c ON {on('t', 'c')} WHERE t.i > 0 AND t.i < t.n - 1 GROUP BY ALL),
+t2 AS (SELECT t.*, v_lo + t.i * bin_v AS voltage, y_max FROM t1 t JOIN sc ON {on('t', 'sc')} WHERE prom > 0),
+t3 AS (SELECT t.cell_id, t.cycle, t.step, t.i, any_value(t.voltage) AS voltage, any_value(y_max) AS y_max, any_value(prom) AS prom, avg(abs(c.d2)) * 12533141e-7 / sqrt(15e-1) AS noise FROM t2 t JOIN (SELECT *, y - 5e-1 * (lag(y) OVER q + lead(y) OVER q) AS d2 FROM cy WINDOW q AS (PARTITION BY {K} ORDER BY i)) c
+  ON {on('t', 'c')} AND c.i BETWEEN t.i - 29 AND t.i + 29 AND c.d2 IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM pr1 p WHERE {on('t', 'p')} AND abs(p.voltage - t.voltage) < 3e-2) GROUP BY ALL),
+prim AS (SELECT * FROM pr1 UNION ALL SELECT {K}, i, voltage, y_max, prom, NULL, NULL, NULL, false, noise, y_max FROM t3),
+{sweep('dd', 'prim', 'false', '20000001e-9', '30000001e-9')},
+nf AS (SELECT * FROM (SELECT *, height / max(height) OVER (PARTITION BY {K}) AS share FROM dd) WHERE NOT (coalesce(noise > 0 AND prominence / noise < 12, false) AND share < 1e-1)),
 pks AS (SELECT * EXCLUDE (r, share), CAST(row_number() OVER (PARTITION BY {K} ORDER BY voltage) AS INT) AS peak_id FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY prominence DESC, voltage) AS r, count(*) OVER (PARTITION BY {K}) > 12 AS peaks_capped FROM nf) WHERE r <= 12)
 """
 PEAK_DOUBLES = "voltage height prominence width_v left_v right_v noise"
 
 
+@shared
+def primary(spark, sf):
+    return P.primary_peaks(curves(spark, sf), profiles=settings(spark, sf))
+
+
 @shared
 def peaks(spark, sf):
-    return cut(P.detect(curves(spark, sf)))
+    return cut(P.detect(curves(spark, sf), profiles=settings(spark, sf)))
 
 
 @query("g1_local_maxima", f"WITH {CURVES}, {PEAKS} SELECT {K}, i AS peak_bin FROM mx")
@@ -63,27 +94,28 @@ def _(spark, sf):
 
 @query("g1_primary_peaks", f"WITH {CURVES}, {KEEP} SELECT * EXCLUDE (y_max) FROM prim", PEAK_DOUBLES)
 def _(spark, sf):
-    return P.primary_peaks(curves(spark, sf)).drop("y_max")
+    return primary(spark, sf).drop("y_max")
 
 
 @query("g4_truncation", f"""WITH {CURVES}, {KEEP}, f AS (SELECT p.*, CASE WHEN right_v >= v_hi - 2e-3 AND NOT left_v <= v_lo + 2e-3 THEN CASE WHEN voltage - left_v > 0 THEN (right_v - left_v) / (2 * (voltage - left_v)) ELSE 0 END
-  WHEN left_v <= v_lo + 2e-3 AND NOT right_v >= v_hi - 2e-3 THEN CASE WHEN right_v - voltage > 0 THEN (right_v - left_v) / (2 * (right_v - voltage)) ELSE 0 END ELSE 1 END AS visible FROM prim p JOIN sc ON {on('p', 'sc')})
-SELECT {K}, peak_bin, visible, visible >= 6e-1 AS usable FROM f""", "visible")
+  WHEN left_v <= v_lo + 2e-3 AND NOT right_v >= v_hi - 2e-3 THEN CASE WHEN right_v - voltage > 0 THEN (right_v - left_v) / (2 * (right_v - voltage)) ELSE 0 END
+  WHEN NOT left_v <= v_lo + 2e-3 AND NOT right_v >= v_hi - 2e-3 THEN 1 END AS visible FROM prim p JOIN sc ON {on('p', 'sc')})
+SELECT {K}, peak_bin, visible, coalesce(visible >= 6e-1, true) AS usable FROM f WHERE left_v IS NOT NULL""", "visible")
 def _(spark, sf):
     edges = curves(spark, sf).groupBy(*HALF).agg(F.min("voltage").alias("lo"), F.max("voltage").alias("hi"))
     seen = P.visible_fraction(F.col("voltage"), F.col("left_v"), F.col("right_v"), F.col("lo"), F.col("hi"))
-    return P.primary_peaks(curves(spark, sf)).join(edges, HALF).select(
-        *HALF, "peak_bin", seen.alias("visible"), (seen >= P.TRUNCATION_VISIBLE).alias("usable"))
+    return primary(spark, sf).filter("left_v IS NOT NULL").join(edges, HALF).select(
+        *HALF, "peak_bin", seen.alias("visible"), F.coalesce(seen >= P.TRUNCATION_VISIBLE, F.lit(True)).alias("usable"))
 
 
 @query("g5_local_noise", f"WITH {CURVES}, {KEEP} SELECT {K}, peak_bin, noise FROM prim", "noise")
 def _(spark, sf):
-    return P.primary_peaks(curves(spark, sf)).select(*HALF, "peak_bin", "noise")
+    return primary(spark, sf).select(*HALF, "peak_bin", "noise")
 
 
 @query("g6_noise_floor", f"WITH {CURVES}, {KEEP} SELECT {K}, peak_bin, prominence FROM nf", "prominence")
 def _(spark, sf):
-    return P.noise_floor(P.primary_peaks(curves(spark, sf))).select(*HALF, "peak_bin", "prominence")
+    return P.noise_floor(P.deduplicate(primary(spark, sf))).select(*HALF, "peak_bin", "prominence")
 
 
 @query("g7_strongest_peaks", f"WITH {CURVES}, {KEEP} SELECT * EXCLUDE (y_max) FROM pks", PEAK_DOUBLES)
@@ -100,17 +132,17 @@ def _(spark, sf):
     return top.join(found, [*HALF, "top_bin"], "left").withColumn("is_peak", F.coalesce("is_peak", F.lit(False)))
 
 
-@query("g3_deduplicate")
+@query("g3_deduplicate", f"WITH {CURVES}, {KEEP}, {sweep('wider', 'pks', 'peak_id % 2 = 0', '80000001e-9', '120000001e-9')} SELECT {K}, peak_bin, voltage, prominence FROM wider", "voltage prominence")
 def _(spark, sf):
     half_apart = peaks(spark, sf).withColumn("is_shoulder", F.col("peak_id") % 2 == 0)
-    return P.deduplicate(half_apart, 0.08, 0.12)
+    return P.deduplicate(half_apart, 0.08, 0.12).select(*HALF, "peak_bin", "voltage", "prominence")
 
 
 @shared
 def stable_peaks(spark, sf):
     p = plan(spark, sf)
     shifted_plan = V.shift_plan(p.withColumn("phase", F.explode(F.array(*[F.lit(x) for x in P.PHASES]))), F.col("phase"))
-    moved = P.detect(V.histogram_curves(steps(spark, sf), shifted_plan, ("phase",)), ("phase",))
+    moved = P.detect(V.histogram_curves(steps(spark, sf), shifted_plan, ("phase",)), ("phase",), settings(spark, sf))
     return cut(P.phase_stable(peaks(spark, sf), moved, p.select(*HALF, "width")))
 
 
@@ -169,10 +201,10 @@ def _(spark, sf):
 rp AS (SELECT p.cell_id, p.step, CAST(row_number() OVER (PARTITION BY p.cell_id, p.step ORDER BY voltage) AS INT) AS ref_id, voltage AS ref_v FROM pks p JOIN refc r ON r.cell_id = p.cell_id AND r.reference_cycle = p.cycle),
 ne AS (SELECT p.cell_id, p.cycle, p.step, p.peak_id, voltage, ref_id, abs(voltage - ref_v) AS far, row_number() OVER (PARTITION BY p.cell_id, p.cycle, p.step, p.peak_id ORDER BY abs(voltage - ref_v), ref_id) AS k FROM pks p JOIN rp ON rp.cell_id = p.cell_id AND rp.step = p.step AND abs(voltage - ref_v) <= 8e-2),
 fo AS (SELECT {K}, ref_id, arg_min(voltage, far) AS v FROM ne WHERE k = 1 GROUP BY ALL),
-gr AS (SELECT DISTINCT c.cell_id, c.cycle, c.step, ref_id FROM curve c JOIN rp ON rp.cell_id = c.cell_id AND rp.step = c.step),
+gr AS (SELECT c.cell_id, c.cycle, c.step, ref_id, min(c.voltage) AS lo, max(c.voltage) AS hi FROM curve c JOIN rp ON rp.cell_id = c.cell_id AND rp.step = c.step WHERE EXISTS (SELECT 1 FROM pks p WHERE {on('c', 'p')}) GROUP BY ALL),
 mi AS (SELECT g.* FROM gr g LEFT JOIN fo f ON {on('g', 'f')} AND f.ref_id = g.ref_id WHERE f.v IS NULL),
-cd AS (SELECT m.cell_id, m.cycle, m.step, m.ref_id, f.v, row_number() OVER (PARTITION BY m.cell_id, m.cycle, m.step, m.ref_id ORDER BY abs(f.cycle - m.cycle), f.cycle) AS k FROM mi m JOIN fo f ON f.cell_id = m.cell_id AND f.step = m.step AND f.ref_id = m.ref_id)
-SELECT {K}, ref_id, v AS seed_v FROM cd WHERE k = 1""", "seed_v", "records, cells")
+cd AS (SELECT m.cell_id, m.cycle, m.step, m.ref_id, f.v, lo, hi, row_number() OVER (PARTITION BY m.cell_id, m.cycle, m.step, m.ref_id ORDER BY abs(f.cycle - m.cycle), f.cycle) AS k FROM mi m JOIN fo f ON f.cell_id = m.cell_id AND f.step = m.step AND f.ref_id = m.ref_id)
+SELECT {K}, ref_id, v AS seed_v FROM cd WHERE k = 1 AND v BETWEEN lo AND hi""", "seed_v", "records, cells")
 def _(spark, sf):
     return P.infer_missing_seeds(peaks(spark, sf), P.reference_peaks(peaks(spark, sf), reference(spark, sf)), curves(spark, sf))
 
