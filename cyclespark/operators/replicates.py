@@ -62,9 +62,9 @@ def feature_groups(points: DataFrame, keys: list[str], gap_mv: float = FEATURE_G
     new = F.coalesce((F.col("voltage") - F.lag("voltage").over(w)) * 1000.0 > gap_mv, F.lit(True))
     rows = points.withColumn("_new", new.cast("int"))
     rows = rows.withColumn("feature", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    per_cell = rows.groupBy(*keys, "feature", *CELL).agg(F.percentile("drift", 0.5).alias("d"), F.sum("voltage").alias("v"), F.count(F.lit(1)).alias("k"))
+    per_cell = rows.groupBy(*keys, "feature", *CELL).agg(F.percentile("drift", 0.5).alias("_d"), F.sum("voltage").alias("_v"), F.count(F.lit(1)).alias("_k"))
     return per_cell.groupBy(*keys, "feature").agg(
-        (F.sum("v") / F.sum("k")).alias("voltage"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count("d").alias("n"), F.sum("k").alias("n_peaks")
+        (F.sum("_v") / F.sum("_k")).alias("voltage"), F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("sd"), F.count("_d").alias("n"), F.sum("_k").alias("n_peaks")
     )
 
 

@@ -98,6 +98,11 @@ def shared(build):
     return get
 
 
+def forget() -> None:
+    """Drop the kept tables, so that the next query builds its own (timing, or new files under the same path)."""
+    _SHARED.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
