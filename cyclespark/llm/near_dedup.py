@@ -152,23 +152,26 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, like: float = L
     return both.select("a", "b", "text", "text_b").mapInArrow(run, "a string, b string, like double")
 
 
-def rare_nodes(texts: DataFrame, k: int = WORDS, like: float = LIKE) -> DataFrame:
-    """Nodes of which more than 1 - like of the labelled k-mers stand in no other of these texts: they can have no partner here."""
+def lone_kmers(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """(node, lone): how many of a text's labelled k-mers stand in no other of these texts; nodes without any are missing."""
 
     def run(inputs):
         for batch in batches(inputs):
             shingles, first = _shingles(*utf8(batch.column("text")), k)
             own = _labelled(shingles, first)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column("node").take(pa.array(owner)), pa.array(np.diff(first)[owner])], names=["x", "node", "n"])
+            ids = np.array([int(x[:16], 16) for x in batch.column("node").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(ids, np.diff(first)).view(np.int64))], names=["x", "id"])
 
-    marks = texts.select("node", "text").mapInArrow(run, "x long, node string, n long")
-    lone = marks.groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("n").alias("n")).filter("c = 1")
-    return lone.groupBy("node").agg(F.count("*").alias("lone"), F.first("n").alias("n")).filter(F.col("lone") > (1 - like) * F.col("n") + 1e-9).select("node")
+    marks = texts.select("node", "text").mapInArrow(run, "x long, id long")
+    lone = marks.groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    ids = texts.select("node", F.conv(F.substring("node", 1, 16), 16, -10).cast("long").alias("id"))
+    return ids.join(lone, "id").select("node", "lone")
 
 
-def _comparable(n: str, m: str, like: float):
-    return F.least(n, m) >= F.greatest(n, m) * like - 1e-9
+def _comparable(n: str, lone: str, m: str, other: str, like: float):
+    """Whether two texts of n and m k-mers can be alike, when some of their k-mers stand in no other text."""
+    common = F.least(F.col(n) - F.col(lone), F.col(m) - F.col(other))
+    return common * (1 + like) >= like * (F.col(n) + F.col(m)) - 1e-9
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", like: float = LIKE, k: int = WORDS) -> DataFrame:
@@ -176,9 +179,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
     Two texts are linked if the order-keeping likeness of their runs of k words is `like` or more (see aligned); groups are
     the connected components. Texts with the same words are copies and take part once. Candidates share an Order MinHash
-    signature. Within a bucket of equal signatures, everything is first compared with the bucket's smallest text; what isn't
-    linked to it (and has enough k-mers in common with others to have a partner at all) is then compared with all members of
-    the bucket outside its own group. So each pair in a bucket is compared or already in one group, and no bucket is capped.
+    signature. Within a bucket of equal signatures, everything is first compared with the bucket's most ordinary text (the one
+    with the smallest share of k-mers that stand in no other candidate); what isn't linked to it is then compared with the
+    members of the bucket outside its own group. Pairs that have too few k-mers in common with any text to be alike are ruled
+    out by their numbers. So each pair in a bucket is compared, ruled out, or already in one group, and no bucket is capped.
 
     n_links counts the verified links of a text to other texts. Null texts are empty; all blank texts are copies of each other,
     and texts under k words have only copies. Null keys get the class of their copies, null where those have none. An empty
@@ -204,33 +208,29 @@ def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFram
     drawn = stored(sketch(plain, "_key", "text", k), "sketch")
     nodes = stored(drawn.groupBy("node").agg(F.min("_key").alias("copy_of"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "nodes")
     buckets = nodes.filter("n > 0").select("node", "n", F.posexplode("signatures").alias("draw", "sig"))
-    centres = buckets.groupBy("draw", "sig").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("c")).filter("members > 1")
-    centres = stored(centres.select("draw", "sig", F.col("c.node").alias("a"), F.col("c.n").alias("an")), "centres")
-    members = stored(buckets.join(centres, ["draw", "sig"]).select("draw", "sig", "a", "an", "node", "n"), "members")
-    pairs = members.filter("node <> a").filter(_comparable("n", "an", like)).select("a", F.col("node").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = stored(_texts_of(plain, nodes.join(involved, "node")), "texts")
-    links = stored(verified(pairs, texts, k, like), "links")
-    linked = links.filter("like > 0").select("a", "b", "like")
-
-    failed = members.filter("node <> a").join(links.filter("like = 0").select("a", F.col("b").alias("node")), ["a", "node"], "left_semi").union(
-        members.filter("node <> a").filter(~_comparable("n", "an", like)).select("a", "node", "draw", "sig", "an", "n")
-    )
-    failed = stored(failed.select("draw", "sig", F.col("node").alias("x"), F.col("n").alias("xn")), "failed")
-    if not failed.isEmpty():
-        group = components(linked)
-        again = members.filter("node <> a").join(failed.select("draw", "sig").distinct(), ["draw", "sig"], "left_semi")
-        again = stored(again.select("draw", "sig", "node", "n"), "again")
-        spare = stored(_texts_of(plain, nodes.join(again.select("node").distinct(), "node")), "texts")
-        rare = stored(rare_nodes(spare, k, like), "rare")
-        group = group.withColumnRenamed("node", "_n")
-        y = again.join(rare, "node", "left_anti").join(group, F.col("node") == F.col("_n"), "left").select("draw", "sig", F.col("node").alias("y"), F.col("n").alias("yn"), F.coalesce("root", "node").alias("yr"))
-        x = failed.join(rare, failed.x == rare.node, "left_anti").join(group, F.col("x") == F.col("_n"), "left").select("draw", "sig", "x", "xn", F.coalesce("root", "x").alias("xr"))
-        more = x.join(y, ["draw", "sig"]).filter("xr <> yr").filter(_comparable("xn", "yn", like))
-        more = stored(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        extra = stored(verified(more, spare, k, like).filter("like > 0"), "links")
-        linked = linked.union(extra).dropDuplicates(["a", "b"])
+    shared = buckets.groupBy("draw", "sig").agg(F.count("*").alias("c")).filter("c > 1").select("draw", "sig")
+    members = stored(buckets.join(shared, ["draw", "sig"]), "members")
+    texts = stored(_texts_of(plain, nodes.join(members.select("node").distinct(), "node")), "texts")
+    lone = stored(lone_kmers(texts, k), "lone")
+    members = members.join(lone, "node", "left").na.fill(0, ["lone"]).filter(F.col("lone") <= (1 - like) * F.col("n") + 1e-9)
+    members = stored(members.select("draw", "sig", "node", "n", "lone"), "members")
+    centres = members.groupBy("draw", "sig").agg(F.min(F.struct(F.col("lone") / F.col("n"), "node", "n", "lone")).alias("c"))
+    centres = centres.select("draw", "sig", F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("c.lone").alias("al"))
+    star = stored(members.join(centres, ["draw", "sig"]).filter("node <> a"), "star")
+    near = _comparable("n", "lone", "an", "al", like)
+    pairs = stored(star.filter(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+    links = stored(verified(pairs, texts, k, like).filter("like > 0"), "links")
+
+    linked = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    is_linked = (F.least("a", "node") == F.col("_a")) & (F.greatest("a", "node") == F.col("_b"))
+    failed = star.join(linked, is_linked, "left_anti").select("draw", "sig", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("lone").alias("xl"))
+    group = components(links).withColumnRenamed("node", "_n")
+    x = failed.join(group, F.col("x") == F.col("_n"), "left").select("draw", "sig", "x", "xn", "xl", F.coalesce("root", "x").alias("xr"))
+    y = members.join(group, F.col("node") == F.col("_n"), "left").select("draw", "sig", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("lone").alias("yl"), F.coalesce("root", "node").alias("yr"))
+    more = x.join(y, ["draw", "sig"]).filter("xr <> yr").filter(_comparable("xn", "xl", "yn", "yl", like))
+    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    extra = verified(stored(more, "pairs"), texts, k, like).filter("like > 0")
+    linked = stored(links.union(extra).select("a", "b"), "links")
 
     roots = components(linked)
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
