@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, mixed, span_hashes, stored, utf8, word_spans
+from .common import batches, mixed, span_hashes, utf8, word_spans
 
 LOW, HIGH = 2, 12
+_ROOM = 1 << 20  # bytes of text that a task handles at a time; keeps the arrays near the processor
 _LAST = 2**63 - 1  # stands for a null key
 
 
@@ -33,10 +34,11 @@ class Symbols:
 
     def __init__(self, words: np.ndarray, before: np.ndarray):
         n = len(words)
-        self.name, self.start, self.end = words, np.arange(n), np.arange(n) + 1
+        self.name, self.start = words.copy(), np.arange(n, dtype=np.int32)
+        self.end = self.start + 1
         self.lo, self.hi, self.round = self.start, self.end, 0
-        self.text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-        self.edges = before
+        self.text = np.repeat(np.arange(len(before) - 1, dtype=np.int32), np.diff(before))
+        self.edges = before.astype(np.int32)
 
     def _beside(self) -> tuple[np.ndarray, np.ndarray]:
         """How far the dependence of the left and of the right neighbour goes; beyond the text where there is none."""
@@ -46,40 +48,51 @@ class Symbols:
         right[:-1][same] = self.hi[1:][same]
         return left, right
 
-    def next_round(self) -> None:
+    def next_round(self, dependence: bool = True) -> None:
+        """One round; without dependence lo and hi are no longer kept up."""
         if not len(self.name):
             return
         self.round += 1
-        self._runs()
-        self._pairs()
+        self._runs(dependence)
+        self._pairs(dependence)
 
-    def _runs(self) -> None:
-        left, right = self._beside()
+    def _runs(self, dependence: bool) -> None:
         head = np.ones(len(self.name), bool)
         head[1:] = (self.name[1:] != self.name[:-1]) | (self.text[1:] != self.text[:-1])
         first = np.flatnonzero(head)
+        if len(first) == len(head):
+            if dependence:
+                left, right = self._beside()
+                self.lo, self.hi = np.minimum(self.lo, left), np.maximum(self.hi, right)
+            return
         last = np.append(first[1:], len(head)) - 1
         n = last - first + 1
         name = self.name[first]
-        name = np.where(n > 1, mixed(name + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), name)
-        lo, hi = np.minimum(self.lo[first], left[first]), np.maximum(self.hi[last], right[last])
-        self.name, self.start, self.end, self.lo, self.hi, self.text = name, self.start[first], self.end[last], lo, hi, self.text[first]
-
-    def _pairs(self) -> None:
-        beside_left, beside_right = self._beside()
+        many = np.flatnonzero(n > 1)
+        name[many] = mixed(name[many] + n[many].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if dependence:
+            left, right = self._beside()
+            self.lo, self.hi = np.minimum(self.lo[first], left[first]), np.maximum(self.hi[last], right[last])
+        self.name, self.start, self.end, self.text = name, self.start[first], self.end[last], self.text[first]
+
+    def _pairs(self, dependence: bool) -> None:
         is_left = mixed(self.name ^ np.uint64(self.round)) >> np.uint64(63) == 1
         joined = np.zeros(len(self.name), bool)
         joined[:-1] = is_left[:-1] & ~is_left[1:] & (self.text[1:] == self.text[:-1])
         second = np.zeros(len(self.name), bool)
         second[1:] = joined[:-1]
-        lo = np.where(~is_left & ~second, np.minimum(self.lo, beside_left), self.lo)
-        hi = np.where(is_left & ~joined, np.maximum(self.hi, beside_right), self.hi)
         at = np.flatnonzero(joined)
-        name, end = self.name.copy(), self.end.copy()
-        name[at] = mixed(mixed(self.name[at]) * np.uint64(0xC2B2AE3D27D4EB4F) + self.name[at + 1])
-        end[at], lo[at], hi[at] = end[at + 1], np.minimum(lo[at], lo[at + 1]), np.maximum(hi[at], hi[at + 1])
-        keep = ~second
-        self.name, self.start, self.end, self.lo, self.hi, self.text = (x[keep] for x in (name, self.start, end, lo, hi, self.text))
+        self.name[at] = mixed(mixed(self.name[at]) * np.uint64(0xC2B2AE3D27D4EB4F) + self.name[at + 1])
+        self.end[at] = self.end[at + 1]
+        if dependence:
+            left, right = self._beside()
+            lo = np.where(~is_left & ~second, np.minimum(self.lo, left), self.lo)
+            hi = np.where(is_left & ~joined, np.maximum(self.hi, right), self.hi)
+            lo[at], hi[at] = np.minimum(lo[at], lo[at + 1]), np.maximum(hi[at], hi[at + 1])
+        keep = np.flatnonzero(~second)
+        self.name, self.start, self.end, self.text = self.name[keep], self.start[keep], self.end[keep], self.text[keep]
+        if dependence:
+            self.lo, self.hi = lo[keep], hi[keep]
 
 
 def _window_starts(before: np.ndarray, size: int) -> np.ndarray:
@@ -90,14 +103,24 @@ def _window_starts(before: np.ndarray, size: int) -> np.ndarray:
 
 def window_anchors(low: Symbols, starts: np.ndarray, size: int) -> np.ndarray:
     """For each window the number of its symbol, or -1 where no symbol's dependence lies within it."""
-    a, b = np.searchsorted(low.lo, starts), np.searchsorted(low.hi, starts + size, "right")
-    rank = mixed(low.name + np.uint64(7))
-    best, value = np.full(len(starts), -1), np.full(len(starts), 2**64 - 1, np.uint64)
-    for k in range(int((b - a).max(initial=0))):
-        some = np.flatnonzero(a + k < b)
-        at = a[some] + k
-        won = rank[at] < value[some]
-        best[some[won]], value[some[won]] = at[won], rank[at[won]]
+    # How many symbols have lo below a place, and hi up to a place: the candidates are [a, b).
+    n = int(low.edges[-1]) + 2
+    a = np.cumsum(np.bincount(low.lo + 1, minlength=n + 1))[starts]
+    b = np.cumsum(np.bincount(low.hi, minlength=n + 1))[starts + size]
+    rank = np.append(mixed(low.name + np.uint64(7)), np.uint64(2**64 - 1))
+    # The least rank of [a, b) is that of two stretches of a power of two, tabled by doubling.
+    best = np.full(len(starts), -1)
+    table, width = np.arange(len(rank) - 1), 1
+    count = b - a
+    while len(table):
+        own = np.flatnonzero((count >= width) & (count < 2 * width))
+        if len(own):
+            x, y = table[a[own]], table[b[own] - width]
+            best[own] = np.where(rank[y] < rank[x], y, x)
+        if not (count >= 2 * width).any():
+            break
+        x, y = table[: len(table) - width], table[width:]
+        table, width = np.where(rank[y] < rank[x], y, x), 2 * width
     return best
 
 
@@ -122,11 +145,8 @@ class Parsed:
         self.data, self.at = utf8(column)
         starts, ends, self.before = word_spans(self.data, self.at)
         self.lanes = [span_hashes(self.data, starts, ends, lane) for lane in (0, 1)]
-        self.spans = starts, ends
-        whole = span_hashes(self.lanes[0], self.before[:-1], self.before[1:])
-        self.tag = (whole >> np.uint64(34)).astype(np.int64)  # 30 bits, tells rows with the same key apart
+        self.tag = _tags(self.lanes[0], self.before)
         self.key, self.size = key, size
-        self.order = np.argsort(np.argsort(key, kind="stable"), kind="stable")
         self.symbols = Symbols(self.lanes[0], self.before)
         for _ in range(LOW):
             self.symbols.next_round()
@@ -169,7 +189,7 @@ def _marks(parsed: Parsed):
 
     high = p.symbols
     for _ in range(HIGH - LOW):
-        high.next_round()
+        high.next_round(dependence=False)
     long = np.flatnonzero(high.end - high.start >= p.size) if len(high.name) else np.zeros(0, np.int64)
     texts = np.flatnonzero(np.diff(p.before) >= p.size)
     spans = np.concatenate([np.stack([high.start[long], high.end[long]], 1), np.stack([p.before[:-1][texts], p.before[1:][texts]], 1)])
@@ -198,7 +218,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     plain = docs.select(F.struct(*own).alias("_own"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_key"), F.col(text).alias("text"))
 
     def mark(inputs):
-        for batch in batches(inputs):
+        for batch in batches(inputs, room=_ROOM):
             parsed = Parsed(batch.column("text"), batch.column("_key").to_numpy(zero_copy_only=False), size)
             if len(parsed.windows):
                 k1, k2, owner, place, words, weight = _marks(parsed)
@@ -212,16 +232,13 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     told = told.filter(F.when(F.col("words") == 0, F.col("n") > 1).otherwise((F.col("weight") > 1) | (at > F.col("first"))))
     told = told.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("place", "words")).alias("marks"))
 
-    def compare(inputs):
-        for batch in batches(inputs, rows=1000):
-            keys = batch.column("_key").to_numpy(zero_copy_only=False)
-            p = Parsed(batch.column("text"), keys, size)
-            n = batch.num_rows
-            raw = p.data.tobytes()
+    def ask(inputs):
+        """The windows that marks leave open, with their hashes; those that an earlier row of the batch has come as runs."""
+        for batch in batches(inputs, rows=1000, room=_ROOM):
+            p = Parsed(batch.column("text"), batch.column("_key").to_numpy(zero_copy_only=False), size)
             marks = batch.column("marks")
-            live, sure = np.zeros(len(p.windows), bool), np.zeros(len(p.windows), bool)
-            window_text = p.text_of(p.windows)
-            edge = np.searchsorted(window_text, np.arange(n + 1))
+            live = np.zeros(len(p.windows), bool)
+            edge = np.searchsorted(p.text_of(p.windows), np.arange(batch.num_rows + 1))
             for t in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)):
                 own = marks[int(t)].values
                 place, words = own.field("place").to_numpy(), own.field("words").to_numpy()
@@ -231,72 +248,78 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 a, w = p.anchor[mine], p.windows[mine] - p.before[t]
                 named = np.where(a >= 0, (p.symbols.start[a] - p.before[t]) << 1, w << 1 | 1)
                 live[mine] = np.isin(named, low)
-                high = words > 0
-                high[high] = place[high] >> 32 == p.tag[t]
-                for s, m in zip((place[high] & 0xFFFFFFFF).tolist(), words[high].tolist()):
-                    sure[edge[t] + s : edge[t] + s + m - size + 1] = True
-            live &= ~sure
-            at_window = np.flatnonzero(live)
-            w = p.windows[at_window]
+                for start, m in _high(place, words, p.tag[t]):
+                    live[edge[t] + start : edge[t] + start + m - size + 1] = False
+            w = p.windows[live]
             k = [span_hashes(lane, w, w + size, i) for i, lane in enumerate(p.lanes)]
             _, later, _ = _first_and_later(p.rank(w), *k)
-            sure[at_window[later]] = True
-            ask = np.zeros(len(p.windows), bool)
-            ask[at_window[~later]] = True
-            asked_at = np.full(len(p.windows), -1)
-            asked_at[at_window] = np.arange(len(at_window))
-            out = {"n_words": np.diff(p.before), "sha": [], "text": [], "sure": [], "w": [], "k1": [], "k2": []}
-            texts = batch.column("text")
-            for t in range(n):
-                mine = np.arange(edge[t], edge[t + 1])
-                asked = mine[ask[mine]]
-                found = mine[sure[mine]]
-                cells = asked_at[asked]
-                out["sha"].append(hashlib.sha256(b" ".join(raw[p.at[t] : p.at[t + 1]].split())).hexdigest())
-                out["text"].append(texts[t].as_py() if len(asked) or len(found) or with_text else None)
-                out["sure"].append((p.windows[found] - p.before[t]).astype(np.int32))
-                out["w"].append((p.windows[asked] - p.before[t]).astype(np.int32))
-                out["k1"].append(k[0][cells].view(np.int64))
-                out["k2"].append(k[1][cells].view(np.int64))
-            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_own"), batch.column("_key"), pa.array(p.tag), pa.array(out["n_words"]), pa.array(out["sha"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["sure"], ints), pa.array(out["w"], ints), pa.array(out["k1"], longs), pa.array(out["k2"], longs)],
-                names=["_own", "_key", "tag", "n_words", "sha", "text", "sure", "w", "k1", "k2"],
-            )
-
+            open_w, gone = w[~later], w[later]
+            head = np.ones(len(gone), bool)
+            head[1:] = (np.diff(gone) > 1) | (np.diff(p.text_of(gone)) > 0)
+            heads = np.flatnonzero(head)
+            runs, n = gone[heads], np.diff(np.append(heads, len(gone)))
+            at = np.concatenate([open_w, runs])
+            text = p.text_of(at)
+            own = mixed(mixed(at.astype(np.uint64)) + mixed(p.key[text].astype(np.uint64)))  # keys of their own for the runs
+            k1 = np.concatenate([k[0][~later], own[len(open_w) :]])
+            k2 = np.concatenate([k[1][~later], own[len(open_w) :]])
+            cells = [p.key[text], p.tag[text], at - p.before[text], np.concatenate([np.ones(len(open_w), np.int64), n]), k1.view(np.int64), k2.view(np.int64)]
+            sure = np.arange(len(at)) >= len(open_w)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(t)) for c, t in zip(cells, ("i8", "i4", "i4", "i4", "i8", "i8"))], pa.array(sure)], names=["_key", "tag", "w", "n", "k1", "k2", "sure"])
+
+    # Both passes over the texts read one shuffle of them, as they are parts of one plan.
     joined = plain.join(told, F.col("_key") == F.col("_k"), "left").select("_own", "_key", "text", "marks")
-    kinds = "_key long, tag long, n_words long, sha string, text string, sure array<int>, w array<int>, k1 array<long>, k2 array<long>"
-    kinds = T.StructType([plain.schema["_own"], *T._parse_datatype_string(kinds).fields])
-    compared = stored(joined.mapInArrow(compare, kinds), "windows")
-
-    asked = compared.filter(F.size("w") > 0).select("_key", "tag", F.inline(F.arrays_zip("w", "k1", "k2")))
+    asked = joined.mapInArrow(ask, "_key long, tag int, w int, n int, k1 long, k2 long, sure boolean")
     at = F.struct("_key", "w")
-    later = asked.withColumn("first", F.min(at).over(alike)).filter(at > F.col("first"))
-    later = later.groupBy(F.col("_key").alias("_k"), F.col("tag").alias("_t")).agg(F.collect_list("w").alias("later"))
+    later = asked.withColumn("first", F.min(at).over(alike)).filter(F.col("sure") | (at > F.col("first")))
+    later = later.groupBy(F.col("_key").alias("_l")).agg(F.collect_list(F.struct("tag", "w", "n")).alias("later"))
     fields = [plain.schema["_own"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string").fields]
     schema = T.StructType(fields + ([T.StructField("_text", T.StringType())] if with_text else []))
 
     def cut(inputs):
         for batch in batches(inputs, rows=1000):
             rows = []
-            for t, n, sha, sure, more in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "sha", "sure", "later"))):
-                starts = np.array([*sure, *(more or ())], np.int64)
-                words = t.encode().split() if len(starts) else []
-                gone = np.zeros(n + 1, np.int64)
-                if len(starts):
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, starts + size, -1)
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                words = (t or "").encode().split()
+                gone = np.zeros(len(words) + 1, np.int64)
+                marks, later = batch.column("marks")[k], batch.column("later")[k]
+                if marks.is_valid or later.is_valid:
+                    tag = _tag(t)
+                    spans = []
+                    if marks.is_valid:
+                        own = marks.values
+                        spans += _high(own.field("place").to_numpy(), own.field("words").to_numpy(), tag)
+                    if later.is_valid:
+                        own = later.values
+                        mine = own.field("tag").to_numpy() == tag
+                        spans += zip(own.field("w").to_numpy()[mine].tolist(), (own.field("n").to_numpy()[mine] + size - 1).tolist())
+                    for start, m in spans:
+                        gone[start] += 1
+                        gone[start + m] -= 1
                 stay = np.cumsum(gone)[:-1] == 0
-                if len(starts):
-                    kept = b" ".join([words[i] for i in np.flatnonzero(stay)])
-                    sha, t = hashlib.sha256(kept).hexdigest(), kept.decode()
-                rows.append((n, int(n - stay.sum()), sha, t))
+                n = int(len(words) - stay.sum())
+                kept = b" ".join([words[i] for i in np.flatnonzero(stay)] if n else words)
+                rows.append((len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode() if n else t))
             cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
             cells += [pa.array([r[3] for r in rows], pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([batch.column("_own"), *cells], names=schema.names)
 
-    shown = ["_own", "text", "n_words", "sha", "sure", "later"]
-    touched = compared.filter((F.size("w") > 0) | (F.size("sure") > 0)).drop("w", "k1", "k2")
-    touched = touched.join(later, (F.col("_key") == F.col("_k")) & (F.col("tag") == F.col("_t")), "left").select(*shown)
-    whole = compared.filter((F.size("w") == 0) & (F.size("sure") == 0)).withColumn("later", F.lit(None).cast("array<int>")).select(*shown)
-    return touched.union(whole).mapInArrow(cut, schema).select("_own.*", "n_words", "n_removed", "kept_sha256", *([F.col("_text").alias(text)] if with_text else []))
+    whole = joined.join(later, F.col("_key") == F.col("_l"), "left").select("_own", "text", "marks", "later")
+    return whole.mapInArrow(cut, schema).select("_own.*", "n_words", "n_removed", "kept_sha256", *([F.col("_text").alias(text)] if with_text else []))
+
+
+def _high(place: np.ndarray, words: np.ndarray, tag: int) -> list[tuple[int, int]]:
+    """(first word, words) of the high symbols among marks that belong to the row with that tag."""
+    own = (words > 0) & (place >> 32 == tag)
+    return list(zip((place[own] & 0xFFFFFFFF).tolist(), words[own].tolist()))
+
+
+def _tags(lane: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """30 bits of each text's hash, to tell rows with the same key apart."""
+    return (span_hashes(lane, before[:-1], before[1:]) >> np.uint64(34)).astype(np.int64)
+
+
+def _tag(text: str) -> int:
+    data, at = utf8(pa.array([text], pa.string()))
+    starts, ends, before = word_spans(data, at)
+    return int(_tags(span_hashes(data, starts, ends), before)[0])
