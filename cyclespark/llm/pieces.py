@@ -22,7 +22,7 @@ from .common import batches, stored
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_MEMO, _LONG = 600_000, 40
+_MEMO, _LONG = 400_000, 40
 
 
 class Pieces:
@@ -74,7 +74,7 @@ class Pieces:
             return True
         found = self._apart.get((left, right))
         if found is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > 500_000:
                 self._apart.clear()
             found = self._apart[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -308,7 +308,7 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "de
 
     def decode(inputs):
         model = Pieces(model_file)
-        for batch in inputs:
+        for batch in (b.slice(k, 64) for b in inputs for k in range(0, b.num_rows, 64)):  # few Python numbers at a time
             out = [None if x is None else model.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(out, pa.string())], names=[*own, into])
 
