@@ -22,6 +22,7 @@ from .common import batches, stored
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_CUT = re.compile(f"[^{SPACE}]{SPACE}")
 _MEMO, _LONG = 400_000, 40
 
 
@@ -190,8 +191,29 @@ class Pieces:
     def _ways(self, text: str, begin: int, stop: int, state: tuple[int, int]):
         return begin + state[1], text[begin + state[0] : begin + state[1]]
 
+    def cuts(self, text: str, begin: int, stop: int) -> tuple[int, int] | None:
+        """The first and the last place within begin..stop that every path cuts, if there are any."""
+        found = [m.end() - 1 for m in _CUT.finditer(text, max(begin, 0), stop + 1)] if self.units else []
+        found = [x for x in found if begin < x < stop]
+        return (found[0], found[-1]) if found else None
+
+    def interior(self, text: str) -> float:
+        """Best score of a text that starts and ends at cuts."""
+        return 0.0 if self.merges else sum(self.forward(u, 0, "", len(u))[0][-1] for u in _UNIT.findall(text))
+
     def matrix(self, text: str, begin: int, stop: int) -> np.ndarray:
-        """Best scores from each state at begin to each at stop; minus infinity where no path leads."""
+        """Best scores from each state at begin to each at stop; minus infinity where no path leads.
+
+        Paths meet at cuts: from the first to the last one the matrix is a single score.
+        """
+        cuts = self.cuts(text, begin, stop)
+        if cuts:
+            left = self._matrix(text[: cuts[0]], begin, cuts[0])
+            right = self._matrix(text[cuts[1] :], 0, stop - cuts[1])
+            return combined(left + self.interior(text[cuts[0] : cuts[1]]), right)
+        return self._matrix(text, begin, stop)
+
+    def _matrix(self, text: str, begin: int, stop: int) -> np.ndarray:
         ins, outs = self.states(text, begin), self.states(text, stop)
         m = np.full((len(ins), len(outs)), -np.inf)
         for i, state in enumerate(ins):
@@ -217,6 +239,15 @@ class Pieces:
 
     def trace(self, text: str, begin: int, stop: int, first: int, last: int) -> list[int]:
         """Ids of the pieces that start in the chunk, between the given states at its start and end."""
+        cuts = self.cuts(text, begin, stop)
+        if not cuts:
+            return self._trace(text, begin, stop, first, last)
+        out = self._trace(text[: cuts[0]], begin, cuts[0], first, 0)
+        for u in _UNIT.findall(text[cuts[0] : cuts[1]]):
+            out += self.unit(u)
+        return out + self._trace(text[cuts[1] :], 0, stop - cuts[1], 0, last)
+
+    def _trace(self, text: str, begin: int, stop: int, first: int, last: int) -> list[int]:
         state, out = self.states(text, begin)[first], self.states(text, stop)[last]
         at, before = self._ways(text, begin, stop, state)
         if at >= stop and out != (0, 0):
@@ -227,6 +258,16 @@ class Pieces:
         return self.ids_of([*self.back(text, start, at, stop + out[0]), text[stop + out[0] : stop + out[1]]])
 
 
+_LOADED: dict[str, Pieces] = {}
+
+
+def loaded(model_file: str) -> Pieces:
+    """The vocabulary of a file, read once in a worker; tasks that follow find the units it remembers."""
+    if model_file not in _LOADED:
+        _LOADED[model_file] = Pieces(model_file)
+    return _LOADED[model_file]
+
+
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two matrices."""
     return (a[:, :, None] + b[None, :, :]).max(1)
@@ -256,13 +297,13 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", giant: in
     ids = T.ArrayType(T.IntegerType())
 
     def encode(inputs):
-        model = Pieces(model_file)
+        model = loaded(model_file)
         for batch in batches(inputs, column=text):
             out = [model.encode(t) if t else [] for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(out, pa.list_(pa.int32()))], names=[*own, "ids"])
 
     def matrices(inputs):
-        model = Pieces(model_file)
+        model = loaded(model_file)
         for batch in inputs:
             out = []
             for part, begin, stop in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "stop"))):
@@ -276,7 +317,7 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", giant: in
         return pd.DataFrame({"name": group["name"], "k": group["k"], "first": found[:-1], "last": found[1:]})
 
     def traces(inputs):
-        model = Pieces(model_file)
+        model = loaded(model_file)
         for batch in inputs:
             out = [model.trace(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "stop", "first", "last")))]
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["name", "k", "ids"])
@@ -284,7 +325,7 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", giant: in
     length = F.coalesce(F.length(text), F.lit(0))
     small = docs.filter(length <= giant).select(*own).mapInArrow(encode, T.StructType([*fields, T.StructField("ids", ids)]))
     large = docs.filter(length > giant).select(*own)
-    model = Pieces(model_file)
+    model = loaded(model_file)
     margin = model.longest
     whole = F.concat(F.lit(SPACE if model.prefix else ""), F.translate("t", " ", SPACE))
     texts = large.select(F.sha2(text, 256).alias("name"), F.col(text).alias("t")).dropDuplicates(["name"]).select("name", whole.alias("t"))
@@ -307,7 +348,7 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "de
     own = [c for c in df.columns if c != into]
 
     def decode(inputs):
-        model = Pieces(model_file)
+        model = loaded(model_file)
         for batch in (b.slice(k, 64) for b in inputs for k in range(0, b.num_rows, 64)):  # few Python numbers at a time
             out = [None if x is None else model.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(out, pa.string())], names=[*own, into])
