@@ -9,7 +9,7 @@ symbols, but for their ends, without a common dictionary. What is shared is then
    A window whose symbol occurs once in all texts is not repeated. This rules out nearly all windows of unique text.
 2. High symbols stand for long runs of words, and whole texts for themselves. A high symbol that occurs earlier elsewhere
    reveals a long repeat: all windows inside it are repeated, and need no comparison of their own.
-3. The windows that are left are compared by 128-bit hashes of their words.
+3. The windows that are left are compared by 96-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def _marks(parsed: Parsed):
     k1 = np.empty(len(lo), np.uint64)
     k1[by] = span_hashes(p.lanes[0], lo[by], hi[by])
     word = np.concatenate([p.symbols.start[used], bare])
-    place = p.place(word) << 1 | np.concatenate([np.zeros(len(used), np.int64), np.ones(len(bare), np.int64)])
+    # Low symbols only let windows through, so rows with the same key may share them: no tag.
+    place = (word - p.before[p.text_of(word)]) << 1 | np.concatenate([np.zeros(len(used), np.int64), np.ones(len(bare), np.int64)])
     first, _, many = _first_and_later(p.rank(word), k1)
     own = mixed(place.astype(np.uint64) + mixed(p.key[p.text_of(word)].astype(np.uint64)))
     low = (np.where(first, k1, own), np.zeros(len(k1), np.uint64), p.key[p.text_of(word)], place, np.zeros(len(k1), np.int64), np.where(many, 2, 1))
@@ -243,7 +244,6 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 own = marks[int(t)].values
                 place, words = own.field("place").to_numpy(), own.field("words").to_numpy()
                 low = place[words == 0]
-                low = low[low >> 33 == p.tag[t]] & 0x1FFFFFFFF
                 mine = slice(edge[t], edge[t + 1])
                 a, w = p.anchor[mine], p.windows[mine] - p.before[t]
                 named = np.where(a >= 0, (p.symbols.start[a] - p.before[t]) << 1, w << 1 | 1)
@@ -263,16 +263,15 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             own = mixed(mixed(at.astype(np.uint64)) + mixed(p.key[text].astype(np.uint64)))  # keys of their own for the runs
             k1 = np.concatenate([k[0][~later], own[len(open_w) :]])
             k2 = np.concatenate([k[1][~later], own[len(open_w) :]])
-            cells = [p.key[text], p.tag[text], at - p.before[text], np.concatenate([np.ones(len(open_w), np.int64), n]), k1.view(np.int64), k2.view(np.int64)]
-            sure = np.arange(len(at)) >= len(open_w)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(t)) for c, t in zip(cells, ("i8", "i4", "i4", "i4", "i8", "i8"))], pa.array(sure)], names=["_key", "tag", "w", "n", "k1", "k2", "sure"])
+            # n: windows of a run that is known to be repeated, or 0 for one that is open
+            cells = [p.key[text], p.place(at), np.concatenate([np.zeros(len(open_w), np.int64), n]), k1.view(np.int64), (k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cells, ("i8", "i8", "i4", "i8", "i4"))], names=["_key", "place", "n", "k1", "k2"])
 
     # Both passes over the texts read one shuffle of them, as they are parts of one plan.
     joined = plain.join(told, F.col("_key") == F.col("_k"), "left").select("_own", "_key", "text", "marks")
-    asked = joined.mapInArrow(ask, "_key long, tag int, w int, n int, k1 long, k2 long, sure boolean")
-    at = F.struct("_key", "w")
-    later = asked.withColumn("first", F.min(at).over(alike)).filter(F.col("sure") | (at > F.col("first")))
-    later = later.groupBy(F.col("_key").alias("_l")).agg(F.collect_list(F.struct("tag", "w", "n")).alias("later"))
+    asked = joined.mapInArrow(ask, "_key long, place long, n int, k1 long, k2 int")
+    later = asked.withColumn("first", F.min(at).over(alike)).filter((F.col("n") > 0) | (at > F.col("first")))
+    later = later.groupBy(F.col("_key").alias("_l")).agg(F.collect_list(F.struct("place", F.greatest("n", F.lit(1)).alias("n"))).alias("later"))
     fields = [plain.schema["_own"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string").fields]
     schema = T.StructType(fields + ([T.StructField("_text", T.StringType())] if with_text else []))
 
@@ -291,8 +290,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                         spans += _high(own.field("place").to_numpy(), own.field("words").to_numpy(), tag)
                     if later.is_valid:
                         own = later.values
-                        mine = own.field("tag").to_numpy() == tag
-                        spans += zip(own.field("w").to_numpy()[mine].tolist(), (own.field("n").to_numpy()[mine] + size - 1).tolist())
+                        place = own.field("place").to_numpy()
+                        mine = place >> 32 == tag
+                        spans += zip((place[mine] & 0xFFFFFFFF).tolist(), (own.field("n").to_numpy()[mine] + size - 1).tolist())
                     for start, m in spans:
                         gone[start] += 1
                         gone[start + m] -= 1
