@@ -134,22 +134,27 @@ def aligned(a: list, b: list, like: float = LIKE) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = WORDS, like: float = LIKE) -> DataFrame:
-    """(a, b, like) for pairs (a, b) of nodes; texts has a text per node. like is 0 below the bound."""
+    """(a, b, like, common) for pairs (a, b) of nodes; texts has a text per node.
+
+    like is 0 below the bound; common counts the labelled k-mers that both have.
+    """
 
     def run(inputs):
         for batch in inputs:
             for part in batches([batch], rows=200):
-                out, sides = [], []
+                sides, sets = [], []
                 for c in ("text", "text_b"):
                     shingles, first = _shingles(*utf8(part.column(c)), k)
+                    own = _labelled(shingles, first)
                     sides.append([shingles[i:j].tolist() for i, j in zip(first[:-1], first[1:])])
-                for x, y in zip(*sides):
-                    out.append(aligned(x, y, like))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(out, pa.float64())], names=["a", "b", "like"])
+                    sets.append([own[i:j] for i, j in zip(first[:-1], first[1:])])
+                out = [aligned(x, y, like) for x, y in zip(*sides)]
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(out, pa.float64()), pa.array(common, pa.int64())], names=["a", "b", "like", "common"])
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), "text"), "a")
-    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a string, b string, like double")
+    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a string, b string, like double, common long")
 
 
 def lone_kmers(texts: DataFrame, k: int = WORDS) -> DataFrame:
@@ -168,12 +173,6 @@ def lone_kmers(texts: DataFrame, k: int = WORDS) -> DataFrame:
     return ids.join(lone, "id").select("node", "lone")
 
 
-def _comparable(n: str, lone: str, m: str, other: str, like: float):
-    """Whether two texts of n and m k-mers can be alike, when some of their k-mers stand in no other text."""
-    common = F.least(F.col(n) - F.col(lone), F.col(m) - F.col(other))
-    return common * (1 + like) >= like * (F.col(n) + F.col(m)) - 1e-9
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", like: float = LIKE, k: int = WORDS) -> DataFrame:
     """One row per row of docs: key, copy_of (smallest key with the same words), class_id (smallest key of its group), n_links.
 
@@ -214,23 +213,29 @@ def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFram
     lone = stored(lone_kmers(texts, k), "lone")
     members = members.join(lone, "node", "left").na.fill(0, ["lone"]).filter(F.col("lone") <= (1 - like) * F.col("n") + 1e-9)
     members = stored(members.select("draw", "sig", "node", "n", "lone"), "members")
-    centres = members.groupBy("draw", "sig").agg(F.min(F.struct(F.col("lone") / F.col("n"), "node", "n", "lone")).alias("c"))
-    centres = centres.select("draw", "sig", F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("c.lone").alias("al"))
-    star = stored(members.join(centres, ["draw", "sig"]).filter("node <> a"), "star")
-    near = _comparable("n", "lone", "an", "al", like)
-    pairs = stored(star.filter(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    links = stored(verified(pairs, texts, k, like).filter("like > 0"), "links")
-
-    linked = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    is_linked = (F.least("a", "node") == F.col("_a")) & (F.greatest("a", "node") == F.col("_b"))
-    failed = star.join(linked, is_linked, "left_anti").select("draw", "sig", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("lone").alias("xl"))
-    group = components(links).withColumnRenamed("node", "_n")
-    x = failed.join(group, F.col("x") == F.col("_n"), "left").select("draw", "sig", "x", "xn", "xl", F.coalesce("root", "x").alias("xr"))
-    y = members.join(group, F.col("node") == F.col("_n"), "left").select("draw", "sig", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("lone").alias("yl"), F.coalesce("root", "node").alias("yr"))
-    more = x.join(y, ["draw", "sig"]).filter("xr <> yr").filter(_comparable("xn", "xl", "yn", "yl", like))
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    extra = verified(stored(more, "pairs"), texts, k, like).filter("like > 0")
-    linked = stored(links.union(extra).select("a", "b"), "links")
+    centres = members.groupBy("draw", "sig").agg(F.min(F.struct(F.col("lone") / F.col("n"), "node")).alias("c"))
+    centres = centres.select("draw", "sig", F.col("c.node").alias("a"))
+    star = stored(members.join(centres, ["draw", "sig"]), "star")
+    pairs = star.filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    checked = stored(verified(stored(pairs, "pairs"), texts, k, like), "checked")
+    links = checked.filter("like > 0").select("a", "b")
+
+    known = checked.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "like", "common")
+    rows = star.join(known, (F.least("a", "node") == F.col("_a")) & (F.greatest("a", "node") == F.col("_b")), "left")
+    group = stored(components(links), "groups").withColumnRenamed("node", "_n")
+    rows = rows.join(group, F.col("node") == F.col("_n"), "left").select(
+        "draw", "sig", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("like", F.lit(1.0)).alias("like"),
+        F.coalesce("common", "n").alias("common"), (F.col("n") - F.coalesce("common", "n") - F.when(F.col("common").isNull(), 0).otherwise(F.col("lone"))).alias("rest"),
+    )
+    rows = stored(rows, "rows")
+    x = rows.filter("like = 0").select("draw", "sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "common", "rest")])
+    y = rows.select("draw", "sig", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "common", "rest")])
+    most = F.least("x_common", "y_common") + F.least("x_rest", "y_rest")
+    possible = most * (1 + like) >= like * (F.col("x_n") + F.col("y_n")) - 1e-9
+    more = x.join(y, ["draw", "sig"]).filter("x_root <> y_root").filter(possible)
+    more = more.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    extra = verified(stored(more, "pairs"), texts, k, like).filter("like > 0").select("a", "b")
+    linked = stored(links.union(extra), "links")
 
     roots = components(linked)
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
