@@ -227,12 +227,14 @@ def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFram
         "draw", "sig", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("like", F.lit(1.0)).alias("like"),
         F.coalesce("common", "n").alias("common"), (F.col("n") - F.coalesce("common", "n") - F.when(F.col("common").isNull(), 0).otherwise(F.col("lone"))).alias("rest"),
     )
-    rows = stored(rows, "rows")
-    x = rows.filter("like = 0").select("draw", "sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "common", "rest")])
-    y = rows.select("draw", "sig", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "common", "rest")])
+    rows = stored(rows.join(nodes.select("node", "signatures"), "node"), "rows")
+    x = rows.filter("like = 0").select("draw", "sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "common", "rest", "signatures")])
+    y = rows.select("draw", "sig", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "common", "rest", "signatures")])
+    # A pair that meets in several buckets is judged in the first of them only.
+    first = F.array_position(F.zip_with("x_signatures", "y_signatures", lambda a, b: a == b), True) - 1 == F.col("draw")
     most = F.least("x_common", "y_common") + F.least("x_rest", "y_rest")
     possible = most * (1 + like) >= like * (F.col("x_n") + F.col("y_n")) - 1e-9
-    more = x.join(y, ["draw", "sig"]).filter("x_root <> y_root").filter(possible)
+    more = x.join(y, ["draw", "sig"]).filter("x_root <> y_root").filter(possible).filter(first)
     more = more.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     extra = verified(stored(more, "pairs"), texts, k, like).filter("like > 0").select("a", "b")
     linked = stored(links.union(extra), "links")
