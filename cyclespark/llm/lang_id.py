@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,7 @@ from .common import batches, stored
 _LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (3, 2, 1)
 UNKNOWN = "und"
+SCALE = 2**24  # scores are whole numbers of this part of a unit
 _FLUSH = 300_000  # words that a task gathers before it hands on their counts
 _MEMO = 400_000  # tokens whose scores a worker remembers
 
@@ -80,68 +83,57 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The rows whose n is so high that at most `most` rows of their key reach it; found from the counts of counts."""
-    levels = counts.groupBy(*keys, "n").agg(F.count("*").alias("rows"))
-    upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy(F.col("n").desc()))
-    least = levels.withColumn("upto", upto).filter(F.col("upto") <= most).groupBy(*keys).agg(F.min("n").alias("least"))
-    return counts.join(least, keys).filter("n >= least").drop("least")
+def _table(counts: DataFrame, keys: list[str], totals: dict[str, int]) -> DataFrame:
+    """(keys.., total, scores): a row per word or n-gram, with whole-number scores for all languages, by name."""
+    own = [F.sum(F.when(F.col("lang") == name, F.col("n"))).alias(f"n{i}") for i, name in enumerate(sorted(totals))]
+    scores = [F.round((F.log(F.coalesce(F.col(f"n{i}"), F.lit(0.5))) - math.log(totals[name])) * SCALE).cast("long") for i, name in enumerate(sorted(totals))]
+    return counts.groupBy(*keys).agg(F.sum("n").alias("total"), *own).select(*keys, "total", F.array(*scores).alias("scores"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 400_000, max_grams: int = 120_000) -> dict:
-    """Log frequencies per language of the most frequent words and n-grams.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 400_000) -> dict:
+    """Log frequencies per language of all words and n-grams, in tables; nothing that was counted is left out.
 
-    All of docs is counted; the model holds at most max_words words and max_grams n-grams, shared evenly by the languages, so
-    that it can be sent to every task. Words beyond are scored by their n-grams like unseen ones. Without labelled texts the
-    model has no languages.
+    Each word and n-gram has the counts of all languages; a language that lacks it gets the log of half a count. `head` holds
+    the most frequent words again, max_words at most, to be sent to every task: it decides where a word's scores are looked up,
+    not which they are. Without labelled texts the model has no languages.
     """
     counts = stored(count_words(docs, text, lang), "words")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
-    model = {"langs": langs, "words": {}, "grams": {}}
+    model = {"langs": langs, "words": None, "grams": None, "head": ({}, np.zeros((0, len(langs)), np.int64))}
     if not langs:
         return model
-    grams = count_grams(counts)
-    kept_words = most_frequent(counts, ["lang"], max_words // len(langs)).collect()
-    grams = stored(grams, "grams")
-    kept_grams = most_frequent(grams, ["lang", "size"], max_grams // len(langs) // len(SIZES)).collect()
-    of_size = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", "size").agg(F.sum("n")).collect()}
-    place = {x: i for i, x in enumerate(langs)}
-    floor = np.log(0.5 / np.array([totals[x] for x in langs]))
-    model["words"] = _scores(((r["word"], r["lang"], r["n"]) for r in kept_words), place, lambda name: totals[name], floor)
-    for size in SIZES:
-        low = np.log(0.5 / np.array([of_size[x, size] for x in langs]))
-        model["grams"] |= _scores(((r["gram"], r["lang"], r["n"]) for r in kept_grams if r["size"] == size), place, lambda name: of_size[name, size], low)
+    model["words"] = stored(_table(counts, ["word"], totals), "known")
+    grams = stored(count_grams(counts), "grams")
+    of_size = {size: {x: 1 for x in langs} for size in SIZES}
+    for r in grams.groupBy("lang", "size").agg(F.sum("n")).collect():
+        of_size[r[1]][r[0]] = r[2]
+    sizes = [_table(grams.filter(F.col("size") == size), ["size", "gram"], of_size[size]) for size in SIZES]
+    model["grams"] = stored(reduce(DataFrame.unionByName, sizes), "grams")
+    least, upto = None, 0
+    for total, rows in sorted(map(tuple, model["words"].groupBy("total").agg(F.count("*")).collect()), reverse=True):
+        upto += rows
+        if upto > max_words:
+            break
+        least = total
+    if least is not None:
+        head = model["words"].filter(F.col("total") >= least).select("word", "scores").toArrow().combine_chunks()
+        rows = np.array(head.column("scores").to_pylist(), np.int64).reshape(-1, len(langs))
+        model["head"] = ({w: i for i, w in enumerate(head.column("word").to_pylist())}, rows)
     return model
 
 
-def _scores(rows, place: dict, total, floor: np.ndarray) -> dict[str, np.ndarray]:
-    out: dict[str, np.ndarray] = {}
-    for key, name, n in rows:
-        if key not in out:
-            out[key] = floor.astype(np.float32)
-        out[key][place[name]] = np.log(n / total(name))
-    return out
-
-
 class Scorer(dict):
-    """Token -> row of its summed scores and number of words; remembers at most _MEMO tokens."""
+    """Token -> row of its summed scores and number of words; remembers at most _MEMO tokens.
 
-    def __init__(self, model: dict):
+    Words outside the head add nothing to the scores; `others` has those of each row that has any.
+    """
+
+    def __init__(self, head: tuple[dict[str, int], np.ndarray]):
         super().__init__()
-        self.model, self.width = model, len(model["langs"])
-        self.rows = np.zeros((1024, self.width + 1), np.float32)
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.model["words"].get(word)
-        if found is not None:
-            return found
-        marked, grams = f"^{word}$", self.model["grams"]
-        for size in SIZES:
-            known = [grams[g] for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) in grams]
-            if known:
-                return sum(known) / len(known)
-        return np.zeros(self.width, np.float32)
+        self.place, self.scores = head
+        self.rows = np.zeros((1024, self.scores.shape[1] + 1), np.int64)
+        self.others: dict[int, list[str]] = {}
 
     def __missing__(self, token: str) -> int:
         row = len(self)
@@ -150,49 +142,81 @@ class Scorer(dict):
         own = self.rows[row]
         own[:] = 0
         for word in (token,) if token.isalpha() else _LETTERS.findall(token):
-            own[:-1] += self.word(word)
+            at = self.place.get(word)
+            if at is None:
+                self.others.setdefault(row, []).append(word)
+            else:
+                own[:-1] += self.scores[at]
             own[-1] += 1
         self[token] = row
         return row
 
 
+def word_scores(words: DataFrame, model: dict) -> DataFrame:
+    """(word, scores) of distinct words: those of a known word, else the mean over its longest n-grams that are known."""
+    n = len(model["langs"])
+    found = stored(words.join(model["words"].select("word", "scores"), "word", "left"), "looked_up")
+    unseen = found.filter("scores is null").select("word", F.concat(F.lit("^"), "word", F.lit("$")).alias("_m"))
+    of_size = [F.when(F.length("_m") >= size, F.transform(F.sequence(F.lit(1), F.length("_m") - size + 1), lambda i, size=size: F.struct(F.lit(size).alias("size"), F.substring("_m", i, size).alias("gram")))) for size in SIZES]
+    parts = unseen.select("word", F.explode(F.flatten(F.array_compact(F.array(*of_size)))).alias("g")).select("word", "g.size", "g.gram")
+    sums = [F.sum(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(n)]
+    per = parts.join(model["grams"], ["size", "gram"]).groupBy("word", "size").agg(F.count("*").alias("c"), *sums)
+    means = F.array(*[F.expr(f"s{i} div c") for i in range(n)])
+    best = per.groupBy("word").agg(F.max(F.struct("size", means.alias("scores"))).alias("b"))  # one row per word and size
+    return found.filter("scores is not null").unionByName(best.select("word", "b.scores"))
+
+
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs (without the text) with lang_pred and score.
 
-    A text's score for a language is the mean of its words': the log frequency of a known word (a floor where only other
-    languages have it), else the mean over its longest n-grams that the model has. score is the best language's share after a
-    softmax over the mean times the number of words, 20 at most. Equal scores go to the first language by name. Null texts and
-    texts without a letter are 'und' with score 0, and so are all if the model has no languages. Columns called like the new
-    ones are replaced; repeated rows are judged one by one; an empty table gives no rows.
+    A text's score for a language is the mean of its words': the log frequency of a known word (of half a count where only
+    other languages have it), else the mean over its longest n-grams that the model has. score is the best language's share
+    after a softmax over the mean times the number of words, 20 at most. Equal scores go to the first language by name. Null
+    texts and texts without a letter are 'und' with score 0, and so are all if the model has no languages. Columns called like
+    the new ones are replaced; repeated rows are judged one by one; an empty table gives no rows.
+
+    Scores of the model's head are added up where a text is read. Its other words leave as rows (text, word, times); each
+    different word is looked up once in the model's tables, and the sums come back to the texts by joins. Scores are whole
+    numbers, so that sums don't depend on the order of rows.
     """
-    own = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    own, langs = [c for c in docs.columns if c not in (text, "lang_pred", "score")], model["langs"]
+    if not langs:
+        return docs.select(*own, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast(model["head"])
 
     def score(inputs):
-        known, langs = sent.value, np.array([*sent.value["langs"], UNKNOWN], object)
-        scorer = Scorer(known)
-        for batch in batches(inputs, column=text):
+        scorer = Scorer(sent.value)
+        for batch in batches(inputs, column="_text"):
             if len(scorer) > _MEMO:
-                scorer = Scorer(known)
-            rows = [[scorer[w] for w in t.lower().split()] if t else [] for t in batch.column(text).to_pylist()]
+                scorer = Scorer(sent.value)
+            rows = [[scorer[w] for w in t.lower().split()] if t else [] for t in batch.column("_text").to_pylist()]
             sizes = np.array([len(r) for r in rows])
-            total = np.zeros((len(rows), len(langs)))
+            total = np.zeros((len(rows), len(langs) + 1), np.int64)
             full = np.flatnonzero(sizes)
             if len(full):
                 flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
-                total[full] = np.add.reduceat(scorer.rows[flat].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
-            words = total[:, -1]
-            best, share = np.full(len(rows), len(langs) - 1), np.zeros(len(rows))
-            some = np.flatnonzero(words) if len(langs) > 1 else []
-            if len(some):
-                mean = total[some, :-1] / words[some, None]
-                best[some] = mean.argmax(1)
-                x = np.exp((mean - mean.max(1, keepdims=True)) * np.minimum(words[some], 20)[:, None])
-                share[some] = x.max(1) / x.sum(1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(langs[best].tolist(), pa.string()), pa.array(share)], names=[*own, "lang_pred", "score"])
-
-    return docs.select(*own, text).mapInArrow(score, schema)
+                total[full] = np.add.reduceat(scorer.rows[flat], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
+            others = [Counter(w for i in r if i in scorer.others for w in scorer.others[i]) for r in rows]
+            cells = [pa.array(total[:, :-1].tolist(), pa.list_(pa.int64())), pa.array(total[:, -1])]
+            cells += [pa.array([list(o) for o in others], pa.list_(pa.string())), pa.array([list(o.values()) for o in others], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_own"), *cells], names=["_id", "_own", "_sums", "_n", "_words", "_times"])
+
+    plain = docs.select(F.monotonically_increasing_id().alias("_id"), F.struct(*own).alias("_own"), F.col(text).alias("_text"))
+    schema = T.StructType([*plain.schema.fields[:2], *T._parse_datatype_string("_sums array<long>, _n long, _words array<string>, _times array<long>").fields])
+    base = stored(plain.mapInArrow(score, schema), "scored")  # the ids hold from here on
+    rest = base.select("_id", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_id", F.col("w._words").alias("word"), F.col("w._times").alias("n"))
+    known = stored(word_scores(rest.select("word").distinct(), model), "word_scores")
+    more = rest.join(known, "word").groupBy("_id").agg(*[F.sum(F.get("scores", F.lit(i)) * F.col("n")).alias(f"_m{i}") for i in range(len(langs))])
+    means = [(F.get("_sums", F.lit(i)) + F.coalesce(F.col(f"_m{i}"), F.lit(0))) / (F.col("_n") * F.lit(SCALE)) for i in range(len(langs))]
+    judged = base.select("_id", "_own", "_sums", "_n").join(more, "_id", "left").select("_own", "_n", F.when(F.col("_n") > 0, F.array(*means)).alias("_mean"))
+    judged = judged.withColumn("_best", F.array_max("_mean"))
+    names = F.array(*[F.lit(x) for x in langs])
+    spread = F.aggregate("_mean", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("_best")) * F.least(F.col("_n"), F.lit(20))))
+    return judged.select(
+        *[F.col("_own")[c].alias(c) for c in own],
+        F.when(F.col("_n") > 0, F.get(names, (F.array_position("_mean", F.col("_best")) - 1).cast("int"))).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("_n") > 0, 1 / spread).otherwise(0.0).alias("score"),
+    )
 
 
 def held_out(key: str, parts: int, part: int) -> Column:

@@ -148,3 +148,16 @@ def test_urls(spark):
     }
     assert judge_urls(pages.limit(0), rules).collect() == []
     assert {r["verdict"] for r in judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
+
+
+def test_language_counts_are_whole(spark):
+    """A word counted in two languages keeps both counts, however few words the model holds at hand."""
+    big = [" ".join(f"big{chr(97 + i)}{chr(97 + j)}" for j in range(26) for _ in range(9)) for i in range(20)]
+    texts = [(t + " rare rare rare rare", "en") for t in big] + [("rare klein winzig", "de")]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    asked = spark.createDataFrame([(1, "rare"), (2, "klein"), (3, "bigzzzz"), (4, "bigaa klein winzig")], "doc_id long, text string")
+    got = [rows_of(identify(asked, train(docs, max_words=n)), "doc_id", "lang_pred", "score") for n in (0, 3, 400_000)]
+    assert got[0] == got[1] == got[2]
+    words = {r["word"]: r["scores"] for r in train(docs, max_words=3)["words"].collect()}
+    assert len(words) == 523
+    assert words["rare"][1] > words["klein"][1] + 5 * 2**24
