@@ -278,3 +278,26 @@ def test_pipeline_stages(spark, tmp_path, docs, rows):
             assert all(r["n_chars"] == len(r["text"]) for r in after)
         if name == "packing":
             assert ids == set(before) and max(Counter(r["sequence_id"] for r in after).values()) > 1
+
+
+def test_gates_let_all_matches_pass():
+    wrapped = {
+        "GNU General\nPublic License version 2": "gpl-2.0",
+        "Creative\nCommons Attribution 4.0": "cc-by",
+        "Attribution no-derivatives 4.0": "cc-by-nd",
+        "the PSF license": "python-2.0",
+        "SIL Open  Font\nLicense": "ofl-1.1",
+        "Open Data Commons\nOpen Database License": "odbl",
+        "Permission is hereby\ngranted, free of charge, to any person": "mit",
+        "redistribution and use in source\nand  binary forms": "bsd",
+        "placed in the public\ndomain, donated to the public\ndomain": "public-domain",
+        "this program is free\nsoftware; you": "gpl",
+        "do what the fuck you\nwant to public license": "wtfpl",
+    }
+    ordered = rules()
+    for text, label in wrapped.items():
+        low = text.lower().encode()
+        assert label in {r.label for _, _, r in kept_detections(low, ordered)}, text
+        assert all(all(g in low for g in r.gates) for r in ordered if r.pattern.search(low)), text
+    assert [r.kind for _, _, r in kept_detections(b"released under the simplified bsd", ordered)] == ["grant"]
+    assert not any(b" " in g for r in ordered for g in r.gates)
