@@ -222,9 +222,9 @@ def score_toxicity(
 ) -> DataFrame:
     """docs (without the text, unless with_text) with score (0 to 1) and predicted (1 from `threshold` on).
 
-    labels (key, toxic) are learnt from only for rows that `learn` (a condition on the key) allows. At most `sample` labelled
-    rows, those with the smallest hash of their key, serve to induce stems and to fit the classifier; the label model sees the
-    votes on all of docs. Voters are the lexicons, the patterns and the best `voters` induced stems; the classifier's features
+    labels (key, toxic) are learnt from only for rows that `learn` (a condition on the key) allows. Stems are induced from the
+    counts of all of them; at most `sample` labelled rows, those with the smallest hash of their key, serve to fit the
+    classifier; the label model sees the votes on all of docs. Voters are the lexicons, the patterns and the best `voters` induced stems; the classifier's features
     are up to `features` stems besides. Inputs of a score are found in the text alone.
 
     Null and empty texts have no hits and get the constant's score. Without labels of both kinds no stem is induced and the
@@ -236,7 +236,7 @@ def score_toxicity(
     known = labels.filter(learn & F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = stored(known, "labels")
     chosen = F.broadcast(known.orderBy(F.xxhash64("_key"), "_key").limit(sample))  # at most `sample` rows of two numbers
-    induced = induce(docs.join(chosen, F.col(key) == F.col("_key")).select(text, "toxic"), text, voters, features)
+    induced = induce(docs.join(known, F.col(key) == F.col("_key")).select(text, "toxic"), text, voters, features)
     stems = [s for s, _, _ in induced]
     base = len(LEXICONS) + len(PATTERNS)
     n_voters, n_features = base + min(voters, len(stems)), base + len(stems)

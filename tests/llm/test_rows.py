@@ -161,3 +161,14 @@ def test_language_counts_are_whole(spark):
     words = {r["word"]: r["scores"] for r in train(docs, max_words=3)["words"].collect()}
     assert len(words) == 523
     assert words["rare"][1] > words["klein"][1] + 5 * 2**24
+
+
+def test_stems_from_all_labels(spark, monkeypatch):
+    """Stems are counted in all labelled texts, also where the classifier is fitted on few."""
+    from cyclespark.llm import toxicity
+
+    texts = spark.createDataFrame([(i, f"text{'abcdefgh'[i % 8]} " + ("grobulon" if i % 2 else "harmless")) for i in range(300)], "doc_id long, text string")
+    seen, induce = [], toxicity.induce
+    monkeypatch.setattr(toxicity, "induce", lambda *a: seen.extend(induce(*a)) or seen)
+    score_toxicity(texts, texts.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), F.lit(True), sample=5)
+    assert ("grobulon", 150, 0) in seen
