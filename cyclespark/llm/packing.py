@@ -106,8 +106,9 @@ class Capacities:
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
     """Best-fit decreasing on counts: rows (length, first rank, first sequence, offset).
 
-    The pieces of a length, by rank, go one each into consecutive sequences from the first one given. Equal lengths and equal
-    capacities are handled at once, so the work depends on the number of different lengths, not of pieces.
+    The pieces of a length, by rank, go one each into consecutive sequences from the first one given. A sequence takes as many
+    pieces of a length as fit before the next one gets any, as best fit does. Equal lengths and equal capacities are handled at
+    once, so the work depends on the number of different lengths, not of pieces.
     """
     steps, fresh, tree = [], 0, Capacities(size)
     open_at: dict[int, deque] = {}
@@ -138,11 +139,21 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int]
             first, n = open_at[capacity].popleft()
             if not open_at[capacity]:
                 tree.set(capacity, False)
-            take = min(n, left)
-            steps.append((length, rank, first, size - capacity))
-            rank, left = rank + take, left - take
-            put(capacity - length, first, take)
-            put(capacity, first + take, n - take)
+            each = capacity // length  # a sequence just used is the tightest for the next piece, until it is full
+            n_full = min(n, left // each)
+            some = left - n_full * each if n_full < n else 0
+            for k in range(each):
+                take = n_full + (1 if k < some else 0)
+                if take:
+                    steps.append((length, rank, first, size - capacity + k * length))
+                    rank += take
+            left -= n_full * each + some
+            put(capacity - each * length, first, n_full)
+            used = n_full
+            if some:
+                put(capacity - some * length, first + n_full, 1)
+                used += 1
+            put(capacity, first + used, n - used)
     return steps
 
 

@@ -301,3 +301,22 @@ def test_gates_let_all_matches_pass():
         assert all(all(g in low for g in r.gates) for r in ordered if r.pattern.search(low)), text
     assert [r.kind for _, _, r in kept_detections(b"released under the simplified bsd", ordered)] == ["grant"]
     assert not any(b" " in g for r in ordered for g in r.gates)
+
+
+def test_packing_plan_is_best_fit():
+    """Free room of all sequences as per-piece best fit leaves it, for few lengths with many copies."""
+    import bisect
+
+    rng = random.Random(8)
+    cases = [(100, Counter({60: 2, 20: 2, 12: 3}))]
+    cases += [(1024, Counter({rng.randint(1, 1024): rng.randint(1, 60) for _ in range(rng.randint(2, 9))})) for _ in range(100)]
+    for size, histogram in cases:
+        room = []
+        for n in sorted(histogram.elements(), reverse=True):
+            i = bisect.bisect_left(room, n)
+            bisect.insort(room, (room.pop(i) if i < len(room) else size) - n)
+        fill = Counter()
+        for (n, rank, first, _), following in zip(steps := sorted(plan(dict(histogram), size)), [*steps[1:], (0, 0, 0, 0)]):
+            for k in range((following[1] if following[0] == n else histogram[n]) - rank):
+                fill[first + k] += n
+        assert sorted(size - f for f in fill.values()) == room
