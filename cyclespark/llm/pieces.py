@@ -288,7 +288,7 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", giant: in
     """docs with ids: the model's ids of each whole text.
 
     Texts of up to `giant` code points are a single chunk. Longer ones are cut into chunks of `chunk`, whose matrices and traces
-    are computed wherever Spark puts them; the products for a text take one row per chunk. Giant texts that are equal are
+    are computed wherever Spark puts them; one task per text passes a vector over its matrices in order, one row per chunk. Giant texts that are equal are
     encoded once. Null and empty texts have no ids. Columns called like the new one are replaced; repeated rows are kept; an
     empty table gives no rows.
     """
