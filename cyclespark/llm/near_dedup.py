@@ -174,7 +174,7 @@ def lone_kmers(texts: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", like: float = LIKE, k: int = WORDS) -> DataFrame:
-    """One row per row of docs: key, copy_of (smallest key with the same words), class_id (smallest key of its group), n_links.
+    """One row per row of docs: key, copy_of (smallest key with the same words), class_id (smallest key of its group), n_spanning_links.
 
     Two texts are linked if the order-keeping likeness of their runs of k words is `like` or more (see aligned); groups are
     the connected components. Texts with the same words are copies and take part once. Candidates share an Order MinHash
@@ -183,13 +183,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     members of the bucket outside its own group. Pairs that have too few k-mers in common with any text to be alike are ruled
     out by their numbers. So each pair in a bucket is compared, ruled out, or already in one group, and no bucket is capped.
 
-    n_links counts the verified links of a text to other texts. Null texts are empty; all blank texts are copies of each other,
+    n_spanning_links counts a text's verified links among the pairs compared to span the groups, not all its near copies: pairs
+    already in one group aren't compared. Null texts are empty; all blank texts are copies of each other,
     and texts under k words have only copies. Null keys get the class of their copies, null where those have none. An empty
     table gives no rows. Only key and text are read; other columns don't matter.
     """
     plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     drawn, named = _classes(plain, like, k)
-    return drawn.select("_key", "node").join(named, "node").select(F.col("_key").alias(key), "copy_of", "class_id", "n_links")
+    return drawn.select("_key", "node").join(named, "node").select(F.col("_key").alias(key), "copy_of", "class_id", "n_spanning_links")
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", like: float = LIKE, k: int = WORDS) -> DataFrame:
@@ -203,7 +204,7 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches (_key, node, ..), and for each node root, copy_of, class_id and n_links."""
+    """The sketches (_key, node, ..), and for each node root, copy_of, class_id and n_spanning_links."""
     drawn = stored(sketch(plain, "_key", "text", k), "sketch")
     nodes = stored(drawn.groupBy("node").agg(F.min("_key").alias("copy_of"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "nodes")
     buckets = nodes.filter("n > 0").select("node", "n", F.posexplode("signatures").alias("draw", "sig"))
@@ -240,10 +241,10 @@ def _classes(plain: DataFrame, like: float, k: int) -> tuple[DataFrame, DataFram
     linked = stored(links.union(extra), "links")
 
     roots = components(linked)
-    degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_spanning_links"))
     named = nodes.select("node", "copy_of").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    return drawn, stored(named.join(smallest, "root").select("node", "root", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    return drawn, stored(named.join(smallest, "root").select("node", "root", "copy_of", "class_id", F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links")), "classes")
 
 
 def _rows_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:

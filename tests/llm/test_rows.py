@@ -172,3 +172,8 @@ def test_stems_from_all_labels(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "induce", lambda *a: seen.extend(induce(*a)) or seen)
     score_toxicity(texts, texts.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), F.lit(True), sample=5)
     assert ("grobulon", 150, 0) in seen
+
+
+def test_links_are_named_for_what_they_count(docs):
+    got = near_duplicates(docs)
+    assert "n_links" not in got.columns and "n_spanning_links" in got.columns
