@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +47,45 @@ def likeness(a: Column, b: Column, keep: int) -> Column:
     return F.when(F.size(both) == 0, 1.0).otherwise(common / F.size(both))
 
 
+def _range_of(key: str, cuts: list, parts: list[int], null_parts: int) -> Column:
+    """A row's range by key and `_tie`, larger for rows that come earlier: 2 i + 1 for the cut i itself, even numbers between cuts.
+
+    Ranges of a cut and of null keys (-1) are cut again into so many parts of equal width of `_tie`.
+    """
+    names = ",".join(map(repr, cuts))
+    kept = F.split(F.lit(names), ",").cast("array<double>") if cuts else F.expr("cast(array() as array<double>)")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, len(cuts).bit_length())))])
+    x = F.col(key).cast("double")
+
+    def below(inside) -> Column:  # how many cuts lie before x, by halving
+        return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(inside(F.get(kept, at + step - 1)), F.lit(False)), step).otherwise(0))
+
+    place = F.when(x.isNull(), -1).otherwise(below(lambda c: c < x) + below(lambda c: c <= x))
+    counts = F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>") if cuts else F.expr("cast(array() as array<int>)")
+    n_parts = F.when(x.isNull(), null_parts).when(place % 2 == 1, F.get(counts, F.floor(place / 2).cast("int"))).otherwise(1)
+    part = F.least(F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * n_parts), n_parts - 1)
+    return place.cast("long") * 2**20 - part
+
+
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", prepare=lambda df: df, ranges: int = 16384) -> DataFrame:
     """prepare(docs) with next_<column> of the document that follows by descending key; the first follows the last.
 
-    Keys are cut into `ranges` ranges of equal width, each sorted on its own; the first row of a range also stands at the end
-    of the range before it. The ranges' first keys (at most one for each range) are ordered in one task and sent to all. Null
-    keys come last; rows with the same key follow each other in order of a hash of all their columns.
+    Keys are cut into up to `ranges` ranges by their quantiles, each sorted on its own; the first row of a range also stands at
+    the end of the range before it. A key that is a cut is a range of its own; keys with many rows, and null keys, are cut by
+    the hash that orders their rows, so that neither far-off keys nor repeated ones gather rows. The ranges' first keys (one for
+    each range) are ordered in one task and sent to all. Null keys come last; rows with the same key follow each other in order
+    of a hash of all their columns.
     """
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = float(high - low) / ranges + 1
-    rows = docs.withColumn("_range", F.coalesce(F.floor((F.col(key).cast("double") - low) / width), F.lit(-1))).withColumn("_tie", F.xxhash64(*docs.columns))
-    tops = rows.groupBy("_range").agg(F.max(key).alias("_top"))
+    n, nulls, cuts = docs.agg(F.count("*"), F.count_if(F.col(key).isNull()), F.percentile_approx(key, [i * 2 / ranges for i in range(1, ranges // 2)], 50_000)).first()
+    often = Counter(cuts or [])
+    places, parts = sorted(often), [often[x] for x in sorted(often)]
+    rows = docs.withColumn("_tie", F.xxhash64(*docs.columns)).withColumn("_range", _range_of(key, places, parts, 1 + nulls * ranges // (2 * n) if n else 1))
+    tops = rows.groupBy("_range").agg(F.max(F.struct(F.col(key).alias("k"), F.bitwise_not("_tie").alias("t"))).alias("_top"))
     by_range = Window.orderBy(F.col("_range").desc())
     everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(everything))
-    tops = F.broadcast(tops.select(F.col("_range").alias("_r"), "_top", before.alias("_to")))  # `ranges` + 1 rows at most
-    firsts = rows.join(tops, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_top")))
+    tops = F.broadcast(tops.select(F.col("_range").alias("_r"), F.col("_top.k").alias("_top"), F.bitwise_not("_top.t").alias("_first"), before.alias("_to")))  # about `ranges` rows at most
+    firsts = rows.join(tops, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_top")) & (F.col("_tie") == F.col("_first")))
     others = [c for c in docs.columns if c != key]
     firsts = firsts.groupBy("_to").agg(F.min(F.struct("_tie", *[F.col(c).alias(f"_{c}") for c in others])).alias("_f"))
     ends = firsts.select(F.col("_to").alias("_range"), *[F.col(f"_f._{c}").alias(c) for c in others]).withColumn("_end", F.lit(True))

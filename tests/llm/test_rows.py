@@ -177,3 +177,19 @@ def test_stems_from_all_labels(spark, monkeypatch):
 def test_links_are_named_for_what_they_count(docs):
     got = near_duplicates(docs)
     assert "n_links" not in got.columns and "n_spanning_links" in got.columns
+
+
+def test_ranges_of_keys_are_even(spark):
+    """A far-off key, a key with many rows and many null keys: no range gets most rows, and the order stays."""
+    from pyspark.sql import Window
+
+    from cyclespark.llm.syncmers import with_next
+
+    keys = [*range(300), 10**15, *[500] * 300, *[None] * 300]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "doc_id long, text string")
+    seen = []
+    got = with_next(df, ["text"], prepare=lambda x: seen.append(x) or x, ranges=64).select("text", "next_text").collect()
+    sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert max(sizes) < 60 and sum(sizes) == len(keys)
+    order = [r["text"] for r in df.withColumn("t", F.xxhash64("doc_id", "text")).orderBy(F.col("doc_id").desc_nulls_last(), "t").collect()]
+    assert dict(map(tuple, got)) == dict(zip(order, [*order[1:], order[0]]))
