@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .collocations import mine_collocations
 from .common import table
 from .lang_id import held_out, identify, train
 from .license_scan import scan_licences
@@ -12,9 +13,11 @@ from .packing import pack_documents
 from .pieces import decode_ids, encode_texts
 from .quality import judge_quality
 from .substring_dedup import drop_repeats
+from .suffix_dedup import drop_seen
 from .syncmers import fingerprint_documents
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
+from .whitening import whiten
 
 RULES = [
     ("org", "/", "allow"),
@@ -77,6 +80,18 @@ def op10_syncmers(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark, sf_dir):
+    return mine_collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_suffix_dedup(spark, sf_dir):
+    return drop_seen(table(spark, sf_dir, "documents").select("doc_id", "text"), with_spans=False)
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +103,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_order_minhash": op9_order_minhash,
     "op10_syncmers": op10_syncmers,
+    "op11_collocations": op11_collocations,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
@@ -123,4 +141,28 @@ q as (select lang, source, me, case when t >= 200 then q1 else w1 end a, case wh
   from fq join cq using (lang, me)),
 bad as (select distinct m.k from m join q using (lang, source, me) where abs(x - b) > greatest((c - a) * 4, 250))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.k is null kept from b left join bad using (k)""",
+    "op11_collocations": r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, regexp_extract_all(x, '[^\x20\x09]+') w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) x from d)),
+i as (select lang, w, unnest(range(1, len(w) + 1)) i from p),
+f as (select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') phrase, count(*) f from i, (values (1), (2), (3), (4)) k(k) where i + k - 1 <= len(w) group by all),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+c as (select lang, k, phrase, string_split(phrase, ' ') w, f a from f where k > 1 and f >= 30),
+s as (select lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') x, array_to_string(list_slice(w, j + 1, k), ' ') y from (select *, unnest(range(1, k)) j from c)),
+v as (select s.lang, s.phrase, a, j, l.f l, r.f r, (2000000::hugeint * a) // (l.f + r.f) score from s join f l on l.lang = s.lang and l.phrase = s.x join f r on r.lang = s.lang and r.phrase = s.y),
+b as (select lang, phrase, a, arg_min(l, score * 8 + j) l, arg_min(r, score * 8 + j) r, min(score)::bigint score from v group by all),
+g as (select lang, array_to_string(list_slice(w, i, i + m - 1), ' ') phrase, max(a) most
+  from (select *, unnest(range(1, k - m + 2)) i from c, (values (2), (3)) m(m) where m < k) group by all),
+q as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) rank from b left join g using (lang, phrase) where most is null or 100 * most < 80 * a)
+select lang, rank, phrase, a, l, r, n, score from q join n using (lang) where rank <= 2000""",
+    "op12_suffix_dedup": r"""
+with d as (select row_number() over () k, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select k, doc_id, i, substr(h, 2 * i - 1, 100) s from (select *, unnest(range(1, len(h) // 2 - 48)) i from d)),
+m as (select k, i from (select k, i, doc_id, min(doc_id) over (partition by s) m from w) where doc_id > m),
+g as (select k, i, sum(new) over (partition by k order by i) g from (select k, i, case when i - lag(i) over (partition by k order by i) <= 50 then 0 else 1 end new from m)),
+s as (select k, min(i) a, max(i) + 49 b from g group by k, g.g),
+e as (select k, a, b, lead(a) over (partition by k order by a) nx, row_number() over (partition by k order by a) = 1 head from s),
+t as (select k, sum(b - a + 1)::bigint removed, count(*) n, string_agg(case when head then substr(h, 1, 2 * a - 2) else '' end || substr(h, 2 * b + 1, case when nx is null then len(h) else 2 * (nx - b - 1) end), '' order by a) kept
+  from e join d using (k) group by k)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from d left join t using (k)""",
 }
