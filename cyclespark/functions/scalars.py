@@ -205,6 +205,36 @@ def pseudo_voigt_height(area: Column, sigma: Column, fraction: Column) -> Column
     )
 
 
+def rect_pseudo_voigt(x: Column, area: Column, centre: Column, width: Column, sigma: Column, fraction: Column) -> Column:
+    """Pseudo-Voigt smeared evenly over ``width``; the plain one where that is 1 mV or less."""
+    gauss_sigma = sigma / math.sqrt(2.0 * math.log(2.0))
+    high, low = x - centre + width / 2.0, x - centre - width / 2.0
+    gauss = (erf(high / (gauss_sigma * math.sqrt(2.0))) - erf(low / (gauss_sigma * math.sqrt(2.0)))) / (2.0 * width)
+    lorentz = (F.atan(high / sigma) - F.atan(low / sigma)) / (math.pi * width)
+    smeared = area * ((1.0 - fraction) * gauss + fraction * lorentz)
+    return F.when(width > 0.001, smeared).otherwise(pseudo_voigt(x, area, centre, sigma, fraction))
+
+
+def split_rect_pseudo_voigt(x: Column, area: Column, centre: Column, width: Column, left: Column, right: Column, fraction: Column) -> Column:
+    """As rect_pseudo_voigt, with a width parameter for each side; both sides meet at the same height, the area is kept."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    shape = lambda at, s: rect_pseudo_voigt(at, one, zero, width, s, fraction)
+    top_left, top_right = shape(zero, left), shape(zero, right)
+    side = F.when(x < centre, shape(x - centre, left) / top_left).otherwise(shape(x - centre, right) / top_right)
+    return area * side / (0.5 * (1.0 / top_left + 1.0 / top_right))
+
+
+def split_pseudo_voigt(x: Column, area: Column, centre: Column, left: Column, right: Column, fraction: Column) -> Column:
+    """Pseudo-Voigt with a half-width of its own on each side of the centre; the area is kept."""
+    u = (x - centre) / F.when(x < centre, left).otherwise(right)
+    gauss = math.sqrt(math.log(2.0) / math.pi) * F.exp(-math.log(2.0) * u * u)
+    return area * 2.0 / (left + right) * ((1.0 - fraction) * gauss + fraction / (math.pi * (1.0 + u * u)))
+
+
+def split_pseudo_voigt_height(area: Column, left: Column, right: Column, fraction: Column) -> Column:
+    return area * 2.0 / (left + right) * ((1.0 - fraction) * math.sqrt(math.log(2.0) / math.pi) + fraction / math.pi)
+
+
 def gaussian_mass_outside(centre: Column, sigma: Column, low: Column, high: Column) -> Column:
     """Share of a Gaussian that lies outside [low, high]."""
     gauss_sigma = sigma / math.sqrt(2.0 * math.log(2.0))
