@@ -153,7 +153,8 @@ def _counted(inputs):
         names = [np.cumsum(d, dtype=np.uint32) for d in blobs]
         every = np.sort(np.concatenate(names))
         many = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(x, many)).tobytes() for x in names]
+        ends = np.append(many, many[-1:])
+        bits = [np.packbits(ends[np.searchsorted(many, x)] == x if len(many) else np.zeros(len(x), bool)).tobytes() for x in names]
         yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(np.full(len(groups), bucket)), pa.array(bits, pa.binary())], names=["g", "bucket", "bits"])
 
 
