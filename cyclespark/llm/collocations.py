@@ -7,8 +7,9 @@ in all. A run's true count lies between its counter and its counter plus that am
 while the amount stays below the threshold: where a cut would lift it that far, the capacity doubles instead, i.e. it exceeds the
 partition's mass divided by the threshold whenever that is needed.
 
-Second pass: the runs whose hash survived are counted again as what they are, language and words, by an exact aggregation. The
-survivors reach the texts as a filter of bits of bounded size; what else it lets through is counted too and falls to the threshold.
+Second pass: the runs whose hash survived are counted again as what they are, language and words. Each task sums some megabytes of
+text and sends the sums by hash partition, in blocks; a partition's blocks are summed exactly. The survivors reach the texts as a
+filter of bits of bounded size; what else it lets through is counted too and falls to the threshold.
 """
 
 from __future__ import annotations
@@ -252,28 +253,30 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
         bits *= 2
     shared = spark.sparkContext.broadcast(filter_of(found, bits).tobytes())
 
+    dealt = max(1, n // 50_000)
+    columns = ["lang", "words", "phrase", "f"]
+
     def count(inputs):
         known, held, n, totals = np.frombuffer(shared.value, np.uint8), [], 0, {}
 
         def out():
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=["lang", "words", "phrase", "f"])
+            """What is held, summed, as one row per hash partition."""
+            held.append((np.zeros(len(totals), np.int64), np.arange(len(totals), dtype=np.uint64), np.array(list(totals.values()), np.int64), pa.array([""] * len(totals), pa.string()), pa.array(list(totals), pa.string())))
+            words, names, counts = (np.concatenate([x[k] for x in held]) for k in range(3))
+            text, lang = (pa.concat_arrays([x[k] for x in held]) for k in (3, 4))
+            by = np.lexsort((names, names % np.uint64(dealt)))
+            words, names, counts, text, lang = words[by], names[by], counts[by], text.take(pa.array(by)), lang.take(pa.array(by))
+            # neighbours of one 64-bit hash are summed only if they are the same text
+            same = np.zeros(len(by), bool)
+            same[1:] = (names[1:] == names[:-1]) & (words[1:] == words[:-1]) & pc.equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False) & pc.equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
+            head = np.flatnonzero(~same)
+            part = (names[head] % np.uint64(dealt)).astype(np.int32)
+            edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            take = pa.array(head)
+            cells = (lang.take(take), pa.array(words[head].astype(np.int32)), text.take(take), pa.array(np.add.reduceat(counts, head)))
+            lists = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), c) for c in cells]
             totals.clear()
-            for words in range(1, LONGEST + 1):
-                own = [x for x in held if x[0] == words]
-                names = np.concatenate([x[1] for x in own])
-                counts = np.concatenate([x[2] for x in own])
-                text = pa.concat_arrays([x[3] for x in own])
-                lang = pa.concat_arrays([x[4] for x in own])
-                by = np.argsort(names, kind="stable")
-                names, counts = names[by], counts[by]
-                # rows of one 64-bit hash are summed only if they are the same text
-                text, lang = text.take(pa.array(by)), lang.take(pa.array(by))
-                same = np.zeros(len(by), bool)
-                if len(by) > 1:
-                    same[1:] = (names[1:] == names[:-1]) & pc.equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False) & pc.equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
-                head = np.flatnonzero(~same)
-                if len(head):
-                    yield pa.RecordBatch.from_arrays([lang.take(pa.array(head)), pa.array(np.full(len(head), words, np.int32)), text.take(pa.array(head)), pa.array(np.add.reduceat(counts, head))], names=["lang", "words", "phrase", "f"])
+            return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), *lists], names=["p", *columns])
 
         for batch in inputs:
             for part in batches([batch], room=1 << 20):
@@ -289,15 +292,43 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
                     h, first = h[by], first[by]
                     head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                     n += len(head)
-                    held.append((words, h[head], np.diff(np.append(head, len(h))), runs.phrases(first[head], words), runs.langs.take(pa.array(runs.code[first[head]])).cast(pa.string())))
+                    held.append((np.full(len(head), words), h[head], np.diff(np.append(head, len(h))), runs.phrases(first[head], words), runs.langs.take(pa.array(runs.code[first[head]])).cast(pa.string())))
                 if n >= _FLUSH // 4:
-                    yield from out()
+                    yield out()
+                    held, n = [], 0
+        if totals:
+            yield out()
+
+    def merge(inputs):
+        """The sums of each hash partition; what is frequent in none of its blocks alone may be so in all."""
+        part, held, n = None, [], 0
+        kinds = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+        def summed_up():
+            table = pa.Table.from_batches(held, kinds).combine_chunks().group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
+            return table.rename_columns(["lang", "words", "phrase", "f"]).cast(kinds).to_batches()
+
+        def chosen():
+            for b in summed_up():
+                yield b.filter(pc.or_(pc.greater_equal(b.column("f"), least), pc.equal(b.column("words"), 0)))
+
+        for batch in inputs:
+            for k, p in enumerate(batch.column("p").to_pylist()):
+                if p != part and held:
+                    yield from chosen()
                     held, n = [], 0
+                part = p
+                own = pa.RecordBatch.from_arrays([batch.column(c)[k].values for c in columns], schema=kinds)
+                held.append(own)
+                n += own.num_rows
+                if n > 1 << 20:
+                    held = summed_up()
+                    n = sum(b.num_rows for b in held) // 2
         if held:
-            yield from out()
+            yield from chosen()
 
-    sums = docs.mapInArrow(count, "lang string, words int, phrase string, f long")
-    return sums.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
+    blocks = docs.mapInArrow(count, "p int, lang array<string>, words array<int>, phrase array<string>, f array<long>")
+    return blocks.repartition("p").sortWithinPartitions("p").mapInArrow(merge, "lang string, words int, phrase string, f long")
 
 
 def mine_collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, kept: int | None = KEPT, capacity: int = _CAPACITY) -> DataFrame:
