@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import stored
 
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 32
-_POINTS, _ROUNDS = 8, 12
+_POINTS, _ROUNDS = 8, 40
 _FINEST = 1e-12  # of the largest eigenvalue: what lies below counts as zero
 
 
@@ -82,7 +82,10 @@ def _intervals(v: np.ndarray, wanted: int, room: int) -> list[tuple[float, float
         while high - low > 1e-9 * top and count(low) > target:
             middle = (low + high) / 2
             low, high = (middle, high) if count(middle) >= target else (low, middle)
-        # to the middle of the gap that it lies in: the wider the gap, the sharper the filter
+        return widened(low, high)
+
+    def widened(low: float, high: float) -> float:
+        """The middle of the gap that `low` lies in: the wider the gap, the sharper the filter."""
         held, under, over = count(low), (-top, low), (low, high)
         for _ in range(40):
             if count(sum(under) / 2) > held:
@@ -102,8 +105,21 @@ def _intervals(v: np.ndarray, wanted: int, room: int) -> list[tuple[float, float
     out, high, done = [], top * 1.001, 0
     while done < wanted:
         low = cut(zero, high, min(done + room, wanted))
-        out.append((low, high, count(low) - done))
-        high, done = low, count(low)
+        end = count(low)
+        # A circle around far-off eigenvalues and a dense crowd would be too wide to tell the crowd from what lies below it.
+        while end > done:
+            middle = (low + high) / 2
+            upper = count(middle) - done
+            if 4 * upper >= end - done or high - low <= 1e-9 * top:
+                out.append((low, high, end - done))
+                done = end
+            elif upper == 0:
+                high = middle
+            else:
+                middle = widened(middle, high)
+                out.append((middle, high, upper))
+                high, done = middle, done + upper
+        high = low
     return out
 
 

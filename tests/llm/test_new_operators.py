@@ -174,6 +174,12 @@ def test_components(spark):
     assert np.allclose(values, wanted[:10], rtol=1e-9, atol=1e-12) and np.allclose(axes.T @ axes, np.eye(10), atol=1e-12)
     assert np.abs(v @ axes - axes * values).max() < 1e-11
     assert len(components(spark, np.zeros((3, 3)))[0]) == 0
+    # far-off eigenvalues above a dense crowd, of which some are wanted
+    q, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+    crowd = np.concatenate([[900, 130], 60 + np.sort(rng.random(62))[::-1] * 12])
+    v = q * crowd @ q.T
+    values, _ = components(spark, (v + v.T) / 2, 32)
+    assert np.allclose(values, crowd[:32], rtol=1e-11)
 
 
 def test_whitening(spark):
