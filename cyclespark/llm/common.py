@@ -90,7 +90,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BYTE = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _BASE = [0x5851F42D4C957F2D, 0x2545F4914F6CDD1D]
-_CHUNK = 1 << 22
+_CHUNK = 1 << 18
 _POWERS = {}
 
 
@@ -126,7 +126,7 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def batches(inputs, rows: int = 2000, room: int = 4_000_000, column: str = "text"):
+def batches(inputs, rows: int = 2000, room: int = 1 << 20, column: str = "text"):
     """The record batches cut so that each holds at most so many rows and, but for single long texts, bytes."""
     for batch in inputs:
         k, total = 0, batch.num_rows
