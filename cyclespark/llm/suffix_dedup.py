@@ -213,22 +213,24 @@ def _shard(rows: pa.Table, size: int):
     least = keys[heads][kind]
     whole = keys[order] > least
     found = [(order[whole], np.zeros(int(whole.sum()), np.int64), n[order[whole]])]
-    # Blocks end between anchors; the rows that stand for a stretch with its smallest key share the fate of its head.
-    head_anchor = anchor[heads]
-    total = np.cumsum(n[heads] + size - 1)
-    breaks = np.append(np.flatnonzero(np.append(True, head_anchor[1:] != head_anchor[:-1])), len(heads))
+    # An anchor with one stretch is decided by that. Blocks of the others end between anchors; the rows that stand for a stretch
+    # with its smallest key share the fate of its head.
+    edge = np.append(True, anchor[heads][1:] != anchor[heads][:-1])
+    several = np.bincount(np.cumsum(edge) - 1)[np.cumsum(edge) - 1] > 1
+    sought = np.flatnonzero(several)
+    total = np.concatenate([[0], np.cumsum(n[heads[sought]] + size - 1)])
+    breaks = np.append(np.flatnonzero(edge[sought]), len(sought))
     runs = []
     k = 0
     while k < len(breaks) - 1:
-        base = total[breaks[k] - 1] if breaks[k] else 0
-        stop = max(k + 1, int(np.searchsorted(total[breaks[1:] - 1], base + _BLOCK, "right")))
-        own = heads[breaks[k] : breaks[stop]]
-        if len(own) > 1:
-            size_of = n[own] + size - 1
-            to = np.cumsum(size_of)
-            bytes_ = text[np.repeat(starts[own] - (to - size_of), size_of) + np.arange(to[-1])]
-            who, nth = repeated(bytes_, to, n[own], keys[own], size)
-            runs.append((who + breaks[k], nth))
+        stop = max(k + 1, int(np.searchsorted(total[breaks], total[breaks[k]] + _BLOCK, "right")) - 1)
+        which = sought[breaks[k] : breaks[stop]]
+        own = heads[which]
+        size_of = n[own] + size - 1
+        to = np.cumsum(size_of)
+        bytes_ = text[np.repeat(starts[own] - (to - size_of), size_of) + np.arange(to[-1])]
+        who, nth = repeated(bytes_, to, n[own], keys[own], size)
+        runs.append((which[who], nth))
         k = stop
     if runs:
         who, nth = (np.concatenate(x) for x in zip(*runs))
