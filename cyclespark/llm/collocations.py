@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batches, mixed, span_hashes, stored, utf8, word_spans
 
 LONGEST, LEAST, KEPT = 4, 30, 2000
-_FLUSH = 1 << 22  # runs of words that a task sums at a time
+_FLUSH = 1 << 21  # runs of words that a task sums at a time
 _CAPACITY = 1 << 17  # counters of a partition's summary to begin with
 _FILTER_BITS = 1 << 28  # the most that the filter of survivors takes: 32 MB
 
@@ -293,7 +293,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
                     head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                     n += len(head)
                     held.append((np.full(len(head), words), h[head], np.diff(np.append(head, len(h))), runs.phrases(first[head], words), runs.langs.take(pa.array(runs.code[first[head]])).cast(pa.string())))
-                if n >= _FLUSH // 4:
+                if n >= _FLUSH // 8:
                     yield out()
                     held, n = [], 0
         if totals:
@@ -321,7 +321,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
                 own = pa.RecordBatch.from_arrays([batch.column(c)[k].values for c in columns], schema=kinds)
                 held.append(own)
                 n += own.num_rows
-                if n > 1 << 20:
+                if n > 1 << 18:
                     held = summed_up()
                     n = sum(b.num_rows for b in held) // 2
         if held:
