@@ -236,7 +236,7 @@ def filter_of(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPACITY) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPACITY, deal: int = 10_000) -> DataFrame:
     """(lang, words, phrase, f): all phrases of 1 to LONGEST words that come `least` times or more in a language, counted exactly.
 
     A row with words 0 and an empty phrase has all words of the language. docs: lang and text, no nulls.
@@ -253,7 +253,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
         bits *= 2
     shared = spark.sparkContext.broadcast(filter_of(found, bits).tobytes())
 
-    dealt = max(1, n // 50_000)
+    dealt = max(1, n // deal)
     columns = ["lang", "words", "phrase", "f"]
 
     def count(inputs):
@@ -261,7 +261,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
 
         def out():
             """What is held, summed, as one row per hash partition."""
-            held.append((np.zeros(len(totals), np.int64), np.arange(len(totals), dtype=np.uint64), np.array(list(totals.values()), np.int64), pa.array([""] * len(totals), pa.string()), pa.array(list(totals), pa.string())))
+            data, at = utf8(pa.array(list(totals), pa.string()))
+            held.append((np.zeros(len(totals), np.int64), span_hashes(data, at[:-1], at[1:]), np.array(list(totals.values()), np.int64), pa.array([""] * len(totals), pa.string()), pa.array(list(totals), pa.string())))
             words, names, counts = (np.concatenate([x[k] for x in held]) for k in range(3))
             text, lang = (pa.concat_arrays([x[k] for x in held]) for k in (3, 4))
             by = np.lexsort((names, names % np.uint64(dealt)))
@@ -331,7 +332,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, capacity: int = _CAPAC
     return blocks.repartition("p").sortWithinPartitions("p").mapInArrow(merge, "lang string, words int, phrase string, f long")
 
 
-def mine_collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, kept: int | None = KEPT, capacity: int = _CAPACITY) -> DataFrame:
+def mine_collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, kept: int | None = KEPT, capacity: int = _CAPACITY, deal: int = 10_000) -> DataFrame:
     """Per language its best phrases of 2 to 4 words: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z) and split at . , ; : ! ? and line ends into pieces, those at spaces and tabs into words. n counts the
@@ -343,7 +344,7 @@ def mine_collocations(docs: DataFrame, text: str = "text", lang: str = "lang", l
     Null texts are empty, a null language is `und`. Repeated rows count each. An empty table gives no rows. Only the two columns are read.
     """
     plain = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sums = stored(frequent_phrases(plain, least, capacity), "phrases")
+    sums = stored(frequent_phrases(plain, least, capacity, deal), "phrases")
     f = sums.filter("words > 0").select("lang", "phrase", "words", "f")
     parts = F.split("phrase", " ")
     candidates = f.filter("words > 1").withColumn("_w", parts)

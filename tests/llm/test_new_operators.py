@@ -131,7 +131,7 @@ def test_collocations(spark, monkeypatch, least, kept, capacity, flush):
     rows += rows[:20]
     monkeypatch.setattr(collocations, "_FLUSH", flush)
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "text string, lang string, n int, phrase string").repartition(6)
-    assert sorted(map(tuple, mine_collocations(docs, least=least, kept=kept, capacity=capacity).collect())) == brute_phrases(rows, least, kept)
+    assert sorted(map(tuple, mine_collocations(docs, least=least, kept=kept, capacity=capacity, deal=10_000 if capacity > 100 else 7).collect())) == brute_phrases(rows, least, kept)
     assert mine_collocations(docs.limit(0)).collect() == []
 
 
