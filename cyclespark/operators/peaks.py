@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cyclespark.functions.scalars import mv_to_samples
+from cyclespark.operators.lineage import cut
 from cyclespark.schema import CELL, CYCLE, HALF
 
 PROMINENCE_FRACTION = 0.05
@@ -25,6 +26,10 @@ NOISE_SNR = 12.0
 NOISE_SHARE = 0.10
 NOISE_BINS = 30
 MAX_PEAKS = 12
+EDGE_V = 0.050
+SHOULDER_SEPARATION_MV = 20.0
+SHOULDER_HEIGHT, SHOULDER_PROMINENCE, SHOULDER_PARENT_SHARE = 0.10, 0.08, 0.20
+SHOULDER_WINDOW = (11, 21)
 PHASES = (0.2, 0.4, 0.6, 0.8)
 
 
@@ -121,39 +126,146 @@ def with_min_width(arrays: DataFrame, profiles: DataFrame | None) -> DataFrame:
     return arrays.join(profiles.select(*CELL, width.alias("width_mv")), CELL, "left").na.fill(5.0, ["width_mv"])
 
 
-def primary_peaks(
-    curves: DataFrame, keys: tuple[str, ...] = (), distance_mv: float = MIN_DISTANCE_MV, profiles: DataFrame | None = None
-) -> DataFrame:
-    """Prominent or locally prominent peaks of every curve, before the rules on spacing, noise and number.
+def derivative_window(narrowest: Column) -> Column:
+    """Samples of the second derivative's window: half the narrowest primary's width, odd, within its limits."""
+    low, high = SHOULDER_WINDOW
+    w = F.least(F.lit(high), F.greatest(F.lit(low), F.bround(narrowest * 0.5).cast("int")))
+    return w + (w % 2 == 0).cast("int")
 
-    Peaks of which too little is inside the window go.  The tallest interior
-    sample is added where no peak is near it; its width is not measured.
+
+def with_curvature(rows: DataFrame) -> DataFrame:
+    """Add ``bend``: the negative second derivative (per sample squared) of a cubic through each window of ``w`` samples.
+
+    The ends take theirs from the first and the last whole window.
+    """
+    rows = settle(rows.withColumn("_m", F.expr("(w - 1) DIV 2")))
+    rows = rows.withColumn("_alpha", F.expr("(3 * _m * _m + 3 * _m - 1) / 5D"))
+    rows = settle(rows.withColumn("_norm", F.expr("30D / (_m * (_m + 1) * (4 * _m * _m - 1) * (2 * _m + 3))")))
+    cubic = F.expr("aggregate(sequence(-_m, _m), 0D, (a, k) -> a + pow(k * k * k - _alpha * k, 2))")
+    rows = settle(rows.withColumn("_cubes", cubic))
+    over = lambda weight: f"aggregate(sequence(-_m, _m), 0D, (a, k) -> a + ({weight}) * ys[j + CAST(k AS INT)])"
+    centre = F.expr(f"transform(sequence(_m, n - 1 - _m), j -> {over('3 * k * k - _m * (_m + 1)')} * _norm)")
+    rows = settle(rows.withColumn("_d2", centre))
+    ends = [F.expr(f"transform(array({j}), j -> {over('k * k * k - _alpha * k')} * 6D / _cubes)[0]") for j in ("CAST(_m AS INT)", "CAST(n - 1 - _m AS INT)")]
+    rows = settle(rows.withColumn("_left", ends[0]).withColumn("_right", ends[1]))
+    at = "greatest(CAST(_m AS INT), least(CAST(n - 1 - _m AS INT), j))"
+    slope = "CASE WHEN j < _m THEN _left WHEN j > n - 1 - _m THEN _right ELSE 0D END"
+    bend = F.expr(f"transform(sequence(0, n - 1), j -> -(_d2[{at} - CAST(_m AS INT)] + ({slope}) * (j - {at})))")
+    return settle(rows.withColumn("bend", bend).drop("_m", "_alpha", "_norm", "_cubes", "_d2", "_left", "_right"))
+
+
+def shoulder_sigma(rows: DataFrame) -> DataFrame:
+    """Add ``sigma_samples`` of sample ``i``: half the way between the curvature's sign changes on either side; NULL where one is missing."""
+    left = F.expr("array_max(filter(sequence(0, i), k -> bend[k] <= 0))")
+    right = F.expr("array_min(filter(sequence(i, n - 1), k -> bend[k] <= 0))")
+    rows = settle(rows.withColumn("_sl", left).withColumn("_sr", right))
+    half = (F.col("_sr") - F.col("_sl")) / 2.0
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)
+    return rows.withColumn("sigma_samples", F.when(inner & (half > 0), half)).drop("_sl", "_sr")
+
+
+def flank_shoulders(whole: DataFrame, primaries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Shoulders on the flanks of primaries: sample ``i`` and ``sigma_samples`` (NULL where it can't be measured).
+
+    A flank runs from a primary down to the trough before the next one, or to the curve's end. A maximum of the negative second
+    derivative within it is a shoulder if it stands apart from both ends, rises enough above the flank's foot, and isn't higher than
+    the primary. Flanks of primaries that are small against the curve have none.
     """
-    whole = with_min_width(curve_arrays(curves, keys).filter("y_range > 0"), profiles)
+    ids = [*HALF, *keys]
+    tops = primaries.groupBy(*ids).agg(F.array_sort(F.collect_list("i")).alias("pk"), F.min(F.when(F.col("width_samples") > 0, F.col("width_samples"))).alias("_narrow"))
+    usual = F.least(F.lit(SHOULDER_WINDOW[1]), F.greatest(F.lit(SHOULDER_WINDOW[0]), F.expr("n DIV 5").cast("int")))
+    rows = whole.join(tops, ids).withColumn("w", F.coalesce(derivative_window(F.col("_narrow")), usual + (usual % 2 == 0).cast("int")))
+    rows = with_curvature(settle(rows).filter("n >= 20 AND n >= w"))
+    rows = settle(rows.withColumn("sep", F.greatest(F.lit(3), _samples(F.lit(SHOULDER_SEPARATION_MV)))))
+    trough = """transform(sequence(1, size(pk) - 1), x -> pk[x - 1] + CAST(array_position(slice(ys, pk[x - 1] + 1, pk[x] - pk[x - 1] + 1),
+        array_min(slice(ys, pk[x - 1] + 1, pk[x] - pk[x - 1] + 1))) AS INT) - 1)"""
+    rows = settle(rows.withColumn("_e", F.expr(f"concat(array(0), CASE WHEN size(pk) > 1 THEN {trough} ELSE CAST(array() AS ARRAY<INT>) END, array(n - 1))")))
+    sides = F.expr("""flatten(transform(sequence(0, size(pk) - 1), x -> array(
+        struct(pk[x] AS p, _e[x] AS lo, pk[x] AS hi, _e[x] AS first, _e[x + 1] AS last), struct(pk[x] AS p, pk[x] AS lo, _e[x + 1] AS hi, _e[x] AS first, _e[x + 1] AS last))))""")
+    flanks = settle(rows.select("*", F.posexplode(sides).alias("flank", "f")).select("*", "f.*").drop("f").filter("hi - lo >= 2 * sep + 3"))
+    flanks = settle(flanks.withColumn("base", F.expr("least(ys[lo], ys[hi])")).withColumn("rise", F.expr("ys[p] - least(ys[lo], ys[hi])")))
+    flanks = flanks.filter((F.col("rise") > 0) & (F.col("rise") >= SHOULDER_PARENT_SHARE * F.col("y_range")))
+    cut_out = flanks.select(*ids, "flank", "lo", "sep", F.expr("slice(bend, lo + 1, hi - lo + 1)").alias("ys"), F.expr("hi - lo + 1").alias("n"))
+    cut_out = settle(cut_out.withColumn("_span", F.expr("array_max(ys) - array_min(ys)"))).filter("_span > 0")
+    found = with_shape(keep_distance(local_maxima(cut_out), F.col("sep"))).filter(F.col("prominence") >= SHOULDER_PROMINENCE * F.col("_span"))
+    found = found.select(*ids, "flank", (F.col("lo") + F.col("i")).cast("int").alias("i"))
+    at = flanks.join(found, [*ids, "flank"])
+    apart = F.expr("abs(i - p) >= sep AND least(abs(i - first), abs(i - last)) >= sep AND i > lo AND i < hi AND NOT exists(pk, k -> abs(k - i) < sep)")
+    placed = F.expr(f"vs[i] >= vs[0] + {EDGE_V}D AND vs[i] <= vs[n - 1] - {EDGE_V}D")
+    high = F.expr(f"ys[i] - base >= {SHOULDER_HEIGHT}D * rise AND ys[i] >= base AND ys[i] <= ys[p]")
+    kept = shoulder_sigma(settle(at.filter(apart & placed & high)))
+    return kept.drop("pk", "_narrow", "sep", "_e", "flank", "p", "lo", "hi", "first", "last", "base", "rise", "bend").dropDuplicates([*ids, "i"])
+
+
+PEAK_COLUMNS = ["peak_bin", "voltage", "height", "prominence", "width_v", "left_v", "right_v", "is_truncated", "is_shoulder", "noise", "y_max"]
+
+
+def _at(samples: str) -> Column:
+    """Voltage at a place between samples."""
+    return F.expr(f"vs[CAST(floor({samples}) AS INT)] + ({samples} - floor({samples})) * bin_v")
+
+
+def standing_out(
+    curves: DataFrame, keys: tuple[str, ...] = (), distance_mv: float = MIN_DISTANCE_MV, profiles: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(curves as arrays, their prominent or locally prominent maxima with shape)."""
+    whole = cut(with_min_width(curve_arrays(curves, keys).filter("y_range > 0"), profiles))
     shaped = with_shape(keep_distance(local_maxima(whole), _samples(F.lit(distance_mv))))
     prominent = F.col("prominence") >= PROMINENCE_FRACTION * F.col("y_range")
     locally = (F.col("prominence") >= LOCAL_PROMINENCE_FRACTION * F.col("h")) & (F.col("h") >= MIN_HEIGHT_FRACTION * F.col("y_max"))
     wide = F.col("width_samples") >= _samples(F.col("width_mv"))
-    kept = shaped.filter(wide & (prominent | (locally & (F.col("h") > 0))))
-    at = lambda c: F.expr(f"vs[CAST(floor({c}) AS INT)] + ({c} - floor({c})) * bin_v")
-    v, left, right = F.expr("vs[i]"), at("left_ip"), at("right_ip")
-    seen = visible_fraction(v, left, right, F.expr("vs[0]"), F.expr("vs[n - 1]"))
-    columns = ["peak_bin", "voltage", "height", "prominence", "width_v", "left_v", "right_v", "is_truncated", "noise", "y_max"]
-    found = kept.filter(F.coalesce(seen >= TRUNCATION_VISIBLE, F.lit(True))).select(
+    # One row a curve and a dozen, read by several branches.
+    return whole, cut(shaped.filter(wide & (prominent | (locally & (F.col("h") > 0)))))
+
+
+def _shoulder_rows(whole: DataFrame, kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    # A shoulder that is a low maximum has a width of its own; the others have that of the curvature.
+    low = with_shape(flank_shoulders(whole, kept, keys).withColumn("maxima", F.array("i")).drop("i", "w"))
+    v, own = F.expr("vs[i]"), (F.col("prominence") > 0) & (F.col("width_samples") > 0)
+    sigma = F.coalesce(F.col("sigma_samples") * F.col("bin_v"), F.lit(0.0))
+    low = settle(low.withColumn("_lv", F.when(own, _at("left_ip")).otherwise(v - sigma)).withColumn("_rv", F.when(own, _at("right_ip")).otherwise(v + sigma)))
+    return low.select(
+        *HALF, *keys, F.col("i").alias("peak_bin"), v.alias("voltage"), F.col("h").alias("height"), (F.col("h") * 0.1).alias("prominence"),
+        (F.col("_rv") - F.col("_lv")).alias("width_v"), F.col("_lv").alias("left_v"), F.col("_rv").alias("right_v"),
+        _truncated(v, F.col("_lv"), F.col("_rv")).alias("is_truncated"), F.lit(True).alias("is_shoulder"), local_noise().alias("noise"), "y_max",
+    )
+
+
+def shoulders(curves: DataFrame, keys: tuple[str, ...] = (), distance_mv: float = MIN_DISTANCE_MV, profiles: DataFrame | None = None) -> DataFrame:
+    """Shoulders of every curve as peaks, with a tenth of their height as prominence."""
+    return _shoulder_rows(*standing_out(curves, keys, distance_mv, profiles), keys)
+
+
+def primary_peaks(
+    curves: DataFrame, keys: tuple[str, ...] = (), distance_mv: float = MIN_DISTANCE_MV, profiles: DataFrame | None = None
+) -> DataFrame:
+    """Prominent or locally prominent peaks of every curve and their shoulders, before the rules on spacing, noise and number.
+
+    A peak that the window cuts is flagged, however little of it is inside.  The tallest interior
+    sample is added where no peak is near it; its width is not measured.
+    """
+    whole, kept = standing_out(curves, keys, distance_mv, profiles)
+    v, left, right, columns = F.expr("vs[i]"), _at("left_ip"), _at("right_ip"), PEAK_COLUMNS
+    found = kept.select(
         *HALF, *keys, F.col("i").alias("peak_bin"), v.alias("voltage"), F.col("h").alias("height"), "prominence",
         (right - left).alias("width_v"), left.alias("left_v"), right.alias("right_v"),
-        _truncated(v, left, right).alias("is_truncated"), local_noise().alias("noise"), "y_max",
-    )
+        _truncated(v, left, right).alias("is_truncated"), F.lit(False).alias("is_shoulder"), local_noise().alias("noise"), "y_max",
+    ).union(_shoulder_rows(whole, kept, keys))
     top = settle(whole.withColumn("i", F.expr("CAST(array_position(ys, y_max) - 1 AS INT)"))).filter("i > 0 AND i < n - 1")
     side = F.greatest(F.expr("array_min(slice(ys, 1, i + 1))"), F.expr("array_min(slice(ys, i + 1, n - i))"))
     nothing = F.lit(None).cast("double")
     top = top.select(
         *HALF, *keys, F.col("i").alias("peak_bin"), v.alias("voltage"), F.col("y_max").alias("height"), (F.col("y_max") - side).alias("prominence"),
-        nothing.alias("width_v"), nothing.alias("left_v"), nothing.alias("right_v"), F.lit(False).alias("is_truncated"), local_noise().alias("noise"), "y_max",
+        nothing.alias("width_v"), nothing.alias("left_v"), nothing.alias("right_v"), F.lit(False).alias("is_truncated"), F.lit(False).alias("is_shoulder"), local_noise().alias("noise"), "y_max",
     ).filter("prominence > 0")
-    near = found.select(*HALF, *keys, F.col("voltage").alias("_v")).join(top.select(*HALF, *keys, "voltage"), [*HALF, *keys])
-    near = near.filter(F.abs(F.col("_v") - F.col("voltage")) < distance_mv / 1000.0).select(*HALF, *keys).distinct()
-    return found.select(*HALF, *keys, *columns).union(top.join(near, [*HALF, *keys], "left_anti").select(*HALF, *keys, *columns))
+    ids = [*HALF, *keys]
+    beside_top = found.join(top.select(*ids, F.col("voltage").alias("_v")), ids).filter(F.abs(F.col("_v") - F.col("voltage")) < distance_mv / 1000.0)
+    near = beside_top.groupBy(*ids).agg(F.min_by(F.struct("peak_bin", "is_shoulder", "width_v", "left_v", "right_v"), "voltage").alias("near"))
+    # A shoulder beside the tallest sample was that: it takes its place and keeps its width.
+    rows = top.drop("width_v", "left_v", "right_v").join(near, ids, "left").filter("near IS NULL OR near.is_shoulder")
+    taken = rows.filter("near IS NOT NULL").select(*ids, F.col("near.peak_bin").alias("peak_bin"))
+    rows = rows.select("*", *[F.col(f"near.{c}").alias(c) for c in ("width_v", "left_v", "right_v")])
+    return found.select(*ids, *columns).join(taken, [*ids, "peak_bin"], "left_anti").union(rows.select(*ids, *columns)).select(*ids, *columns)
 
 
 def _truncated(centre: Column, left: Column, right: Column) -> Column:
@@ -209,62 +321,133 @@ def detect(curves: DataFrame, keys: tuple[str, ...] = (), profiles: DataFrame |
     return strongest(noise_floor(deduplicate(primary, keys=keys), keys), keys, most)
 
 
-def phase_stable(peaks: DataFrame, shifted: DataFrame, widths: DataFrame, phases: int = len(PHASES)) -> DataFrame:
-    """Keep peaks found again at every shift of the bin edges; the tallest is exempt.
+def phase_stable(peaks: DataFrame, shifted: DataFrame, widths: DataFrame, testable: DataFrame, phases: int = len(PHASES)) -> DataFrame:
+    """Keep peaks found again at every shift of the bin edges, renumbered; the tallest is exempt.
 
-    ``shifted`` holds the peaks per ``phase``, ``widths`` the bin width of each half-cycle.
+    ``shifted`` holds the peaks per ``phase``, ``widths`` the bin width of each half-cycle, ``testable`` the half-cycles whose
+    shifted curves all have the ten bins that detection needs: where the test can't be made, nothing is dropped.
     """
     other = shifted.groupBy(*HALF, "phase").agg(F.collect_list("voltage").alias("found"))
     per_half = other.groupBy(*HALF).agg(F.collect_list("found").alias("found"))
-    rows = peaks.join(widths, HALF).join(per_half, HALF, "left")
+    rows = peaks.join(widths, HALF).join(per_half, HALF, "left").join(testable.select(*HALF).withColumn("_can", F.lit(True)), HALF, "left")
     tolerance = F.greatest(F.lit(0.020), 3.0 * F.col("width"), 0.5 * F.col("width_v"))
     hits = F.size(F.filter("found", lambda f: F.exists(f, lambda v: F.abs(v - F.col("voltage")) <= F.col("_tol"))))
-    tallest = F.col("height") == F.max("height").over(Window.partitionBy(*HALF))
-    rows = rows.withColumn("_tol", tolerance).withColumn("_hits", F.coalesce(hits, F.lit(0))).withColumn("_top", tallest)
-    return rows.filter((F.col("_hits") >= phases) | F.col("_top")).drop("_tol", "_hits", "_top", "found", "width")
+    side = Window.partitionBy(*HALF)
+    rows = rows.withColumn("_tol", tolerance).withColumn("_hits", F.coalesce(F.greatest(hits, F.lit(0)), F.lit(0)))
+    rows = rows.withColumn("_top", F.row_number().over(side.orderBy(F.desc(F.abs("height")), "voltage")) == 1)
+    kept = rows.filter((F.col("_hits") >= phases) | F.col("_top") | F.col("_can").isNull()).drop("_tol", "_hits", "_top", "_can", "found", "width", "peak_id")
+    return kept.withColumn("peak_id", F.row_number().over(side.orderBy("voltage")))
 
 
 def peak_counts(peaks: DataFrame) -> DataFrame:
     return peaks.groupBy("cell_id", "step", "cycle").agg(F.count(F.lit(1)).alias("n_peaks"))
 
 
-def recurrent_maxima(curves: DataFrame, tolerance_v: float = 0.015, occupancy: float = 0.5, share: float = 0.25) -> DataFrame:
-    """Voltages where maxima recur across the cycles of a cell and step.
+def settled_modes(voltages, cycles, shares, n_halves: int, tolerance: float, occupancy: float, share: float) -> list[tuple]:
+    """Modes (voltage, share, cycles, occupancy) of sorted maxima; numpy arrays of one cell and step.
 
-    Maxima are chained by voltage gaps, so each feature is a run of sorted
-    maxima closer than the tolerance.
+    From each maximum that no mode has claimed yet, upwards, the middle of a window settles on the median in three steps; the mode
+    claims what lies within the tolerance. Of modes closer than that the one with the highest occupancy stays.
     """
-    tops = local_maxima(curve_arrays(curves)).select(*HALF, "y_max", "ys", "vs", F.explode("maxima").alias("i"))
-    points = tops.select(*HALF, F.expr("vs[i]").alias("voltage"), F.expr("ys[i] / y_max").alias("share"))
-    totals = curves.select("cell_id", "step", "cycle").distinct().groupBy("cell_id", "step").agg(F.count(F.lit(1)).alias("n_cycles"))
-    side = Window.partitionBy("cell_id", "step").orderBy("voltage", "cycle")
-    gap = F.coalesce(F.col("voltage") - F.lag("voltage").over(side) > tolerance_v, F.lit(True))
-    chained = points.withColumn("_new", gap.cast("int")).withColumn("feature", F.sum("_new").over(side))
-    features = chained.groupBy("cell_id", "step", "feature").agg(
-        F.percentile("voltage", 0.5).alias("voltage"), F.percentile("share", 0.5).alias("share"), F.countDistinct("cycle").alias("n_found")
-    )
-    return (
-        features.join(totals, ["cell_id", "step"])
-        .withColumn("occupancy", F.col("n_found") / F.col("n_cycles"))
-        .filter((F.col("occupancy") >= occupancy) & (F.col("share") >= share))
-        .select("cell_id", "step", "feature", "voltage", "share", "n_found", "occupancy")
+    import numpy as np
+
+    claimed, modes = np.zeros(len(voltages), bool), []
+    window = lambda c: slice(np.searchsorted(voltages, c - tolerance), np.searchsorted(voltages, c + tolerance, "right"))
+    for i in range(len(voltages)):
+        if claimed[i]:
+            continue
+        c = float(voltages[i])
+        for _ in range(3):
+            c = float(np.median(voltages[window(c)]))
+        own = window(c)
+        claimed[own] = True
+        n = len(np.unique(cycles[own]))
+        middle = float(np.median(shares[own])) if own.stop > own.start else 0.0
+        if n / n_halves >= occupancy and middle >= share:
+            modes.append((c, middle, n, n / n_halves))
+    kept: list[tuple] = []
+    for mode in sorted(modes, key=lambda m: -m[3]):
+        if all(abs(mode[0] - k[0]) > tolerance for k in kept):
+            kept.append(mode)
+    return sorted(kept)
+
+
+def recurrent_maxima(curves: DataFrame, tolerance_v: float = 0.015, occupancy: float = 0.5, share: float = 0.25, density: float = 30.0) -> DataFrame:
+    """Voltages where maxima recur across the cycles of a cell and step, from the curves of 20 points and more.
+
+    Maxima within 50 mV of a curve's ends don't count. A cell and step with more maxima per curve than ``density`` has none: these
+    are noise. So the maxima that one group brings together are bounded by its number of cycles.
+    """
+    import numpy as np
+    import pandas as pd
+
+    arrays = curve_arrays(curves).filter("n >= 20")
+    totals = arrays.groupBy("cell_id", "step").agg(F.count(F.lit(1)).alias("n_halves"))
+    tops = local_maxima(arrays).filter("y_max > 0").select(*HALF, "y_max", "ys", "vs", "n", F.explode("maxima").alias("i"))
+    inside = F.expr(f"vs[i] BETWEEN vs[0] + {EDGE_V}D AND vs[n - 1] - {EDGE_V}D")
+    points = tops.filter(inside).select(*HALF, F.expr("vs[i]").alias("voltage"), F.expr("ys[i] / y_max").alias("share"))
+    few = points.groupBy("cell_id", "step").agg(F.count(F.lit(1)).alias("_n")).join(totals, ["cell_id", "step"]).filter(F.col("_n") <= density * F.col("n_halves"))
+    rows = points.join(few.drop("_n"), ["cell_id", "step"])
+
+    def settle_group(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["voltage", "cycle"])
+        found = settled_modes(group.voltage.to_numpy(), group.cycle.to_numpy(), group.share.to_numpy(), int(group.n_halves.iloc[0]), tolerance_v, occupancy, share)
+        out = pd.DataFrame(found, columns=["voltage", "share", "n_found", "occupancy"])
+        out.insert(0, "feature", np.arange(1, len(out) + 1))
+        out.insert(0, "step", group.step.iloc[0])
+        out.insert(0, "cell_id", group.cell_id.iloc[0])
+        return out
+
+    kind = curves.schema["cell_id"].dataType.simpleString()
+    return rows.groupBy("cell_id", "step").applyInPandas(settle_group, f"cell_id {kind}, step string, feature int, voltage double, share double, n_found long, occupancy double")
+
+
+def recurrent_seeds(peaks: DataFrame, curves: DataFrame, features: DataFrame, tolerance_v: float = 0.015, separation_v: float = MIN_DISTANCE_MV / 1000, share: float = 0.5, most: int = MAX_PEAKS) -> DataFrame:
+    """Seeds for features that a half-cycle with peaks has a maximum for but didn't detect: peak_bin, voltage, height, prominence.
+
+    Features are taken up by rising voltage; each meets the peaks and the seeds placed before it. The seed stands at the half-cycle's own
+    maximum nearest to the feature (of ties, the lower), which must have at least half the feature's share of the curve.
+    """
+    side = ["cell_id", "step"]
+    known = features.groupBy(*side).agg(F.array_sort(F.collect_list(F.struct("voltage", "share"))).alias("fs"))
+    held = peaks.groupBy(*HALF).agg(F.collect_list("voltage").alias("pv"))
+    rows = settle(local_maxima(curve_arrays(curves).filter("n >= 20 AND y_max > 0")).filter("size(maxima) > 0").join(held, HALF).join(known, side))
+    near = "array_min(transform(maxima, k -> struct(abs(vs[k] - f.voltage) AS far, k AS i)))"
+    rows = settle(rows.withColumn("fs", F.expr(f"transform(fs, f -> struct(f.voltage AS v, f.share AS share, {near} AS near))")))
+    placed = F.expr(
+        f"""aggregate(fs, struct(pv AS seen, CAST(array() AS ARRAY<INT>) AS bins), (a, f) ->
+              CASE WHEN exists(a.seen, v -> abs(v - f.v) <= {separation_v}D) OR size(a.seen) >= {most} OR f.near.far > {tolerance_v}D
+                     OR ys[f.near.i] / y_max < {share}D * f.share THEN a
+                   ELSE struct(concat(a.seen, array(vs[f.near.i])) AS seen, concat(a.bins, array(f.near.i)) AS bins) END).bins"""
     )
+    rows = settle(rows.withColumn("maxima", placed).drop("fs", "pv")).filter("size(maxima) > 0")
+    return with_shape(rows).select(*HALF, F.col("i").alias("peak_bin"), F.expr("vs[i]").alias("voltage"), F.col("h").alias("height"), "prominence")
+
+
+def with_seeds(peaks: DataFrame, seeds: DataFrame, flag: str) -> DataFrame:
+    """Peaks and seeds, the seeds with ``flag`` set, false flags elsewhere, renumbered by voltage."""
+    known = [c for c in ("is_truncated", "is_shoulder", "is_recurrent", "is_inferred") if c in peaks.columns or c in seeds.columns or c == flag]
+    both = peaks.drop("peak_id").unionByName(seeds.withColumn(flag, F.lit(True)), allowMissingColumns=True)
+    both = both.withColumns({c: F.coalesce(c, F.lit(False)) if c in both.columns else F.lit(False) for c in known})
+    return both.withColumn("peak_id", F.row_number().over(Window.partitionBy(*HALF).orderBy("voltage", flag)))
 
 
 def infer_missing_seeds(peaks: DataFrame, reference: DataFrame, halves: DataFrame, tolerance_v: float = 0.080) -> DataFrame:
-    """Seeds for reference peaks a cycle lacks, from the nearest cycle that found them.
+    """Seeds for reference peaks a cycle lacks, from the nearest cycle that found them (of ties, the earlier).
 
-    ``reference`` holds (cell_id, step, ref_id, ref_v): at most a dozen per
-    cell and step, so matching a peak to them is a small equi-join.  Only
-    half-cycles with peaks are seeded, inside the voltages of their own curve
-    (``halves``: points of the curves).
+    ``reference`` holds (cell_id, step, ref_id, ref_v, is_shoulder, is_truncated): at most a dozen per
+    cell and step, so matching a peak to them is a small equi-join.  A cycle has found a reference peak if its nearest peak is within
+    the tolerance and nearer to no other reference peak.  Only half-cycles with peaks are seeded, inside the voltages of their own
+    curve (``halves``: points of the curves); seeds have the flags of the reference peak.
     """
     side = ["cell_id", "step"]
-    near = peaks.join(reference, side).withColumn("far", F.abs(F.col("voltage") - F.col("ref_v"))).filter(F.col("far") <= tolerance_v)
-    nearest = near.groupBy(*HALF, "peak_id").agg(F.min_by(F.struct("ref_id", "far", "voltage"), F.struct("far", "ref_id")).alias("m"))
-    found = nearest.groupBy(*HALF, F.col("m.ref_id").alias("ref_id")).agg(F.min_by("m.voltage", "m.far").alias("voltage"))
+    pairs = peaks.join(reference.select(*side, "ref_id", "ref_v"), side).withColumn("far", F.abs(F.col("voltage") - F.col("ref_v")))
+    pairs = pairs.withColumn("_own", F.min("far").over(Window.partitionBy(*HALF, "peak_id")))
+    nearest = pairs.groupBy(*HALF, "ref_id").agg(F.min(F.struct("far", "voltage", "_own")).alias("m"))
+    found = nearest.filter((F.col("m.far") <= tolerance_v) & (F.col("m._own") >= F.col("m.far") - 1e-12)).select(*HALF, "ref_id", F.col("m.voltage").alias("voltage"))
     ranges = halves.groupBy(*HALF).agg(F.min("voltage").alias("_lo"), F.max("voltage").alias("_hi")).join(peaks.select(*HALF).distinct(), HALF, "left_semi")
-    grid = ranges.join(reference, side).join(found, [*HALF, "ref_id"], "left")
+    flags = [c for c in ("is_shoulder", "is_truncated") if c in reference.columns]
+    grid = ranges.join(reference.select(*side, "ref_id", *flags), side).join(found, [*HALF, "ref_id"], "left")
     order = Window.partitionBy(*side, "ref_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(*side, "ref_id").orderBy(F.desc("cycle")).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("voltage").isNotNull(), F.struct("cycle", "voltage"))
@@ -274,24 +457,22 @@ def infer_missing_seeds(peaks: DataFrame, reference: DataFrame, halves: DataFram
         F.last(known, ignorenulls=True).over(back).alias("after"),
     ).filter("voltage IS NULL")
     use_before = F.col("after").isNull() | (F.col("cycle") - F.col("before.cycle") <= F.col("after.cycle") - F.col("cycle"))
-    seed = F.when(F.col("before").isNotNull() & use_before, F.col("before.voltage")).otherwise(F.col("after.voltage"))
-    return filled.withColumn("seed_v", seed).filter("seed_v BETWEEN _lo AND _hi").select(*HALF, "ref_id", "seed_v")
+    seed = F.when(F.col("before").isNotNull() & use_before, F.col("before")).otherwise(F.col("after"))
+    rows = filled.withColumn("_seed", seed).filter("_seed.voltage BETWEEN _lo AND _hi")
+    return rows.select(*HALF, "ref_id", F.col("_seed.voltage").alias("seed_v"), F.col("_seed.cycle").alias("inferred_from_cycle"), *flags)
 
 
 def append_seeds(peaks: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Peaks with seed rows added, flags filled and renumbered by voltage."""
-    added = seeds.select(*HALF, F.col("seed_v").alias("voltage"), F.lit(True).alias("is_inferred"))
-    both = peaks.drop("peak_id").unionByName(added, allowMissingColumns=True)
-    return both.withColumn("is_inferred", F.coalesce("is_inferred", F.lit(False))).withColumn(
-        "peak_id", F.row_number().over(Window.partitionBy(*HALF).orderBy("voltage", "is_inferred"))
-    )
+    """Peaks with inferred seeds added, flags filled and renumbered by voltage."""
+    return with_seeds(peaks, seeds.drop("ref_id").withColumnRenamed("seed_v", "voltage"), "is_inferred")
 
 
 def reference_peaks(peaks: DataFrame, reference: DataFrame) -> DataFrame:
     """Peaks of each cell's reference cycle, numbered per step."""
     hits = peaks.join(reference.select("cell_id", F.col("reference_cycle").alias("cycle")), CYCLE)
     w = Window.partitionBy("cell_id", "step").orderBy("voltage")
-    return hits.select("cell_id", "step", F.row_number().over(w).alias("ref_id"), F.col("voltage").alias("ref_v"), "height", "prominence", "width_v")
+    flags = [c for c in ("is_shoulder", "is_truncated") if c in peaks.columns]
+    return hits.select("cell_id", "step", F.row_number().over(w).alias("ref_id"), F.col("voltage").alias("ref_v"), "height", "prominence", "width_v", *flags)
 
 
 def deduplicate(peaks: DataFrame, separation_v: float = 0.020, primary_separation_v: float = MIN_DISTANCE_MV / 1000, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -322,5 +503,5 @@ def deduplicate(peaks: DataFrame, separation_v: float = 0.020, primary_separatio
 def peak_marks(peaks: DataFrame, cells: DataFrame) -> DataFrame:
     """Marks for a cell's key cycles with the kind of each peak."""
     keys = cells.select(*CELL, F.explode("key_cycles").alias("cycle")).distinct()
-    kind = F.when(F.coalesce("is_truncated", F.lit(False)), "truncated").otherwise("primary")
+    kind = F.when(F.coalesce("is_truncated", F.lit(False)), "truncated").when(F.coalesce("is_shoulder", F.lit(False)), "shoulder").otherwise("primary")
     return peaks.join(keys, CYCLE, "left_semi").select(*HALF, "peak_id", "voltage", "height", kind.alias("kind"))
