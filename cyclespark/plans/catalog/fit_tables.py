@@ -7,7 +7,9 @@ from cyclespark.operators import decompose as D
 from cyclespark.operators import peaks as P
 from cyclespark.operators import track as T
 from cyclespark.operators.lineage import cut
-from cyclespark.plans.catalog.curve_tables import BLENDS, K, blends, on, settings
+from cyclespark.operators.parameters import derived_parameters
+from cyclespark.plans.catalog.curve_tables import BLENDS, K, blends, fidelity, on, settings
+from cyclespark.plans.catalog.metadata_tables import LIBRARY, LIBRARY_CAPACITY
 from cyclespark.plans.catalog.peak_tables import CHAIN, INFERRED, KEEP, blend_peaks, detected, reference, reference_peaks
 from cyclespark.plans.fixture import cells, shared
 from cyclespark.plans.registry import query
@@ -180,3 +182,48 @@ def _(spark, sf):
 @query("i7_capacity_attribution")
 def _(spark, sf):
     return T.capacity_attribution(tracks(spark, sf), fits(spark, sf)[3])
+
+
+# Tracks of the detected peaks, so that SQL can follow them: every reference peak and cycle, unchained.
+EVENTS = f"""
+rl AS (SELECT cell_id, step, list({{'v': ref_v, 'id': ref_id}} ORDER BY ref_v) AS rs FROM rp GROUP BY ALL),
+pp AS (SELECT d.cell_id, d.cycle, d.step, rs, list({{'v': voltage, 'id': peak_id}} ORDER BY voltage) AS ps FROM det d JOIN rl ON rl.cell_id = d.cell_id AND rl.step = d.step GROUP BY ALL),
+{_matchings('pp', 'abs(ps[x].v - rs[i].v) <= 4e-3')},
+bs1 AS (SELECT {K}, any_value(rs) AS rs, any_value(ps) AS ps, arg_max(used, {{'c': cnt, 'd': -cost}}) AS used FROM en WHERE i = len(rs) + 1 GROUP BY {K}),
+un AS (SELECT {K}, rs, ps, used, unnest(range(1, len(rs) + 1)) AS i FROM bs1),
+tk AS (SELECT cell_id, step, rs[i].id AS ref_id, cycle, used[i] > 0 AS good, CASE WHEN used[i] > 0 THEN ps[used[i]].v END AS centre FROM un),
+tk1 AS (SELECT *, count(*) FILTER (good) OVER (PARTITION BY cell_id, step, ref_id ORDER BY cycle) AS k, count(*) FILTER (good) OVER (PARTITION BY cell_id, step, ref_id) AS total FROM tk),
+gp1 AS (SELECT cell_id, step, ref_id, k, count(*) AS n, min(cycle) AS ev, max(total) AS total FROM tk1 WHERE NOT good AND k > 0 AND total >= 3 GROUP BY ALL),
+st1 AS (SELECT * FROM (SELECT *, CASE WHEN cycle - lag(cycle) OVER w = 1 THEN abs(centre - lag(centre) OVER w) * 1e3 END AS mv FROM tk1 WHERE good AND total >= 3 WINDOW w AS (PARTITION BY cell_id, step, ref_id ORDER BY cycle)) WHERE mv IS NOT NULL),
+me1 AS (SELECT cell_id, step, ref_id, median(mv) AS med, count(*) AS n, max(mv) AS widest FROM st1 GROUP BY ALL),
+li1 AS (SELECT m.*, CASE WHEN n >= 3 THEN greatest(2e0, med + 4e0 * 14826e-4 * (SELECT median(abs(s.mv - m.med)) FROM st1 s WHERE s.cell_id = m.cell_id AND s.step = m.step AND s.ref_id = m.ref_id)) ELSE 2e0 END AS lim FROM me1 m),
+dv1 AS (SELECT cell_id, step, ref_id, ev FROM gp1 WHERE (k < total AND n >= 2) OR (k = total AND n >= 4) UNION ALL SELECT s.cell_id, s.step, s.ref_id, s.cycle FROM st1 s JOIN li1 l ON l.cell_id = s.cell_id AND l.step = s.step AND l.ref_id = s.ref_id WHERE mv > lim),
+dv2 AS (SELECT cell_id, step, ref_id, count(*) AS n_events, min(ev) AS first_event FROM dv1 GROUP BY ALL)
+SELECT t.cell_id, t.step, t.ref_id, coalesce(any_value(n_events), 0) AS n_events, any_value(first_event) AS first_event, any_value(widest) AS widest_step_mv,
+  any_value(first_event) IS NULL OR count(*) FILTER (good AND t.cycle < first_event) >= 5 AS established
+FROM tk t LEFT JOIN dv2 e ON e.cell_id = t.cell_id AND e.step = t.step AND e.ref_id = t.ref_id LEFT JOIN me1 m ON m.cell_id = t.cell_id AND m.step = t.step AND m.ref_id = t.ref_id GROUP BY t.cell_id, t.step, t.ref_id"""
+
+
+@query("e20_discontinuities", f"WITH {CHAIN}, {INFERRED}, {EVENTS}", "widest_step_mv", "records, cells")
+def _(spark, sf):
+    # Tight limits, as the records drift little: matches within 4 mV, gaps of 2 cycles, steps of 2 mV.
+    found = detected(spark, sf).select(*HALF, F.col("peak_id").alias("component"), F.col("voltage").alias("centre"), F.lit(0.0).alias("area"), F.lit(0.0).alias("fwhm"), "height", F.lit(True).alias("reliable"))
+    assigned = T.assign_components(found, reference_peaks(spark, sf), reference(spark, sf), 0.004, chain=False)
+    return T.discontinuity_events(T.tracking_table(assigned, found, reference_peaks(spark, sf)), run=2, terminal=4, floor_mv=2.0, least=5)
+
+
+@query("i8_low_fidelity")
+def _(spark, sf):
+    return T.low_fidelity(tracks(spark, sf), fidelity(spark, sf).withColumnRenamed("fidelity", "integral_fidelity"))
+
+
+@query("c10_derived_parameters", f"""WITH p AS (SELECT *, coalesce(theoretical_mAh_g, {LIBRARY_CAPACITY}) AS theo, coalesce(electrode_diameter_mm, 12e0) AS dia, CASE coalesce(blend, '80/10/10') WHEN '80/10/10' THEN 8e-1 WHEN '90/5/5' THEN 9e-1 END AS frac,
+  CASE cell_no % 4 WHEN 3 THEN 'Na-ion' WHEN 2 THEN 'Unknown' ELSE 'Li-ion' END AS chem FROM cells), q AS (SELECT *, pi() * pow(dia / 2e1, 2) AS area FROM p)
+SELECT cell_id, composition, CASE WHEN lower(electrode_type) = 'negative' THEN 'Negative' ELSE 'Positive' END AS electrode_type, CAST(NULL AS VARCHAR) AS problem, theo AS theoretical_mAh_g, CASE WHEN theoretical_mAh_g IS NULL THEN 'library' ELSE 'given' END AS capacity_source,
+  CASE WHEN theoretical_mAh_g IS NULL THEN {LIBRARY} END AS library_formula, dia AS electrode_diameter_mm, area AS electrode_area_cm2, frac AS active_fraction, active_mass_mg / frac AS coating_mg, active_mass_mg / area AS active_loading_mg_cm2, active_mass_mg / frac / area AS total_loading_mg_cm2,
+  theo * active_mass_mg / 1e3 AS theoretical_mAh, theo * active_mass_mg / 1e3 * charge_rate_c AS theoretical_charge_current_ma, theo * charge_rate_c AS theoretical_charge_rate_ma_g, voltage_lower_v, voltage_upper_v, chem AS chemistry,
+  CASE WHEN cell_no % 4 = 3 THEN 'Na' ELSE 'Li' END AS counter_metal, CASE WHEN cell_no % 4 = 2 THEN 'library' ELSE 'chemistry' END AS counter_metal_source,
+  pi() * pow(16 / 2e1, 2) * 5e-2 * CASE WHEN cell_no % 4 = 3 THEN 971e-3 ELSE 534e-3 END * 1e3 AS counter_mass_mg, lower(electrode_type) = 'negative' AS labels_swapped FROM q""",
+    "theoretical_mAh_g electrode_diameter_mm electrode_area_cm2 active_fraction coating_mg active_loading_mg_cm2 total_loading_mg_cm2 theoretical_mAh theoretical_charge_current_ma theoretical_charge_rate_ma_g voltage_lower_v voltage_upper_v counter_mass_mg", "cells")
+def _(spark, sf):
+    return derived_parameters(cells(spark, sf))

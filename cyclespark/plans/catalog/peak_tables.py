@@ -108,7 +108,7 @@ ss AS (SELECT s.cell_id, s.cycle, s.step, s.i, (min(b.i) FILTER (b.i >= s.i AND
 {noises('sn', 'sh0')},
 sh1 AS (SELECT s.cell_id, s.cycle, s.step, s.i, s.h, bin_v, v_lo, v_hi, noise, coalesce(CASE WHEN ss.half > 0 THEN ss.half END * bin_v, 0e0) AS sigma, w.prom > 0 AND rip > lip AS own, lip, rip
   FROM sh0 s JOIN ss ON {on('s', 'ss')} AND ss.i = s.i JOIN sw w ON {on('s', 'w')} AND w.i = s.i JOIN sn ON {on('s', 'sn')} AND sn.i = s.i),
-sh2 AS (SELECT *, v_lo + i * bin_v AS voltage, CASE WHEN own THEN v_lo + lip * bin_v ELSE v_lo + i * bin_v - sigma END AS left_v, CASE WHEN own THEN v_lo + rip * bin_v ELSE v_lo + i * bin_v + sigma END AS right_v FROM sh1)
+sh2 AS (SELECT s.*, c.voltage, CASE WHEN own THEN v_lo + lip * bin_v ELSE c.voltage - sigma END AS left_v, CASE WHEN own THEN v_lo + rip * bin_v ELSE c.voltage + sigma END AS right_v FROM sh1 s JOIN cy c ON {on('s', 'c')} AND c.i = s.i)
 """
 KEEP = PEAKS + f""",
 mo AS (SELECT m.*, greatest(1, CAST(round_even(3e1 / 1e3 / bin_v, 0) AS INT)) AS dist FROM mx m JOIN sc ON {on('m', 'sc')}),
@@ -118,15 +118,15 @@ yl AS (SELECT {K}, list(y ORDER BY i) AS ys FROM cy GROUP BY {K}),
 {prominence('bs', 'pk', 'cy', K, 'y', '')},
 {widths('wd', 'bs')},
 {noises('nz', 'wd')},
-pr0 AS (SELECT w.cell_id, w.cycle, w.step, w.i AS peak_bin, v_lo + w.i * bin_v AS voltage, h AS height, prom AS prominence, (rip - lip) * bin_v AS width_v, v_lo + lip * bin_v AS left_v, v_lo + rip * bin_v AS right_v,
-  {CUT_OFF} AS is_truncated, noise, y_max, rip - lip AS ws FROM wd w JOIN sc ON {on('w', 'sc')} JOIN nz ON {on('w', 'nz')} AND nz.i = w.i JOIN sett s ON s.cell_id = w.cell_id
+pr0 AS (SELECT w.cell_id, w.cycle, w.step, w.i AS peak_bin, c.voltage, h AS height, prom AS prominence, (rip - lip) * bin_v AS width_v, v_lo + lip * bin_v AS left_v, v_lo + rip * bin_v AS right_v,
+  {CUT_OFF} AS is_truncated, noise, y_max, rip - lip AS ws FROM wd w JOIN sc ON {on('w', 'sc')} JOIN nz ON {on('w', 'nz')} AND nz.i = w.i JOIN cy c ON {on('w', 'c')} AND c.i = w.i JOIN sett s ON s.cell_id = w.cell_id
   WHERE rip - lip >= greatest(1, round_even(CASE profile WHEN 'sharp' THEN 2 ELSE 5 END / 1e3 / bin_v, 0)) AND (prom >= 5e-2 * y_range OR (h > 0 AND prom >= 25e-2 * h AND h >= 2e-2 * y_max))),
 {SHOULDERS},
 pr1 AS (SELECT {K}, peak_bin, voltage, height, prominence, width_v, left_v, right_v, is_truncated, false AS is_shoulder, noise, y_max FROM pr0 UNION ALL
   SELECT s.cell_id, s.cycle, s.step, s.i, voltage, h, h * 1e-1, right_v - left_v, left_v, right_v, right_v >= s.v_hi - 2e-3 OR left_v <= s.v_lo + 2e-3, true, noise, y_max FROM sh2 s JOIN sc ON {on('s', 'sc')}),
 t0 AS (SELECT {K}, arg_max(i, {{'y': y, 'i': -i}}) AS i, max(y) AS y, any_value(n) AS n FROM cy GROUP BY {K}),
 t1 AS (SELECT t.cell_id, t.cycle, t.step, t.i, any_value(t.y) - greatest(min(c.y) FILTER (c.i <= t.i), min(c.y) FILTER (c.i >= t.i)) AS prom FROM t0 t JOIN cy c ON {on('t', 'c')} WHERE t.i > 0 AND t.i < t.n - 1 GROUP BY ALL),
-t2 AS (SELECT t.*, v_lo + t.i * bin_v AS voltage, y_max FROM t1 t JOIN sc ON {on('t', 'sc')} WHERE prom > 0),
+t2 AS (SELECT t.*, c.voltage, y_max FROM t1 t JOIN sc ON {on('t', 'sc')} JOIN cy c ON {on('t', 'c')} AND c.i = t.i WHERE prom > 0),
 {noises('tn', 't2')},
 tb AS (SELECT t.cell_id, t.cycle, t.step, arg_min({{'b': p.peak_bin, 's': p.is_shoulder, 'w': p.width_v, 'l': p.left_v, 'r': p.right_v}}, p.voltage) AS near FROM t2 t JOIN pr1 p ON {on('t', 'p')} AND abs(p.voltage - t.voltage) < 3e-2 GROUP BY ALL),
 t3 AS (SELECT t.*, noise, near FROM t2 t JOIN tn ON {on('t', 'tn')} LEFT JOIN tb ON {on('t', 'tb')} WHERE near IS NULL OR near.s),
@@ -210,7 +210,7 @@ def _(spark, sf):
     return P.shoulders(blends(spark, sf), profiles=settings(spark, sf)).select(*HALF, "peak_bin", "voltage", "height", "width_v", "left_v", "right_v", "is_truncated")
 
 
-@query("g9_shoulder_sigma", f"WITH {BLENDS}, {KEEP} SELECT {K}, i AS peak_bin, 2 * m + 1 AS window_samples, half AS sigma_samples FROM ss JOIN w2 USING ({K})", "sigma_samples")
+@query("g9_shoulder_sigma", f"WITH {BLENDS}, {KEEP} SELECT {K}, i AS peak_bin, 2 * m + 1 AS window_samples, CASE WHEN half > 0 THEN half END AS sigma_samples FROM ss JOIN w2 USING ({K})", "sigma_samples")
 def _(spark, sf):
     whole, kept = P.standing_out(blends(spark, sf), profiles=settings(spark, sf))
     return P.flank_shoulders(whole, kept).select(*HALF, F.col("i").alias("peak_bin"), F.col("w").alias("window_samples"), "sigma_samples")
