@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, stored
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SIZES = (3, 2, 1)
 UNKNOWN = "und"
 SCALE = 2**24  # scores are whole numbers of this part of a unit
@@ -24,7 +24,7 @@ _MEMO = 400_000  # tokens whose scores a worker remembers
 
 
 def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, word, n) over the whole texts of docs; words are runs of letters, lower-cased."""
+    """(lang, word, n) over the whole texts of docs; words are runs of letters and the marks after them, lower-cased."""
 
     def flush(counts: dict[str, Counter]):
         rows = {"lang": [], "word": [], "n": []}

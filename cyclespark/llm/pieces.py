@@ -44,6 +44,8 @@ class Pieces:
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.is_byte = {i: b for b, i in self.byte.items()}
         self.silent = {i for i, p in enumerate(model.pieces) if p.type in (kinds.CONTROL, kinds.UNKNOWN)}
+        self.pieces = np.array(["" if i in self.silent else p.replace(SPACE, " ") for i, p in enumerate(self.text)], object)
+        self.odd = np.array([i in self.is_byte for i in range(len(self.text))])
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.score = {p: model.pieces[i].score for p, i in self.id.items()}
@@ -159,21 +161,14 @@ class Pieces:
             out += known(u) or self.unit(u)
         return out
 
-    def decode(self, ids) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            b = self.is_byte.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held = bytearray()
-            if i not in self.silent:
-                out.append(self.text[i])
-        if held:
-            out.append(held.decode(errors="replace"))
-        text = "".join(out).replace(SPACE, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        out, at = [], 0
+        odd = np.flatnonzero(self.odd[ids])
+        for run in np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1) if len(odd) else []:
+            out += self.pieces[ids[at : run[0]]].tolist()
+            out.append(bytes(self.is_byte[i] for i in ids[run].tolist()).decode(errors="replace"))
+            at = run[-1] + 1
+        text = "".join(out + self.pieces[ids[at:]].tolist())
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     # Chunks. A chunk is text[begin:stop] of an escaped text, given with up to `longest` characters on either side.
@@ -339,7 +334,8 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", giant: in
     chosen = made.groupBy("name").applyInPandas(choose, "name string, k int, first int, last int")
     traced = parts.join(chosen, ["name", "k"]).mapInArrow(traces, "name string, k int, ids array<int>")
     joined = traced.groupBy("name").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    found = large.withColumn("_n", F.sha2(text, 256)).join(joined, F.col("_n") == F.col("name")).select(*own, joined["ids"])
+    rows = large.select(F.struct(*own).alias("own"), F.sha2(text, 256).alias("name"))  # apart from columns of the same names
+    found = rows.join(joined, "name").select(*[F.col("own")[c].alias(c) for c in own], "ids")
     return small.union(found)
 
 
@@ -349,8 +345,10 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", into: str = "de
 
     def decode(inputs):
         model = loaded(model_file)
-        for batch in (b.slice(k, 64) for b in inputs for k in range(0, b.num_rows, 64)):  # few Python numbers at a time
-            out = [None if x is None else model.decode(x) for x in batch.column(ids).to_pylist()]
+        for batch in (b.slice(k, 64) for b in inputs for k in range(0, b.num_rows, 64)):  # few texts at a time
+            column = batch.column(ids)
+            at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            out = [model.decode(flat[lo:hi]) if valid else None for lo, hi, valid in zip(at, at[1:], column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(out, pa.string())], names=[*own, into])
 
     return df.select(*own).mapInArrow(decode, T.StructType([*[df.schema[c] for c in own], T.StructField(into, T.StringType())]))

@@ -118,6 +118,25 @@ def test_round_trip(docs):
         assert ids == library.encode(text or "") and decoded == (text or "")
 
 
+def test_columns_called_like_the_operators_own(spark):
+    """Giant texts meet their ids by a name; a column called name, own or k is none of theirs."""
+    rows = spark.createDataFrame([(1, LONG, "x", "y", 3), (2, None, None, None, None), (3, "a \x00 é \u2028 b", "x", "y", 3)], "doc_id long, text string, name string, own string, k int")
+    got = decode_ids(encode_texts(rows, MODEL, giant=1000), MODEL).collect()
+    assert {(r["doc_id"], r["name"], r["own"], r["k"], r["decoded"] == (r["text"] or "")) for r in got} == {(1, "x", "y", 3, True), (2, None, None, None, True), (3, "x", "y", 3, True)}
+    odd = spark.createDataFrame([(None,), ([],), ([0, 1, 2],)], "ids array<int>")
+    assert [r["decoded"] for r in decode_ids(odd, MODEL).collect()][:2] == [None, ""]
+
+
+def test_letters_alone_make_words(spark):
+    """Numeric signs are no letters; vowel signs stay in their words."""
+    from cyclespark.llm.lang_id import count_words
+
+    texts = spark.createDataFrame([(1, "½ ² Ⅷ ①", "en"), (2, "हिन्दी की किताब", "hi"), (3, "don't x2y", "en"), (4, "\u0301 \u0903", "hi")], "doc_id long, text string, lang string")
+    assert rows_of(count_words(texts, "text", "lang"), "lang", "word", "n") == sorted([("en", "don", 1), ("en", "t", 1), ("en", "x", 1), ("en", "y", 1), *[("hi", w, 1) for w in "हिन्दी की किताब".split()]], key=repr)
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(texts, train(texts)).collect()}
+    assert got == {1: "und", 2: "hi", 3: "en", 4: "und"}
+
+
 def test_edited_text(spark, docs):
     texts = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).filter("text <> 'another text of that key' or text is null")
     order = sorted(((r["doc_id"], r["text"] or "") for r in texts.select("doc_id", "text").collect()), reverse=True)
