@@ -3,12 +3,15 @@
 from pyspark.sql import functions as F
 
 from cyclespark.functions import scalars as S
+from cyclespark.operators import bands as B
 from cyclespark.operators import decompose as D
 from cyclespark.operators import peaks as P
 from cyclespark.operators import track as T
+from cyclespark.operators.clean import sample_half_cycles
 from cyclespark.operators.lineage import cut
 from cyclespark.operators.parameters import derived_parameters
 from cyclespark.plans.catalog.curve_tables import BLENDS, K, blends, fidelity, on, settings
+from cyclespark.plans.catalog.cycle_tables import GROUPS, labels
 from cyclespark.plans.catalog.metadata_tables import LIBRARY, LIBRARY_CAPACITY
 from cyclespark.plans.catalog.peak_tables import CHAIN, INFERRED, KEEP, blend_peaks, detected, reference, reference_peaks
 from cyclespark.plans.fixture import cells, shared
@@ -227,3 +230,83 @@ SELECT cell_id, composition, CASE WHEN lower(electrode_type) = 'negative' THEN '
     "theoretical_mAh_g electrode_diameter_mm electrode_area_cm2 active_fraction coating_mg active_loading_mg_cm2 total_loading_mg_cm2 theoretical_mAh theoretical_charge_current_ma theoretical_charge_rate_ma_g voltage_lower_v voltage_upper_v counter_mass_mg", "cells")
 def _(spark, sf):
     return derived_parameters(cells(spark, sf))
+
+
+# Excess over the model at its start values, which SQL can follow.
+EXCESS = f"""
+pv AS (SELECT c.cell_id, c.cycle, c.step, voltage, abs(dqdv) AS y, sum(a0 * (5e-1 * sqrt(ln(2e0) / pi()) / s0 * exp(-ln(2e0) * pow((voltage - greatest(lo, least(hi, c0))) / s0, 2)) + 5e-1 * s0 / (pi() * (pow(voltage - greatest(lo, least(hi, c0)), 2) + pow(s0, 2))))) AS fit
+  FROM curve c JOIN gt2 g ON {on('c', 'g')} GROUP BY c.cell_id, c.cycle, c.step, bin, voltage, dqdv),
+rs0 AS (SELECT *, y - fit AS r, count(*) OVER (PARTITION BY {K}) AS n FROM pv),
+rs1 AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY voltage) - row_number() OVER (PARTITION BY {K}, r > 0 ORDER BY voltage) AS isle FROM rs0),
+rs2 AS (SELECT *, (r + lag(r) OVER (PARTITION BY {K}, r > 0, isle ORDER BY voltage)) * (voltage - lag(voltage) OVER (PARTITION BY {K}, r > 0, isle ORDER BY voltage)) / 2 AS strip FROM rs1),
+ex0 AS (SELECT {K}, min(voltage) AS lo, max(voltage) AS hi, sum(strip) AS area FROM rs2 WHERE r > 0 AND n >= 4 GROUP BY {K}, isle HAVING count(*) > 1 AND (max(voltage) - min(voltage)) * 1e3 >= 100),
+ex AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY area DESC, lo) AS rank, lo, hi, (lo + hi) / 2 AS centre, (hi - lo) * 1e3 AS span_mv, area FROM ex0)"""
+BANDS = f"""
+hc AS (SELECT cell_id, step, count(DISTINCT cycle) AS n_sampled FROM gt2 GROUP BY ALL),
+cn AS (SELECT *, CASE WHEN centre - lag(centre) OVER w <= 8e-2 THEN 0 ELSE 1 END AS fresh FROM ex WINDOW w AS (PARTITION BY cell_id, step ORDER BY centre)),
+cc AS (SELECT *, sum(fresh) OVER (PARTITION BY cell_id, step ORDER BY centre, fresh DESC ROWS UNBOUNDED PRECEDING) AS g FROM cn),
+bd AS (SELECT cell_id, step, median(centre) AS centre, median(lo) AS lo, median(hi) AS hi, median(span_mv) AS span_mv, count(DISTINCT cycle) AS n_seen, any_value(n_sampled) AS n_sampled, count(DISTINCT cycle) / any_value(n_sampled) AS occupancy
+  FROM cc JOIN hc USING (cell_id, step) GROUP BY cell_id, step, g HAVING count(DISTINCT cycle) / any_value(n_sampled) >= 34e-2)"""
+
+
+@shared
+def start_excess(spark, sf):
+    terms = D.model_terms(spec(spark, sf), D.curve_scale(blends(spark, sf)))
+    return cut(B.excess_regions(D.overlay(B.start_components(terms), blends(spark, sf))))
+
+
+@shared
+def start_bands(spark, sf):
+    return cut(B.band_regions(start_excess(spark, sf).withColumn("from_bound", F.lit(False)), spec(spark, sf).select(*HALF).distinct()))
+
+
+@query("h6_excess_regions", f"WITH {BLENDS}, {KEEP}, {SPEC}, {TERMS}, {EXCESS} SELECT * FROM ex", "lo hi centre span_mv area")
+def _(spark, sf):
+    return start_excess(spark, sf)
+
+
+@query("h7_recurrent_regions", f"WITH {BLENDS}, {KEEP}, {SPEC}, {TERMS}, {EXCESS}, {BANDS} SELECT * FROM bd", "centre lo hi span_mv occupancy")
+def _(spark, sf):
+    return start_bands(spark, sf).drop("band", "from_bound")
+
+
+@query("h7_band_regions")
+def _(spark, sf):
+    # What the fitted peaks leave over; a dozen half-cycles of a cell and step, evenly spaced, are looked at.
+    _, kept, values, figures = fits(spark, sf)
+    steps = [sample_half_cycles(figures.filter(F.col("step") == s).select(*HALF), B.SAMPLE) for s in ("Charge", "Discharge")]
+    looked = cut(steps[0].unionByName(steps[1]))
+    regions = B.excess_regions(D.overlay(values.join(looked, HALF, "left_semi"), blends(spark, sf)))
+    return B.band_regions(B.candidate_regions(regions, values, kept, figures), looked)
+
+
+@query("h8_pooled_bands", f"""WITH {BLENDS}, {KEEP}, {SPEC}, {TERMS}, {EXCESS}, {BANDS},
+nm AS (SELECT b.*, composition FROM bd b JOIN cells USING (cell_id)),
+sg AS (SELECT *, CASE WHEN centre - lag(centre) OVER (PARTITION BY composition, step ORDER BY centre) <= 8e-2 THEN 0 ELSE 1 END AS fresh FROM nm WHERE occupancy >= 6e-1),
+sc AS (SELECT *, sum(fresh) OVER (PARTITION BY composition, step ORDER BY centre, fresh DESC ROWS UNBOUNDED PRECEDING) AS g FROM sg),
+pl AS (SELECT composition, step, g, median(centre) AS centre, median(lo) AS lo, median(hi) AS hi, median(span_mv) AS span_mv, max(occupancy) AS occupancy FROM sc GROUP BY ALL),
+nc AS (SELECT s.composition, s.step, s.g, count(DISTINCT n.cell_id) AS n_cells FROM sc s JOIN nm n ON n.composition = s.composition AND n.step = s.step AND abs(n.centre - s.centre) <= 8e-2 GROUP BY ALL)
+SELECT cell_id, step, centre, lo, hi, span_mv, occupancy, CAST(NULL AS BIGINT) AS n_cells, FALSE AS from_replicate FROM bd
+UNION ALL SELECT c.cell_id, p.step, p.centre, p.lo, p.hi, p.span_mv, p.occupancy, n_cells, TRUE FROM pl p JOIN nc ON nc.composition = p.composition AND nc.step = p.step AND nc.g = p.g JOIN cells c ON c.composition = p.composition
+  WHERE (SELECT count(*) FROM cells d WHERE d.composition = p.composition) > 1 AND NOT EXISTS (SELECT 1 FROM bd o WHERE o.cell_id = c.cell_id AND o.step = p.step AND abs(o.centre - p.centre) <= 8e-2)""", "centre lo hi span_mv occupancy", "records, cells")
+def _(spark, sf):
+    return B.pool_band_regions(start_bands(spark, sf), cells(spark, sf), shared_occupancy=0.6)
+
+
+@query("e23_coherence_audit", f"""WITH {CHAIN}, {INFERRED}, {GROUPS.replace('lab AS', 'lab1 AS')},
+rl AS (SELECT cell_id, step, list({{'v': ref_v, 'id': ref_id}} ORDER BY ref_v) AS rs FROM rp GROUP BY ALL),
+pp AS (SELECT d.cell_id, d.cycle, d.step, rs, list({{'v': voltage, 'id': height * width_v}} ORDER BY voltage) AS ps FROM det d JOIN rl ON rl.cell_id = d.cell_id AND rl.step = d.step GROUP BY ALL),
+{_matchings('pp', 'abs(ps[x].v - rs[i].v) <= 7e-2')},
+bs1 AS (SELECT {K}, any_value(rs) AS rs, any_value(ps) AS ps, arg_max(used, {{'c': cnt, 'd': -cost}}) AS used FROM en WHERE i = len(rs) + 1 GROUP BY {K}),
+un AS (SELECT {K}, rs, ps, used, unnest(range(1, len(rs) + 1)) AS i FROM bs1),
+ca AS (SELECT u.cell_id, u.step, u.cycle, rs[i].id AS ref_id, ps[used[i]].v AS centre, ps[used[i]].id AS area, l.block, u.cell_id IN (SELECT cell_id FROM lab1) AS varies FROM un u LEFT JOIN lab1 l ON l.cell_id = u.cell_id AND l.cycle = u.cycle WHERE used[i] > 0),
+cb AS (SELECT a.cell_id, a.step, a.ref_id, abs(b.centre - a.centre) * 1e3 AS mv, CASE WHEN a.area <> 0 THEN b.area / a.area END AS ratio FROM ca a JOIN ca b ON b.cell_id = a.cell_id AND b.step = a.step AND b.ref_id = a.ref_id AND b.cycle = a.cycle + 1 WHERE NOT a.varies OR a.block = b.block),
+cd1 AS (SELECT cell_id, step, ref_id, count(*) AS pairs, median(mv) AS med, avg(CASE WHEN mv > 20 THEN 1e0 ELSE 0e0 END) AS fv, avg(CASE WHEN ratio > 2 OR ratio < 5e-1 THEN 1e0 WHEN ratio IS NOT NULL THEN 0e0 END) AS fa FROM cb GROUP BY ALL)
+SELECT r.cell_id, r.step, r.ref_id, ref_v, coalesce(is_truncated, FALSE) AS is_truncated, coalesce(pairs, 0) AS pairs, med AS median_drift_mv, fv AS f_drift_over_20mv, fa AS f_area_over_2x,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM ca WHERE ca.cell_id = r.cell_id AND ca.step = r.step AND ca.ref_id = r.ref_id) THEN 'never recovered' WHEN pairs IS NULL THEN 'never in consecutive cycles' WHEN pairs < 8 THEN 'not assessable'
+    WHEN med > 15 OR fv > 5e-1 OR coalesce(fa > 5e-1, FALSE) THEN 'NOT trend-worthy' WHEN med <= 5 THEN 'coherent' ELSE 'questionable' END AS verdict
+FROM rp r LEFT JOIN cd1 c ON c.cell_id = r.cell_id AND c.step = r.step AND c.ref_id = r.ref_id""", "ref_v median_drift_mv f_drift_over_20mv f_area_over_2x", "records, cells")
+def _(spark, sf):
+    found = detected(spark, sf).select(*HALF, F.col("peak_id").alias("component"), F.col("voltage").alias("centre"), (F.col("height") * F.col("width_v")).alias("area"))
+    assigned = T.assign_components(found, reference_peaks(spark, sf), reference(spark, sf), T.FIXED_V, chain=False)
+    return T.coherence_audit(assigned.join(found, [*HALF, "component"]), reference_peaks(spark, sf), labels(spark, sf))
