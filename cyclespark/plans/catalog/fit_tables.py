@@ -281,13 +281,13 @@ def _(spark, sf):
 
 
 @query("h8_pooled_bands", f"""WITH {BLENDS}, {KEEP}, {SPEC}, {TERMS}, {EXCESS}, {BANDS},
-nm AS (SELECT b.*, composition FROM bd b JOIN cells USING (cell_id)),
-sg AS (SELECT *, CASE WHEN centre - lag(centre) OVER (PARTITION BY composition, step ORDER BY centre) <= 8e-2 THEN 0 ELSE 1 END AS fresh FROM nm WHERE occupancy >= 6e-1),
-sc AS (SELECT *, sum(fresh) OVER (PARTITION BY composition, step ORDER BY centre, fresh DESC ROWS UNBOUNDED PRECEDING) AS g FROM sg),
-pl AS (SELECT composition, step, g, median(centre) AS centre, median(lo) AS lo, median(hi) AS hi, median(span_mv) AS span_mv, max(occupancy) AS occupancy FROM sc GROUP BY ALL),
-nc AS (SELECT s.composition, s.step, s.g, count(DISTINCT n.cell_id) AS n_cells FROM sc s JOIN nm n ON n.composition = s.composition AND n.step = s.step AND abs(n.centre - s.centre) <= 8e-2 GROUP BY ALL)
+bn AS (SELECT b.*, composition FROM bd b JOIN cells USING (cell_id)),
+bg AS (SELECT *, CASE WHEN centre - lag(centre) OVER (PARTITION BY composition, step ORDER BY centre) <= 8e-2 THEN 0 ELSE 1 END AS fresh FROM bn WHERE occupancy >= 6e-1),
+bc AS (SELECT *, sum(fresh) OVER (PARTITION BY composition, step ORDER BY centre, fresh DESC ROWS UNBOUNDED PRECEDING) AS g FROM bg),
+bp AS (SELECT composition, step, g, median(centre) AS centre, median(lo) AS lo, median(hi) AS hi, median(span_mv) AS span_mv, max(occupancy) AS occupancy FROM bc GROUP BY ALL),
+bk AS (SELECT s.composition, s.step, s.g, count(DISTINCT n.cell_id) AS n_cells FROM bc s JOIN bn n ON n.composition = s.composition AND n.step = s.step AND abs(n.centre - s.centre) <= 8e-2 GROUP BY ALL)
 SELECT cell_id, step, centre, lo, hi, span_mv, occupancy, CAST(NULL AS BIGINT) AS n_cells, FALSE AS from_replicate FROM bd
-UNION ALL SELECT c.cell_id, p.step, p.centre, p.lo, p.hi, p.span_mv, p.occupancy, n_cells, TRUE FROM pl p JOIN nc ON nc.composition = p.composition AND nc.step = p.step AND nc.g = p.g JOIN cells c ON c.composition = p.composition
+UNION ALL SELECT c.cell_id, p.step, p.centre, p.lo, p.hi, p.span_mv, p.occupancy, n_cells, TRUE FROM bp p JOIN bk ON bk.composition = p.composition AND bk.step = p.step AND bk.g = p.g JOIN cells c ON c.composition = p.composition
   WHERE (SELECT count(*) FROM cells d WHERE d.composition = p.composition) > 1 AND NOT EXISTS (SELECT 1 FROM bd o WHERE o.cell_id = c.cell_id AND o.step = p.step AND abs(o.centre - p.centre) <= 8e-2)""", "centre lo hi span_mv occupancy", "records, cells")
 def _(spark, sf):
     return B.pool_band_regions(start_bands(spark, sf), cells(spark, sf), shared_occupancy=0.6)
@@ -299,13 +299,13 @@ pp AS (SELECT d.cell_id, d.cycle, d.step, rs, list({{'v': voltage, 'id': height
 {_matchings('pp', 'abs(ps[x].v - rs[i].v) <= 7e-2')},
 bs1 AS (SELECT {K}, any_value(rs) AS rs, any_value(ps) AS ps, arg_max(used, {{'c': cnt, 'd': -cost}}) AS used FROM en WHERE i = len(rs) + 1 GROUP BY {K}),
 un AS (SELECT {K}, rs, ps, used, unnest(range(1, len(rs) + 1)) AS i FROM bs1),
-ca AS (SELECT u.cell_id, u.step, u.cycle, rs[i].id AS ref_id, ps[used[i]].v AS centre, ps[used[i]].id AS area, l.block, u.cell_id IN (SELECT cell_id FROM lab1) AS varies FROM un u LEFT JOIN lab1 l ON l.cell_id = u.cell_id AND l.cycle = u.cycle WHERE used[i] > 0),
-cb AS (SELECT a.cell_id, a.step, a.ref_id, abs(b.centre - a.centre) * 1e3 AS mv, CASE WHEN a.area <> 0 THEN b.area / a.area END AS ratio FROM ca a JOIN ca b ON b.cell_id = a.cell_id AND b.step = a.step AND b.ref_id = a.ref_id AND b.cycle = a.cycle + 1 WHERE NOT a.varies OR a.block = b.block),
-cd1 AS (SELECT cell_id, step, ref_id, count(*) AS pairs, median(mv) AS med, avg(CASE WHEN mv > 20 THEN 1e0 ELSE 0e0 END) AS fv, avg(CASE WHEN ratio > 2 OR ratio < 5e-1 THEN 1e0 WHEN ratio IS NOT NULL THEN 0e0 END) AS fa FROM cb GROUP BY ALL)
+qa AS (SELECT u.cell_id, u.step, u.cycle, rs[i].id AS ref_id, ps[used[i]].v AS centre, ps[used[i]].id AS area, l.block, u.cell_id IN (SELECT cell_id FROM lab1) AS varies FROM un u LEFT JOIN lab1 l ON l.cell_id = u.cell_id AND l.cycle = u.cycle WHERE used[i] > 0),
+qb AS (SELECT a.cell_id, a.step, a.ref_id, abs(b.centre - a.centre) * 1e3 AS mv, CASE WHEN a.area <> 0 THEN b.area / a.area END AS ratio FROM qa a JOIN qa b ON b.cell_id = a.cell_id AND b.step = a.step AND b.ref_id = a.ref_id AND b.cycle = a.cycle + 1 WHERE NOT a.varies OR a.block = b.block),
+qc AS (SELECT cell_id, step, ref_id, count(*) AS pairs, median(mv) AS med, avg(CASE WHEN mv > 20 THEN 1e0 ELSE 0e0 END) AS fv, avg(CASE WHEN ratio > 2 OR ratio < 5e-1 THEN 1e0 WHEN ratio IS NOT NULL THEN 0e0 END) AS fa FROM qb GROUP BY ALL)
 SELECT r.cell_id, r.step, r.ref_id, ref_v, coalesce(is_truncated, FALSE) AS is_truncated, coalesce(pairs, 0) AS pairs, med AS median_drift_mv, fv AS f_drift_over_20mv, fa AS f_area_over_2x,
-  CASE WHEN NOT EXISTS (SELECT 1 FROM ca WHERE ca.cell_id = r.cell_id AND ca.step = r.step AND ca.ref_id = r.ref_id) THEN 'never recovered' WHEN pairs IS NULL THEN 'never in consecutive cycles' WHEN pairs < 8 THEN 'not assessable'
+  CASE WHEN NOT EXISTS (SELECT 1 FROM qa WHERE qa.cell_id = r.cell_id AND qa.step = r.step AND qa.ref_id = r.ref_id) THEN 'never recovered' WHEN pairs IS NULL THEN 'never in consecutive cycles' WHEN pairs < 8 THEN 'not assessable'
     WHEN med > 15 OR fv > 5e-1 OR coalesce(fa > 5e-1, FALSE) THEN 'NOT trend-worthy' WHEN med <= 5 THEN 'coherent' ELSE 'questionable' END AS verdict
-FROM rp r LEFT JOIN cd1 c ON c.cell_id = r.cell_id AND c.step = r.step AND c.ref_id = r.ref_id""", "ref_v median_drift_mv f_drift_over_20mv f_area_over_2x", "records, cells")
+FROM rp r LEFT JOIN qc c ON c.cell_id = r.cell_id AND c.step = r.step AND c.ref_id = r.ref_id""", "ref_v median_drift_mv f_drift_over_20mv f_area_over_2x", "records, cells")
 def _(spark, sf):
     found = detected(spark, sf).select(*HALF, F.col("peak_id").alias("component"), F.col("voltage").alias("centre"), (F.col("height") * F.col("width_v")).alias("area"))
     assigned = T.assign_components(found, reference_peaks(spark, sf), reference(spark, sf), T.FIXED_V, chain=False)
