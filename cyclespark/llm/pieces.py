@@ -23,7 +23,8 @@ from .common import batches, stored
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _CUT = re.compile(f"[^{SPACE}]{SPACE}")
-_MEMO, _LONG = 400_000, 40
+#: Units that a worker remembers in each of two generations, and their longest length; pairs of pieces that it remembers.
+_MEMO, _LONG, _PAIRS = 100_000, 40, 200_000
 
 
 class Pieces:
@@ -55,6 +56,7 @@ class Pieces:
         self.units = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self._apart: dict[tuple[str, str], bool] = {}
         self._memo: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self.stable = {p for p in self.id if not self.merges or len(p) == 1 or self.merged(p) == [p]}
 
     def merged(self, text: str) -> list[str]:
@@ -77,7 +79,7 @@ class Pieces:
             return True
         found = self._apart.get((left, right))
         if found is None:
-            if len(self._apart) > 500_000:
+            if len(self._apart) >= _PAIRS:
                 self._apart.clear()
             found = self._apart[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -141,12 +143,15 @@ class Pieces:
         return out
 
     def unit(self, text: str) -> tuple[int, ...]:
+        """Ids of a unit. Units met again while a generation fills up pass into the next; the others are forgotten."""
         found = self._memo.get(text)
         if found is None:
-            found = tuple(self.ids_of(self.back(text, self.forward(text, 0, "", len(text))[1], 0, len(text))))
+            found = self._older.get(text)
+            if found is None:
+                found = tuple(self.ids_of(self.back(text, self.forward(text, 0, "", len(text))[1], 0, len(text))))
             if len(text) <= _LONG:
                 if len(self._memo) >= _MEMO:
-                    self._memo.clear()
+                    self._older, self._memo = self._memo, {}
                 self._memo[text] = found
         return found
 

@@ -320,3 +320,18 @@ def test_packing_plan_is_best_fit():
             for k in range((following[1] if following[0] == n else histogram[n]) - rank):
                 fill[first + k] += n
         assert sorted(size - f for f in fill.values()) == room
+
+
+def test_remembered_units_are_bounded_and_frequent_ones_stay(monkeypatch):
+    import public_tokenizers
+
+    from cyclespark.llm import pieces as module
+
+    monkeypatch.setattr(module, "_MEMO", 50)
+    model = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    want = model.unit("▁often")
+    for i in range(400):
+        model.unit(f"▁seldom{i}")
+        assert model.unit("▁often") == want
+        assert "▁often" in model._memo or "▁often" in model._older
+    assert len(model._memo) <= 50 and len(model._older) <= 50
