@@ -19,5 +19,5 @@ def test_peaks_are_found_where_the_curve_is(spark):
 def test_tops_and_their_distance():
     y = np.array([0, 2, 2, 2, 1, 3, 0, 3, 3, 5.0, 4, 4])
     assert P.tops(y).tolist() == [2, 5, 9]
-    assert P.spread_out(y, P.tops(y), 4).tolist() == [2, 9]
+    assert P.spread_out(y, P.tops(y), 4).tolist() == [5, 9]
     assert P.spread_out(np.array([0, 1, 0, 1, 0.0]), np.array([1, 3]), 3).tolist() == [3]
