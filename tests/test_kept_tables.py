@@ -83,3 +83,14 @@ def test_tracks_are_dealt_to_many_tasks(spark):
 def test_the_error_function_computes_its_argument_once(spark):
     # Once for the sign and once for the series, whose terms refer to a variable.
     assert spark.range(1).select(erf(F.atan(F.col("id")))).columns[0].lower().count("atan(") == 2
+
+
+def test_counting_on_the_row_is_that_of_the_increments(spark):
+    row = ("c", 1, "Charge", 1, [3.0, 3.01, 3.05, 3.2, 3.19, 2.0], [3.01, 3.05, 3.2, 3.19, 3.3, 2.1], [0.5, 1.0, 2.0, 0.25, 4.0, 9.0], 3.0, 3.3, 3.0, 3.3, 0.1, 3)
+    plan = spark.createDataFrame([row], "cell_id string, cycle int, step string, n_slices int, v0 array<double>, v1 array<double>, dq array<double>, "
+                                        "window_low_v double, window_high_v double, lo double, hi double, width double, n_bins int")
+    whole = V.counted_charge(None, plan)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    parts = V.counted_charge(V.increment_rows(plan), plan.drop(*V.INCREMENT))
+    assert whole.columns == parts.columns and whole.schema["bin"].dataType == parts.schema["bin"].dataType
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
