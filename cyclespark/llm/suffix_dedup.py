@@ -8,7 +8,7 @@ falls apart into shards by anchor: the windows that can be equal meet in one sha
 2. The other stretches go to their shards. Spark's spilling sort is the disk-backed queue that brings a shard's stretches up in
    order of anchor, so a shard may be far larger than memory; blocks of some megabytes then get their suffix array by induced sorting
    (see induced), with the common prefixes that it carries along. Neighbours with `size` bytes in common are equal windows: all but
-   those of the smallest key are repeated.
+   those of the smallest key are repeated. Stretches that can't share a window, by runs of bytes around their anchors, are not sorted.
 3. The shard replies with the runs of repeated windows, and the texts are cut.
 
 Texts are dealt to groups by a hash; a group is read in the same order in every pass, so replies name rows by number.
@@ -178,6 +178,44 @@ def repeated(text: np.ndarray, ends: np.ndarray, n: np.ndarray, keys: np.ndarray
     return who[fit], nth[fit]
 
 
+def _blocks(anchor: np.ndarray, sizes: np.ndarray):
+    """Slices of stretches in order of anchor: of about a block's bytes each, and ending between anchors."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    breaks = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor)) if len(anchor) else np.zeros(1, int)
+    k = 0
+    while k < len(breaks) - 1:
+        stop = max(k + 1, int(np.searchsorted(total[breaks], total[breaks[k]] + _BLOCK, "right")) - 1)
+        yield slice(breaks[k], breaks[stop])
+        k = stop
+
+
+def _bytes_of(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some spans one after the other, and where each ends there."""
+    to = np.cumsum(sizes)
+    return text[np.repeat(starts - (to - sizes), sizes) + np.arange(to[-1])], to
+
+
+def may_share(text: np.ndarray, ends: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Which stretches may have a window in common with another of these, by the bytes around their anchors.
+
+    text, ends: as for `repeated`; place: where a stretch's anchor stands in text. Equal windows have their anchor at one place, say p
+    bytes in. With l the multiple of a step at or below p, a run from l bytes before the anchor to the window's end, less than a step
+    short of that, is then in both stretches. Runs are compared by hash, so some stretches may pass that share nothing.
+    """
+    width = size - _GRAM
+    step = max(1, width // 8)
+    starts, hit, eight = np.concatenate([[0], ends[:-1]]), np.zeros(len(ends), bool), words8(text)
+    for l in range(0, width + 1, step):
+        long = _GRAM + l + max(0, width - step + 1 - l)
+        k = np.flatnonzero((place - l >= starts) & (place - l + long <= ends))
+        name = np.full(len(k), l, np.uint64)
+        for at in [*range(0, long - 8, 8), long - 8]:
+            name = mixed(name + eight[place[k] - l + at])
+        _, of, n = np.unique(name, return_inverse=True, return_counts=True)
+        hit[k[n[of] > 1]] = True
+    return hit
+
+
 def _compared(size: int):
     def run(inputs):
         for bucket, rows in _groups_of(inputs, "bucket"):
@@ -213,25 +251,22 @@ def _shard(rows: pa.Table, size: int):
     least = keys[heads][kind]
     whole = keys[order] > least
     found = [(order[whole], np.zeros(int(whole.sum()), np.int64), n[order[whole]])]
-    # An anchor with one stretch is decided by that. Blocks of the others end between anchors; the rows that stand for a stretch
-    # with its smallest key share the fate of its head.
+    # An anchor with one stretch is decided by that. The rows that stand for a stretch with its smallest key share the fate of its head.
     edge = np.append(True, anchor[heads][1:] != anchor[heads][:-1])
     several = np.bincount(np.cumsum(edge) - 1)[np.cumsum(edge) - 1] > 1
     sought = np.flatnonzero(several)
-    total = np.concatenate([[0], np.cumsum(n[heads[sought]] + size - 1)])
-    breaks = np.append(np.flatnonzero(edge[sought]), len(sought))
+    # Most stretches with a common anchor have too little else in common; only the others are sorted.
+    near = np.zeros(len(sought), bool)
+    for some in _blocks(anchor[heads[sought]], n[heads[sought]] + size - 1):
+        own = heads[sought[some]]
+        bytes_, to = _bytes_of(text, starts[own], n[own] + size - 1)
+        near[some] = may_share(bytes_, to, to - (n[own] + size - 1) + off[own], size) | (off[own] == 255)
+    sought = sought[near]
     runs = []
-    k = 0
-    while k < len(breaks) - 1:
-        stop = max(k + 1, int(np.searchsorted(total[breaks], total[breaks[k]] + _BLOCK, "right")) - 1)
-        which = sought[breaks[k] : breaks[stop]]
-        own = heads[which]
-        size_of = n[own] + size - 1
-        to = np.cumsum(size_of)
-        bytes_ = text[np.repeat(starts[own] - (to - size_of), size_of) + np.arange(to[-1])]
-        who, nth = repeated(bytes_, to, n[own], keys[own], size)
-        runs.append((which[who], nth))
-        k = stop
+    for some in _blocks(anchor[heads[sought]], n[heads[sought]] + size - 1):
+        own = heads[sought[some]]
+        who, nth = repeated(*_bytes_of(text, starts[own], n[own] + size - 1), n[own], keys[own], size)
+        runs.append((sought[some][who], nth))
     if runs:
         who, nth = (np.concatenate(x) for x in zip(*runs))
         by = np.lexsort((nth, who))

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cyclespark.llm import collocations, suffix_dedup, whitening
@@ -76,6 +77,30 @@ def test_seen_strings(spark, monkeypatch, passages, size, room, hot):
     assert sorted(map(tuple, got), key=repr) == brute_seen(passages, size)
 
 
+@pytest.mark.parametrize("size", [16, 19, 50, 51, 200])
+def test_only_stretches_near_each_other_are_sorted(monkeypatch, size):
+    """One anchor in 300 surroundings; wherever it stands in a window, two more stretches share that window and nothing beyond it."""
+    rng, width = np.random.default_rng(size), size - 16
+    noise = lambda n, low=0, high=256: rng.integers(low, high, n).astype(np.uint8)
+    anchor, stretches = noise(16), []
+    for p in range(width + 1):
+        window = np.concatenate([noise(p), anchor, noise(width - p)])
+        for own in ((0, 128), (128, 256)):
+            before, after = int(rng.integers(0, width - p + 1)), int(rng.integers(0, p + 1))
+            stretches.append((before + after + 1, before + p, np.concatenate([noise(before, *own), window, noise(after, *own)])))
+    near = len(stretches)
+    stretches += [(1, 0, np.concatenate([anchor, noise(width)])) for _ in range(300)] if size > 16 else []
+    n, off, text = zip(*stretches)
+    number = np.arange(len(n), dtype=np.uint32)
+    blob = suffix_dedup._pack(np.diff(number.astype(np.int64), prepend=0), number, number, number * 0, np.array(n, np.uint8), np.array(off, np.uint8), np.concatenate(text))
+    rows = pa.table({"g": pa.array([0]), "bucket": pa.array([0]), "blob": pa.array([blob], pa.binary())})
+    sorted_, plain = [], suffix_dedup.repeated
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda text, ends, *rest: (sorted_.append(len(ends)), plain(text, ends, *rest))[1])
+    row, start, length = (np.concatenate(x).tolist() for x in zip(*[suffix_dedup._unpack(b, np.uint32, np.uint32, np.uint32) for r in suffix_dedup._shard(rows, size) for b in r.column("blob").to_pylist()]))
+    assert sorted(zip(row, start, length)) == [(k, off[k] - k // 2, 1) for k in range(1, near, 2)]
+    assert sum(sorted_) <= near
+
+
 def test_long_text_in_parts(monkeypatch):
     """Windows of a text that is read in parts have the anchors they have in one."""
     rng = np.random.default_rng(3)
