@@ -62,3 +62,16 @@ def test_charge_is_spread_together(monkeypatch):
             assert all(np.allclose(x, y, rtol=0, atol=1e-12) for x, y in zip(whole[c], got[c])), c
     for (*_, n, width, half, sign), charge, dqdv in zip(rows, whole.charge, whole.dqdv):
         assert np.array_equal(dqdv, V.smoothed(charge, width, half, sign)) and len(charge) == n
+
+
+def test_recurrent_modes(spark):
+    """A maximum that recurs near 3.2 V, one in few cycles, and a cell of none; groups pass as Arrow tables."""
+    x = np.arange(120.0)
+    bump = lambda at, high: high * np.exp(-(((x - at) / 5) ** 2))
+    rows = [("a", c, "Charge", 3.0, 0.005, (bump(40 + c % 2, 5.0) + (bump(80, 3.0) if c < 3 else 0 * x)).tolist()) for c in range(1, 9)]
+    curves = spark.createDataFrame(rows + [("b", 1, "Charge", 3.0, 0.005, x.tolist())], CURVES)
+    found = P.recurrent_maxima(curves)
+    assert "InArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["cell_id"], r["feature"], round(r["voltage"], 4), r["n_found"], r["occupancy"]) for r in found.collect()] == [("a", 1, 3.205, 8, 1.0)]
+    values = np.sort(np.random.default_rng(2).random(9))
+    assert all(P.middle_of(values[:k]) == np.median(values[:k]) for k in range(1, 10)) and np.isnan(P.middle_of(values[:0]))
